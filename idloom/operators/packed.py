@@ -52,7 +52,8 @@ def split_addresses(text: Column) -> Column:
     """array<string>: the mail address of each entry of an address list in lower case; entries without one are left out.
 
     Quoted names, comments and angle brackets are masked first. An entry's address is the one in angle brackets if there
-    is one, else the bare one; a group's name is dropped, so that it counts by its members.
+    is one, else the bare one; a group's name is dropped, so that it counts by its members. A line end separates entries
+    unless the next line is indented (a folded line).
     """
     masked, spans = mask(text, f"{ESCAPED}|{COMMENT}|{ANGLE}")
     holder = f"{OPEN}[0-9]+{CLOSE}"
@@ -73,7 +74,7 @@ def split_addresses(text: Column) -> Column:
     def entry(p: Column) -> Column:
         return F.when(F.size(angled(p)) > 0, angled(p)).otherwise(bare(p))
 
-    pieces = F.split(F.regexp_replace(masked, r"[\r\n\t]+", " "), r"[,;|]", -1)
+    pieces = F.transform(F.split(masked, r"[,;|]|[\r\n]+(?![ \t\r\n])", -1), lambda p: F.regexp_replace(p, r"[\r\n\t]+", " "))
     return F.transform(F.flatten(F.transform(pieces, entry)), lambda a: F.lower(a))
 
 
