@@ -1,8 +1,38 @@
-"""Queries of the training-data problems over the test tables."""
+"""Queries of the training-data problems over the test tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from idloom.llm.encode import encode_corpus
+from idloom.llm.groups import group_identifiers
+from idloom.llm.mix import mix
+
+
+def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return group_identifiers(_read(spark, sf, "segment_entity_identifiers"), "entity_type", "edge_id", "identifier_type", "identifier_value")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_corpus(_read(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of every mix in the order of its schedule's slots."""
+    return mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), "doc_id", "text", "source").records
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares every mix reaches."""
+    return mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), "doc_id", "text", "source").report
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p1_found, p8_ids, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
