@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from idloom.llm.email import own_text_lines
 from idloom.llm.encode import encode_corpus
 from idloom.llm.groups import group_identifiers
 from idloom.llm.mix import mix
@@ -17,6 +18,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return group_identifiers(_read(spark, sf, "segment_entity_identifiers"), "entity_type", "edge_id", "identifier_type", "identifier_value")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return own_text_lines(_read(spark, sf, "gmail_message_bodies"), _read(spark, sf, "gmail_messages"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_read(spark, sf, "documents"), "doc_id", "text")
 
@@ -32,7 +37,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p8_ids, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p8_ids, p9_mix, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
