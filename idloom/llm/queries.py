@@ -8,6 +8,7 @@ from idloom.llm.email import own_text_lines
 from idloom.llm.encode import encode_corpus
 from idloom.llm.groups import group_identifiers
 from idloom.llm.mix import mix
+from idloom.llm.residue import residue
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -36,8 +37,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), "doc_id", "text", "source").report
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(_read(spark, sf, "documents"), "doc_id", "text", "title", "organization_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p8_ids, p9_mix, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p8_ids, p9_mix, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
