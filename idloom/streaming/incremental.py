@@ -103,7 +103,7 @@ def resolve_batch(state: DataFrame, identifiers: DataFrame, entity_type: str, ma
     labels = propagate(d.select("node").distinct(), d.where("edge_id is not null").select("node", F.col("edge_id").alias("link")).distinct(), max_iterations)
     sizes = own.groupBy("entity_id").agg(F.count("*").alias("n"))
     known = labels.where(F.col("node").startswith("e\x01")).withColumn("entity_id", F.substring("node", 3, 1_000_000)).join(sizes, "entity_id")
-    old = known.groupBy("label").agg(F.max_by("entity_id", F.struct("n", -F.crc32(F.col("entity_id").cast("binary")), "entity_id")).alias("kept"))
+    old = known.groupBy("label").agg(F.min_by("entity_id", F.struct(-F.col("n"), "entity_id")).alias("kept"))
     least = labels.where(F.col("node").startswith("i\x01")).groupBy("label").agg(F.min("node").alias("first"))
     t, v = F.split_part("first", F.lit("\x01"), F.lit(2)), F.split_part("first", F.lit("\x01"), F.lit(3))
     name = labels.select("label").distinct().join(old, "label", "left").join(least, "label", "left").select("label", F.coalesce("kept", make_id(entity_type, t, v)).alias("survivor"), F.col("kept").isNull().alias("is_new"))
@@ -138,14 +138,15 @@ def append_participants(current: DataFrame, batch: DataFrame) -> DataFrame:
     return current.unionByName(batch.join(current.select("entity_participant_id"), "entity_participant_id", "left_anti"))
 
 
-def resolver_sink(state: State, log: State, entity_type: str):
-    """A foreachBatch function that resolves each micro-batch into versioned state and an append-only log."""
+def resolver_sink(state: State, log_path: str, entity_type: str):
+    """A foreachBatch function that resolves each micro-batch into versioned state and an append-only log with a folder
+    per batch, so that a batch run again replaces only its own log rows."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         old = state.read(MAPPING)
         new, changes = resolve_batch(old, batch, entity_type)
         if not changes.isEmpty() or not old.isEmpty():
             state.write(new)
-        log.write(log.read(MAPPING).unionByName(changes))
+        changes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return run
