@@ -81,6 +81,6 @@ def split_addresses(text: Column) -> Column:
 def explode_packed(df: DataFrame, values: Column, value: str = "value", pos: str = "pos") -> DataFrame:
     """One row per value with its position from 1; rows whose list is null or empty yield none."""
     kept = df.columns
-    return df.select(*[F.col(f"`{c}`") for c in kept if c not in (value, pos)], F.posexplode(values).alias("_pos", value)).select(
-        *[F.col(f"`{c}`") for c in kept if c not in (value, pos)], (F.col("_pos") + 1).cast("bigint").alias(pos), value
+    return df.select(*[F.col(f"`{c}`") for c in kept if c not in (value, pos)], F.posexplode(values).alias("__pos", value)).select(
+        *[F.col(f"`{c}`") for c in kept if c not in (value, pos)], (F.col("__pos") + 1).cast("bigint").alias(pos), value
     )

@@ -65,8 +65,10 @@ def _text(v) -> str | None:
 
 def fingerprints(df: DataFrame, raw: str, parts: list[str], content: str, unordered: list[str]) -> DataFrame:
     """``df`` plus a column for each of ``parts`` (texts of the payload) and ``_print``: SHA-256 of the canonical JSON of
-    ``content``, of null where it is missing. Unreadable payloads get nulls. Arrow batches; one parse a row."""
+    ``content``, of null where it is missing. Unreadable payloads get nulls. Columns of ``df`` that have one of the new
+    names are replaced. Arrow batches; one parse a row."""
     loose = frozenset(unordered)
+    df = df.drop(*[c for c in (*parts, "_print") if c != raw])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
