@@ -174,7 +174,7 @@ def judge(df: DataFrame, doc_id: str, text: str, title: str, host: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *cols], ["_id", "host", "placeholder", "flagged", "print"])
 
     # trim() may keep other blanks; such a text has no sentences and is not flagged.
-    rows = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("_id"), text, F.col(title).alias("_title"), F.col(host).cast("string").alias("host"))
+    rows = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(title).alias("_title"), F.col(host).cast("string").alias("host"))
     return rows.mapInArrow(run, f"_id {id_type}, host string, placeholder boolean, flagged boolean, print string")
 
 
