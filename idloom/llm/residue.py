@@ -31,8 +31,9 @@ FILLER_SHARE = 0.6
 
 def fold(text: str) -> str:
     """Lower case without accents, format characters and repeated blanks."""
-    t = unicodedata.normalize("NFKD", text)
-    return re.sub(r"\s+", " ", "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Cf"))).strip().lower()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if c < "\x80" or unicodedata.category(c) not in ("Mn", "Cf"))
+    return " ".join(text.split()).lower()
 
 
 # What servers, browsers, page builders and mail tools leave behind, in the languages of the corpus.
@@ -150,8 +151,7 @@ def read(text: str, title: str | None) -> tuple[bool, bool, bool, str | None]:
             content += 1
             all_words += size
             weak = weak or (len(f) < 90 and bool(_WEAK.search(f)))
-        if len(masked) < 64:
-            masked.append(re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)))
+        masked.append(f)
     flagged = (evidence > 0 and content == 0) or (all_words > 0 and filler_words >= FILLER_SHARE * all_words)
     low = content <= 2 and weak and bool(parts)
     if low and not flagged:
@@ -159,7 +159,7 @@ def read(text: str, title: str | None) -> tuple[bool, bool, bool, str | None]:
         promised = set(re.findall(r"[^\W\d_]{3,}", fold(title or "")))
         given = set(re.findall(r"[^\W\d_]{3,}", fold(text)))
         low = not promised or len(promised & given) < 0.3 * len(promised)
-    print_ = hashlib.md5("\n".join(masked).encode("utf-8", "replace")).hexdigest() if low and not flagged else None
+    print_ = hashlib.md5("\n".join(re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)) for f in masked).encode("utf-8", "replace")).hexdigest() if low and not flagged else None
     return placeholder, flagged, low and not flagged, print_
 
 
