@@ -23,7 +23,7 @@ from idloom.storage import cut
 
 #: Organizations that must give the same masked response before weak evidence counts.
 HOSTS = 3
-#: Words beside a placeholder up to which its sentence is a template's, not prose about one.
+#: Words beside a failed value up to which its sentence is a template's wherever the value stands; beyond, its place tells.
 CARRIER_WORDS = 9
 #: Share of a text's words in filler sentences from which it consists of filler.
 FILLER_SHARE = 0.6
@@ -50,6 +50,14 @@ _PLACEHOLDER = re.compile(
 _FAILED = re.compile(r"(?<![A-Za-z0-9_\"'.:=/-])(?:undefined|null|NaN|None|N/A)(?![A-Za-z0-9_\"'=/-])")
 _ASSIGNED = re.compile(r"^[\s\-*]*[\w.\"' ]{1,40}[:=]\s*\S+$|[{}();]")
 _MENTION = re.compile(r"\b(?:merge field|placeholder|compiler|syntax|variable|left in it|template|snippet|we write|escape|is filled|replace[ds]?|platzhalter|gabarit|plantilla)\b", re.I)
+_GREETING = r"(?:hi|hello|hey|dear|good (?:morning|afternoon|evening)|hallo|guten (?:tag|morgen|abend)|liebe[rs]?|sehr geehrte[rs]?|moin|bonjour|bonsoir|salut|ch[eè]re?|hola|buen[oa]s (?:d[ií]as|tardes|noches)|estimad[oa]s?|querid[oa])"
+# Where only a value can stand: a greeting's name, before a bullet or capital at the start of a text, or after a word that takes one.
+_GREETED_SLOT = re.compile(rf"^(?i:{_GREETING}) (?:{_PLACEHOLDER.pattern}) ?(?:[,:!–-]|$)")
+_GREETED_FAILED = re.compile(rf"^(?i:{_GREETING}) (?:{_FAILED.pattern}) ?(?:[,:!–-]|$)")
+_OPENING = re.compile(rf"^(?:{_FAILED.pattern})(?:$|\s+(?=[^\W\d_a-zß-ÿ]|[-*•–·[]|\d{{1,2}}[.)]))")
+_SIGNED = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+){0,3},$")
+_TAKES = re.compile(rf"(?i:\b(?:is|was|of|for|to|by|from|with|at|on|until|ist|war|für|von|bis|est|de|pour|par|es|para|hasta)) (?:{_FAILED.pattern})(?=[,.!?;]|$)")
+_DATA = re.compile(r"\b(?:fields?|values?|columns?|rows?|keys?|variables?|parameters?|propert(?:y|ies)|defaults?|returns?|returned|records?|quer(?:y|ies)|function|code|json|sql|logs?|bugs?|set to|feld(?:er)?|werte?|spalten?|champs?|valeurs?|colonnes?|campos?|valor(?:es)?|columnas?)\b", re.I)
 _ERROR = [
     r"(?:(?:http )?error|fehler|erreur|error del servidor|status)? ?:? ?(?:4\d\d|5\d\d)(?: ?[:\-] ?| )?(?:(?:not found|forbidden|unauthorized|bad gateway|bad request|gateway time-?out|(?:service )?(?:temporarily )?unavailable|service temporarily unavailable|internal server error|too many requests|acc[eè]s refuse|interner serverfehler|del servidor|we could not find that page|page not found|erreur interne|seite nicht gefunden|pagina no encontrada).{0,30})?",
     r"(?:error|fehler|erreur) (?:4\d\d|5\d\d)\b.{0,60}", r"access (?:is )?denied", r"(?:page|file|document) not found", r"not found", r"forbidden", r"bad gateway", r"internal server error", r"gateway time-?out", r"too many requests", r"request blocked",
@@ -104,20 +112,30 @@ def sentences(text: str) -> list[str]:
     return [s for x in _CUT.split(text) if (s := _BULLET.sub("", x.strip()).strip())]
 
 
-def has_placeholder(sentence: str) -> bool:
-    """Whether a sentence holds an unfilled placeholder, or a failed value in a placeholder's place, and is not about one."""
+def has_placeholder(sentence: str, first: bool = False) -> bool:
+    """Whether a sentence holds an unfilled placeholder, or a failed value in a placeholder's place, and is not about one.
+
+    A greeted one is a leftover whatever follows, as a text without line ends is one long sentence; ``first``: the
+    sentence opens its text or follows a closing.
+    """
     s = html.unescape(sentence) if "&lt;" in sentence else sentence
     if not any(c in s for c in "{}[]<>%#@*_X") and not _FAILED.search(s):
         return False
-    hit = _PLACEHOLDER.search(s)
-    rest = _PLACEHOLDER.sub(" ", s)
-    if hit is None:
-        if not _FAILED.search(s) or _ASSIGNED.search(s):
-            return False
-        rest = _FAILED.sub(" ", s)
-        n = len(re.findall(r"\w+", rest))
-        return 1 <= n <= CARRIER_WORDS and not _MENTION.search(rest)
-    return len(re.findall(r"\w+", rest)) <= CARRIER_WORDS and not _MENTION.search(rest)
+    if _GREETED_SLOT.match(s) or _GREETED_FAILED.match(s):
+        return True
+    if _PLACEHOLDER.search(s) and not _MENTION.search(_PLACEHOLDER.sub(" ", s)):
+        return True
+    if _PLACEHOLDER.search(s) or not _FAILED.search(s):
+        return False
+    rest = _FAILED.sub(" ", s)
+    if _MENTION.search(rest):
+        return False
+    if first and _OPENING.match(s):
+        return True
+    if _ASSIGNED.search(s):
+        return False
+    n = len(re.findall(r"\w+", rest))
+    return 1 <= n and (n <= CARRIER_WORDS or bool(_TAKES.search(s)) and not _DATA.search(rest))
 
 
 def _latin(words: list[str]) -> bool:
@@ -130,7 +148,7 @@ def read(text: str, title: str | None) -> tuple[bool, bool, bool, str | None]:
     The fingerprint is set where no sentence is content; weak evidence is a telling word in such a text.
     """
     parts = sentences(text)
-    placeholder = any(map(has_placeholder, parts))
+    placeholder = any(has_placeholder(p, i == 0 or bool(_SIGNED.match(parts[i - 1]))) for i, p in enumerate(parts))
     content = evidence = filler_words = all_words = 0
     weak = False
     masked = []

@@ -26,6 +26,29 @@ def test_kept(text):
     assert not (p or f)
 
 
+ONE_LINE = [
+    "Hi [INSERT DUE_DATE], - The warehouse crew wants the calendar feed to run shortly after the release, not at midnight.", "Hi <<Insert amount>>, Zanrik Oskerly and Jornor checked the sync job together at the end of the quarter.",
+    "{{ due_date }} Thistlegate Labs reported two merged accounts in the merge log this afternoon.", "Bonjour [object Object], Selon Arynor, des pages tardives ne posent plus problème.",
+    "Hi undefined, After 3 runs the revenue measure still shows a second billing contact (see the list).", "undefined Marketing approved the invoice run right after lunch and found an empty referrer in it.",
+    "We will charge the amount of {{ amount }} to the card on file on the first day of the next month.", "The amount still open for the plan that your team ordered in March is undefined.",
+    "See you on Monday.\nBest,\nundefined", "Hi {{ name }}, In the model we write the table name and the compiler puts it there.",
+]
+LONG_PROSE = [
+    "A mail with {{first_name}} left in it reached Lanternstead Labs at the end of the quarter; our data team has fixed the source and sent a new one.", "None of the rows that we looked at this morning had the wrong price in the list.",
+    "The undefined behaviour of the sync job was seen in all three runs of this week.", "Where the owner field of a row is null, the sync goes on with the row that comes next.",
+]
+
+
+@pytest.mark.parametrize("text", ONE_LINE)
+def test_slots_of_long_sentences(text):
+    assert read(text, None)[0]
+
+
+@pytest.mark.parametrize("text", LONG_PROSE)
+def test_long_prose_about_slots(text):
+    assert not read(text, None)[0]
+
+
 def test_weak_evidence_needs_hosts_and_dirt(spark):
     weak = "Maintenance: browser support is being changed right now here"
     rows = [(i, weak, "a title about quite other things", f"org{i}") for i in range(4)] + [(10, weak.replace("browser", "error browser"), "t", None), (20, None, None, None), (21, "  ", "t", "o"), (22, "fine text about the plan of the year", None, None), (23, "Hi {{x}},", None, None), (23, "Hi {{x}},", None, None), (24, "y" * 500_000, None, None)]
