@@ -2,8 +2,9 @@
 
 Sentences of a text are told apart as content, page furniture and evidence (error message, notice that scripts are
 needed, filler). Placeholder detectors work sentence by sentence, so that prose that quotes one is kept. A response
-without content of its own is flagged on its evidence; where the evidence is weak, the hosts decide: the same masked
-response from several organizations whose titles promise other terms than the body gives.
+without content of its own is flagged on its evidence; any other text of no or few content sentences is left to the
+hosts: the same masked response from several organizations whose titles promise other terms than the body gives. A
+telling word lowers the number of organizations that it takes; no word list is needed for it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,14 @@ from pyspark.sql import functions as F
 from idloom.llm.groups import join_label
 from idloom.storage import cut
 
-#: Organizations that must give the same masked response before weak evidence counts.
+#: Organizations that must give the same masked response where it has a telling word or no content sentence.
 HOSTS = 3
+#: The same for one or two content sentences without a telling word: short prose recurs by chance.
+WIDE_HOSTS = 5
+#: Share of a response's rows whose titles may fit it; above, it is what those pages hold.
+FITTING_SHARE = 0.1
+#: Content sentences up to which a text is of low information.
+FEW = 2
 #: Words beside a failed value up to which its sentence is a template's wherever the value stands; beyond, its place tells.
 CARRIER_WORDS = 9
 #: Share of a text's words in filler sentences from which it consists of filler.
@@ -95,7 +102,11 @@ def _union(patterns: list[str], repeat: str = "") -> re.Pattern:
 
 _ERRORS, _SCRIPTS, _PAGES = map(_union, (_ERROR, _SCRIPT, _FURNITURE))
 _FILLERS = _union(_FILLER, r"(?:[ .!]+|\Z)")
-_WEAK = re.compile(r"\b(?:error|fehler|erreur|4\d\d|5\d\d|denied|unavailable|forbidden|javascript|scripts?|cookies|captcha|browser|expired|timed? ?out|maintenance|wartung)\b")
+_WEAK = _union([
+    r"\b(?:error|fehler|erreur|4\d\d|5\d\d|denied|unavailable|forbidden|javascript|scripts?|cookies|captcha|browser|expired|timed? ?out|maintenance|wartung)\b", r"\b(?:denegado|no disponible|caducad[oa]|expirad[oa]|navegador|mantenimiento|tiempo de espera)\b", r"エラー|拒否されました|利用できません|ご利用いただけません|有効期限|ブラウザ|メンテナンス|タイムアウト",
+])
+# What differs between copies of one response: identifiers, dates and times; other numbers tell prose apart.
+_TICKET = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w{6,}\b|\b[0-9a-f]{6,}\b|\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{1,2}:\d\d(?::\d\d)?|\d{6,}")
 _TAG = re.compile(r"</?(?:html|head|body|title|p|br|h[1-6]|div|span|center|hr|pre|noscript|script|style)\b[^<>]{0,80}>", re.I)
 _JSON = re.compile(r'^\s*\{\s*"error"\s*:.*"message"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
 _CUT = re.compile(r"\n|(?<=[.!?。])\s+(?=\S)|(?<=。)")
@@ -142,20 +153,27 @@ def _latin(words: list[str]) -> bool:
     return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.7 * len(words)
 
 
-def read(text: str, title: str | None) -> tuple[bool, bool, bool, str | None]:
-    """(placeholder, flagged by its own evidence, weak evidence only, fingerprint of the masked response).
+def _print(kind: str, parts: list[str]) -> str:
+    return hashlib.md5("\n".join([kind, *parts]).encode("utf-8", "replace")).hexdigest()
 
-    The fingerprint is set where no sentence is content; weak evidence is a telling word in such a text.
+
+def read(text: str, title: str | None) -> tuple[bool, bool, int, str | None, bool]:
+    """(placeholder, flagged by its own evidence, evidence left, fingerprint of the masked response, title fits).
+
+    The fingerprint is set where a text that isn't flagged has no or few content sentences, whatever its words. Evidence
+    left: 2 for a telling word, 1 for no content sentence, else 0.
     """
     parts = sentences(text)
     placeholder = any(has_placeholder(p, i == 0 or bool(_SIGNED.match(parts[i - 1]))) for i, p in enumerate(parts))
-    content = evidence = filler_words = all_words = 0
+    content = evidence = filler_words = all_words = unspaced = 0
     weak = False
-    masked = []
+    masked, every = [], []
     for p in parts:
         f = fold(p).strip(" .!…。*_=-#>\"'")
         w = re.findall(r"[^\W\d_]+", f)
-        size = len(f) // 3 if _CJK.search(f) else len(w)
+        cjk = bool(_CJK.search(f))
+        size = len(f) // 3 if cjk else len(w)
+        every.append(f)
         if _FILLERS.fullmatch(f) or _latin(w):
             filler_words += max(size, 1)
             all_words += max(size, 1)
@@ -164,39 +182,44 @@ def read(text: str, title: str | None) -> tuple[bool, bool, bool, str | None]:
             evidence += 1
             all_words += size
         elif _PAGES.fullmatch(f) or size <= 2:
-            continue
+            # A sentence without blanks looks like an identifier.
+            if not (cjk and size > 2):
+                continue
+            unspaced += 1
+            weak = weak or bool(_WEAK.search(f))
         else:
             content += 1
             all_words += size
             weak = weak or (len(f) < 90 and bool(_WEAK.search(f)))
         masked.append(f)
     flagged = (evidence > 0 and content == 0) or (all_words > 0 and filler_words >= FILLER_SHARE * all_words)
-    low = content <= 2 and weak and bool(parts)
-    if low and not flagged:
-        # Terms that the title (the address slug, where there is one) promises and the body lacks.
-        promised = set(re.findall(r"[^\W\d_]{3,}", fold(title or "")))
-        given = set(re.findall(r"[^\W\d_]{3,}", fold(text)))
-        low = not promised or len(promised & given) < 0.3 * len(promised)
-    print_ = hashlib.md5("\n".join(re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)) for f in masked).encode("utf-8", "replace")).hexdigest() if low and not flagged else None
-    return placeholder, flagged, low and not flagged, print_
+    if flagged or not any(every) or content + unspaced > FEW:
+        return placeholder, flagged, 0, None, False
+    # Terms that the title (the address slug, where there is one) promises and the body lacks.
+    promised = set(re.findall(r"[^\W\d_]{3,}", fold(title or "")))
+    given = set(re.findall(r"[^\W\d_]{3,}", fold(text)))
+    fits = bool(promised) and len(promised & given) >= 0.3 * len(promised)
+    if weak:
+        return placeholder, flagged, 2, _print("weak", [re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)) for f in masked]), fits
+    return placeholder, flagged, int(content + unspaced == 0), _print("plain", [_TICKET.sub("h", f) for f in masked or every]), fits
 
 
 def judge(df: DataFrame, doc_id: str, text: str, title: str, host: str) -> DataFrame:
-    """(doc_id, placeholder, flagged, print, host): what each text's own evidence says. Null texts give no row."""
+    """(doc_id, host, placeholder, flagged, evidence, print, fits): what each text's own evidence says. Null texts give no row."""
     id_type = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [read(t, n) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = [pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[3] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *cols], ["_id", "host", "placeholder", "flagged", "print"])
+            cols = [pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string()), pa.array([g[4] for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *cols], ["_id", "host", "placeholder", "flagged", "evidence", "print", "fits"])
 
     # trim() may keep other blanks; such a text has no sentences and is not flagged.
     rows = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(title).alias("_title"), F.col(host).cast("string").alias("host"))
-    return rows.mapInArrow(run, f"_id {id_type}, host string, placeholder boolean, flagged boolean, print string")
+    return rows.mapInArrow(run, f"_id {id_type}, host string, placeholder boolean, flagged boolean, evidence int, print string, fits boolean")
 
 
-def residue(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts: int = HOSTS) -> DataFrame:
+def residue(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts: int = HOSTS, wide_hosts: int = WIDE_HOSTS) -> DataFrame:
     """(doc_id): the documents that hold residue instead of content, one row for each of their rows.
 
     Null, empty and blank texts are none. A null title promises nothing and counts as unlike any body; null hosts count
@@ -204,9 +227,10 @@ def residue(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts:
     rows share is joined back in parts.
     """
     j = cut(judge(df, doc_id, text, title, host)).df
-    shared = j.where("print is not null").groupBy("print").agg(F.count_distinct(F.coalesce("host", F.lit(""))).alias("_hosts"), F.count("*").alias("_n"))
-    shared = shared.where(F.col("_hosts") >= hosts).select("print", "_n").withColumn("_dup", F.lit(True))
-    weak = join_label(j.where("print is not null and not placeholder and not flagged").select("_id", "print"), shared, "print", "_n").where("_dup")
+    shared = j.where("print is not null").groupBy("print").agg(F.count_distinct(F.when(~F.col("fits"), F.coalesce("host", F.lit("")))).alias("_hosts"), F.count("*").alias("_n"), F.count_if("fits").alias("_fit"), F.max("evidence").alias("_evidence"))
+    enough = (F.col("_hosts") >= F.when(F.col("_evidence") > 0, hosts).otherwise(wide_hosts)) & ((F.col("_evidence") == 2) | (F.col("_fit") <= FITTING_SHARE * F.col("_n")))
+    shared = shared.where(enough).select("print", "_n").withColumn("_dup", F.lit(True))
+    weak = join_label(j.where("print is not null and not fits and not placeholder and not flagged").select("_id", "print"), shared, "print", "_n").where("_dup")
     return j.where("placeholder or flagged").select("_id").unionByName(weak.select("_id")).withColumnRenamed("_id", doc_id)
 
 

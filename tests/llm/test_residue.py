@@ -57,3 +57,20 @@ def test_weak_evidence_needs_hosts_and_dirt(spark):
     assert got == [0, 1, 2, 3, 23, 23]
     assert without_residue(df, "doc_id", "text", "title", "organization_id").count() == len(rows) - len(got)
     assert residue(df.limit(0), "doc_id", "text", "title", "organization_id").count() == 0
+
+
+def test_repeated_responses_need_no_listed_word(spark):
+    english = "Our crew is giving this place a fresh coat of paint. Ticket {}"
+    spanish = "Estamos renovando esta sección para servirle mejor"
+    japanese = "ただいま準備中のためしばらくお待ちください"
+    rows = [(100 + i, english.format(f"ab12cd{i}{i}"), "quarterly revenue by region", f"org{i}") for i in range(6)]
+    rows += [(200 + i, spanish, "informe trimestral", f"org{i}") for i in range(5)] + [(300 + i, japanese, "月次報告", f"org{i}") for i in range(5)]
+    rows += [(400 + i, "Gone fishing", "quarterly revenue by region", f"org{i}") for i in range(3)] + [(450 + i, "El servidor está en mantenimiento desde hoy", "informe trimestral", f"org{i}") for i in range(3)]
+    # Too few hosts; one host; the titles' own text; different numbers.
+    rows += [(500 + i, "We moved the ledger to the new office today", "other terms entirely", f"org{i}") for i in range(4)]
+    rows += [(600 + i, "The kitchen is closed on every Monday of May", "other terms entirely", "org0") for i in range(9)]
+    rows += [(700 + i, "The summer menu of the kitchen starts today", "other terms entirely" if i else "summer menu of the kitchen", f"org{i}") for i in range(6)]
+    rows += [(800 + i, f"After {i} runs the feed still shows double rows", "other terms entirely", f"org{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, title string, organization_id string")
+    got = sorted(r.doc_id for r in residue(df, "doc_id", "text", "title", "organization_id").collect())
+    assert got == [*range(100, 106), *range(200, 205), *range(300, 305), *range(400, 403), *range(450, 453)]
