@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,7 +24,8 @@ def _number(text: str):
     d = Decimal(text)
     if not d.is_finite():
         return text
-    d = d.normalize()
+    # All digits count: a context of fewer than the text has would round.
+    d = d.normalize(Context(prec=max(1, len(text)), Emax=MAX_EMAX, Emin=MIN_EMIN))
     return Number(format(d, "f") if -400 < d.adjusted() < 400 else str(d)) if d else Number("0")
 
 

@@ -16,6 +16,9 @@ def test_canonical_json():
     assert same('{"a": [1, 2]}', '{"a": [2, 1]}', unordered=frozenset("a"))
     assert not same('{"a": true}', '{"a": 1}')
     assert same('{"a": 0}', '{"a": -0.0}')
+    digits = "0.1234567890123456789012345678901"
+    assert not same('{"a": %s1}' % digits, '{"a": %s2}' % digits) and same('{"a": %s1}' % digits, '{"a": %s10}' % digits)
+    assert not same('{"a": 1e-2000000}', '{"a": 0}') and same('{"a": 10e2000000}', '{"a": 1e2000001}')
     for bad in (None, "", "{", '{"a": 1', "nope", '{"a": NaN}'):
         assert parse_object(bad) is None
 
