@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idloom.functions.text import norm_text
@@ -142,6 +142,11 @@ def positions(records: DataFrame, row_id: str) -> DataFrame:
     return r.join(sums, ["source", "_b"]).select("source", row_id, "n_tokens", (F.col("_base") + F.col("_in")).alias("before"))
 
 
+def block_at() -> Column:
+    """The block of a source that holds its token ``_at``, of ``blocks`` over ``quota`` tokens."""
+    return F.expr("least(blocks - 1, cast(cast(_at as decimal(20, 0)) * blocks div quota as bigint))")
+
+
 class Mix:
     """The parts of a mixing run: ``records`` (mix_id, row_id, source, pass, slot, n_tokens) and ``report``."""
 
@@ -169,7 +174,7 @@ def mix(documents: DataFrame, targets: DataFrame, row_id: str, text: str, source
     rows = at.join(F.broadcast(used), "source")
     rows = rows.withColumn("_passes", F.expr("case when before < quota then (quota - before - 1) div available + 1 else 0 end")).where("_passes > 0")
     rows = rows.withColumn("_p", F.explode(F.expr("sequence(0L, _passes - 1)"))).withColumn("_at", F.expr("_p * available + before"))
-    rows = rows.withColumn("block", F.expr("least(blocks - 1, cast(decimal(_at) * blocks div quota as bigint))"))
+    rows = rows.withColumn("block", block_at())
     # SLOTS rows a mix: bounded by the number of mixes.
     rows = rows.join(F.broadcast(slots), ["mix_id", "source", "block"])
     records = rows.select("mix_id", F.col("_id").alias(row_id), "source", (F.col("_p") + 1).alias("pass"), "slot", "n_tokens")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from idloom.llm import encode as E
-from idloom.llm.mix import mix, pfair, quotas, whole_blocks
+from idloom.llm.mix import block_at, mix, pfair, quotas, whole_blocks
 
 
 def test_pfair_deviates_by_less_than_a_block():
@@ -29,6 +29,12 @@ def test_quotas_fill_from_the_rest():
     assert sum(whole_blocks([1, 10_000], 100)) == 101 or sum(whole_blocks([1, 10_000], 100)) == 100
 
 
+def test_blocks_of_large_sources(spark):
+    rows = [(0, 10**12), (10**10, 10**12), (10**12 - 1, 10**12), (9 * 10**18, 9 * 10**18 + 1)]
+    at = spark.createDataFrame([(a, 4096, q) for a, q in rows], "_at bigint, blocks bigint, quota bigint")
+    assert [r[0] for r in at.select(block_at()).collect()] == [0, 40, 4095, 4095]
+
+
 @pytest.mark.skipif(not os.path.isdir(E.TOKENIZERS), reason="no tokenizers here")
 def test_mix(spark):
     rows = [(i, "word " * 20, " Mail ") for i in range(200)] + [(1000 + i, "other " * 20, "web") for i in range(10)] + [(2000, None, "web"), (2001, "", "web"), (2002, "x y", None), (2003, "x y", "none"), (2004, "x", "unasked")]
