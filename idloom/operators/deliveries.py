@@ -1,7 +1,7 @@
 """Messages delivered more than once: exactly one copy of each stays.
 
-Identifiers that are producer sequences (plain decimal numbers) are tracked as disjoint seen ranges per producer;
-every other identifier is malformed in that sense and resolved by an exact keyed lookup.
+Identifiers that are producer sequences (decimal numbers, and 64-bit numbers in hexadecimal) are tracked as disjoint
+seen ranges per producer; every other identifier is malformed in that sense and resolved by an exact keyed lookup.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from idloom.storage import cut
 
-#: Digits of an identifier that count within its producer; the digits before them name the producer.
+#: Last digits of a decimal identifier that count within its producer; the digits before them name the producer.
 SEQUENCE_DIGITS = 9
+#: Digits of a hexadecimal identifier, and how many of them name the producer.
+HEX_DIGITS, HEX_PRODUCER = 16, 4
 #: Numbers of one range chunk. It bounds the rows of one window group, whatever the producer's size.
 CHUNK = 1 << 16
 
@@ -20,10 +22,17 @@ RANGE_SCHEMA = "producer string, chunk bigint, lo bigint, hi bigint"
 
 
 def sequence_parts(key: Column) -> tuple[Column, Column]:
-    """(producer, number) of a producer-sequence identifier, else (null, null)."""
+    """(producer, number) of a producer-sequence identifier, else (null, null); different identifiers differ in them.
+
+    Sixteen lower-case hexadecimal digits: ``x`` and the first four name the producer, the other 48 bits count. Ten to
+    thirty decimal digits without a leading zero (but not sixteen): ``d`` and all but the last nine name the producer.
+    """
+    hexa = F.regexp_like(key, F.lit(rf"\A[0-9a-f]{{{HEX_DIGITS}}}\z"))
     good = F.regexp_like(key, F.lit(r"\A[1-9][0-9]{9,29}\z"))
-    cut_at = F.length(key) - SEQUENCE_DIGITS
-    return F.when(good, F.substring(key, F.lit(1), cut_at)), F.when(good, F.substring(key, cut_at + 1, F.lit(SEQUENCE_DIGITS)).cast("bigint"))
+    at = F.length(key) - SEQUENCE_DIGITS
+    producer = F.when(hexa, F.concat(F.lit("x"), F.substring(key, 1, HEX_PRODUCER))).when(good, F.concat(F.lit("d"), F.substring(key, F.lit(1), at)))
+    number = F.when(hexa, F.conv(F.substring(key, HEX_PRODUCER + 1, HEX_DIGITS - HEX_PRODUCER), 16, 10).cast("bigint")).when(good, F.substring(key, at + 1, F.lit(SEQUENCE_DIGITS)).cast("bigint"))
+    return producer, number
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
@@ -59,32 +68,43 @@ def uncovered(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
 def accept(batch: DataFrame, ranges: DataFrame, known: DataFrame) -> DataFrame:
     """Accept one delivery batch against the state of the batches before it.
 
-    batch: (key, ts, row_id). ranges: the seen ranges. known: keys of malformed identifiers seen so far.
-    Returns one row (row_id, key, producer, chunk, number) for each key not seen yet: that of the latest ``ts`` (null is
-    earliest), then the greatest ``row_id``. Copies of a key are reduced map-side, so a key
-    with a third of all rows sends one row a task.
+    batch: (row_id, ts, key, producer, number); producer and number are null for malformed identifiers. ranges: the seen
+    ranges. known: keys of malformed identifiers seen so far. Returns one row (row_id, key, producer, chunk, number) for
+    each identifier not seen yet: that of the latest ``ts`` (null is earliest), then the greatest ``row_id``. Copies within
+    the batch are reduced map-side to the one of them that may be accepted, so an identifier with a third of all rows
+    sends one row a task.
     """
-    best = batch.groupBy("key").agg(F.max(F.struct("ts", "row_id")).alias("best"))
-    producer, number = sequence_parts(F.col("key"))
-    best = best.select("key", F.col("best.row_id").alias("row_id"), producer.alias("producer"), number.alias("number"))
-    numbers = best.where(F.col("producer").isNotNull()).withColumn("chunk", F.expr(f"number div {CHUNK}"))
-    fresh = uncovered(numbers, ranges)
-    others = best.where(F.col("producer").isNull()).join(known, "key", "left_anti")
-    return fresh.select("row_id", "key", "producer", "chunk", "number").unionByName(others.select("row_id", "key", "producer", F.lit(None).cast("bigint").alias("chunk"), "number"))
+    latest = F.max(F.struct("ts", "row_id", "key")).alias("best")
+    numbers = batch.where("producer is not null").groupBy("producer", "number").agg(latest)
+    numbers = numbers.select("producer", F.expr(f"number div {CHUNK}").alias("chunk"), "number", "best.row_id", "best.key")
+    others = batch.where("producer is null").groupBy("key").agg(F.max(F.struct("ts", "row_id")).alias("best")).join(known, "key", "left_anti")
+    return (
+        uncovered(numbers, ranges).select("row_id", "key", "producer", "chunk", "number")
+        .unionByName(others.select("best.row_id", "key", F.lit(None).cast("string").alias("producer"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("bigint").alias("number")))
+    )
+
 
+class Deliveries:
+    """What one run over all batches gives: ``accepted`` (row_id, key, producer), ``ranges`` and ``rows``, every keyed row."""
 
-def accepted_rows(df: DataFrame, row_id: str, key: str, ts: str, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(accepted, ranges): one row of each key, and the merged seen ranges.
+    def __init__(self, accepted: DataFrame, ranges: DataFrame, rows: DataFrame):
+        self.accepted, self.ranges, self.rows = accepted, ranges, rows
+
+
+def take_batches(df: DataFrame, row_id: str, key: str, ts: str, batches: int = 2) -> Deliveries:
+    """One row of each key is accepted.
 
     The rows are taken as delivery batches, newest first, so that a key's first acceptance is its latest row. Batches
     are cut at quantiles of ``ts``; rows of equal ``ts`` share a batch; null ``ts`` is earliest. Rows with a null key take
-    no part.
+    no part. The source is read once.
     """
     spark = df.sparkSession
-    rows = cut(df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(ts).alias("ts"), F.col(key).alias("key"))).df
-    at = rows.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    cuts = sorted({*(at or [])}, reverse=True)
+    producer, number = sequence_parts(F.col("key"))
+    keyed = df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("row_id"), F.col(ts).alias("ts"), F.col(key).alias("key"))
+    rows = cut(keyed.withColumns({"producer": producer, "number": number})).df
     us = F.unix_micros(F.col("ts").cast("timestamp"))
+    at = rows.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    cuts = sorted({*(at or [])}, reverse=True)
     ranges = spark.createDataFrame([], RANGE_SCHEMA)
     known = spark.createDataFrame([], "key string")
     out = None
@@ -95,9 +115,11 @@ def accepted_rows(df: DataFrame, row_id: str, key: str, ts: str, batches: int =
         numbers = got.where(F.col("producer").isNotNull())
         new_ranges = numbers.select("producer", "chunk", F.col("number").alias("lo"), F.col("number").alias("hi"))
         ranges = merge_ranges(ranges.unionByName(new_ranges))
+        if i < len(cuts):
+            ranges = cut(ranges).df
         known = known.unionByName(got.where(F.col("producer").isNull()).select("key"))
         out = got if out is None else out.unionByName(got)
-    return out.select("row_id", "key"), ranges
+    return Deliveries(out.select("row_id", "key", "producer"), ranges, rows)
 
 
 def surplus_rows(df: DataFrame, row_id: str, key: str, ts: str, batches: int = 2) -> DataFrame:
@@ -105,5 +127,5 @@ def surplus_rows(df: DataFrame, row_id: str, key: str, ts: str, batches: int = 2
 
     ``row_id`` is unique, so the last anti-join spreads evenly even where one key holds most rows.
     """
-    accepted, _ = accepted_rows(df, row_id, key, ts, batches)
-    return df.where(F.col(key).isNotNull()).select(row_id).join(accepted.select(F.col("row_id").alias(row_id)), row_id, "left_anti")
+    d = take_batches(df, row_id, key, ts, batches)
+    return d.rows.select("row_id").join(d.accepted.select("row_id"), "row_id", "left_anti").select(F.col("row_id").alias(row_id))

@@ -12,10 +12,11 @@ import json
 from collections.abc import Iterator
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from idloom.functions.deepjson import loads
 from idloom.storage import cut
 
 
@@ -45,18 +46,46 @@ def _canonical(x, unordered: frozenset[str] = frozenset()) -> str:
     return json.dumps(x)
 
 
-def _refuse(_):
-    raise ValueError
+def _deep(x, unordered: frozenset[str]) -> str:
+    """``_canonical`` with an explicit stack, for nesting beyond Python's recursion limit."""
+    done: list[str] = []
+    todo: list[tuple] = [(x, unordered, None)]
+    while todo:
+        v, loose, close = todo.pop()
+        if close is not None:
+            keys, sort = close
+            n = len(v)
+            parts = done[len(done) - n :]
+            del done[len(done) - n :]
+            if keys is None:
+                done.append("[" + ",".join(sorted(parts) if sort else parts) + "]")
+            else:
+                done.append("{" + ",".join(json.dumps(k) + ":" + p for k, p in zip(keys, parts, strict=True)) + "}")
+        elif isinstance(v, dict):
+            keys = sorted(v)
+            todo.append((v, None, (keys, False)))
+            todo.extend((v[k], frozenset(), None) if not (k in loose and isinstance(v[k], list)) else (v[k], None, None) for k in reversed(keys))
+        elif isinstance(v, list):
+            todo.append((v, None, (None, loose is None)))
+            todo.extend((y, frozenset(), None) for y in reversed(v))
+        else:
+            done.append(_canonical(v))
+    return done[0]
+
+
+def canonical(x, unordered: frozenset[str] = frozenset()) -> str:
+    try:
+        return _canonical(x, unordered)
+    except RecursionError:
+        return _deep(x, unordered)
 
 
 def parse_object(text: str | None):
     """The object (or other JSON value) of a payload; None where it is unreadable."""
     try:
-        x = json.loads(text, parse_float=_number, parse_int=_number, parse_constant=_refuse)
-        if isinstance(x, str) and not isinstance(x, Number):
-            x = json.loads(x, parse_float=_number, parse_int=_number, parse_constant=_refuse)
-        return x
-    except (ValueError, TypeError, RecursionError, ArithmeticError):
+        x = loads(text, _number)
+        return loads(x, _number) if isinstance(x, str) and not isinstance(x, Number) else x
+    except (ValueError, TypeError, ArithmeticError):
         return None
 
 
@@ -71,20 +100,24 @@ def fingerprints(df: DataFrame, raw: str, parts: list[str], content: str, unorde
     loose = frozenset(unordered)
     df = df.drop(*[c for c in (*parts, "_print") if c != raw])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [f for f in df.schema.fields if f.name != raw]
+    names = [*[f.name for f in kept], *parts, "_print"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got: dict[str, list] = {p: [] for p in (*parts, "_print")}
-            for text in b.pop(raw):
+            for text in b.column(at).to_pylist():
                 x = parse_object(text)
                 ok = isinstance(x, dict)
                 for p in parts:
                     got[p].append(_text(x.get(p)) if ok else None)
-                got["_print"].append(hashlib.sha256(_canonical(x.get(content), loose).encode("utf-8", "surrogatepass")).digest() if ok else None)
-            yield b.assign(**got)
+                got["_print"].append(hashlib.sha256(canonical(x.get(content), loose).encode("utf-8", "surrogatepass")).digest() if ok else None)
+            new = [pa.array(got[p], pa.string()) for p in parts] + [pa.array(got["_print"], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns) if i != at], *new], names)
 
-    kept = [f for f in df.schema.fields if f.name != raw]
+    at = df.columns.index(raw)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{p}` string" for p in parts), "_print binary"])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def assign_ordinals(keys: DataFrame, names: list[str], known: DataFrame | None = None) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from idloom.functions.payload import get_text, payload
 from idloom.functions.text import micros, norm_text
-from idloom.operators.deliveries import accepted_rows, surplus_rows
+from idloom.operators.deliveries import surplus_rows, take_batches
 from idloom.operators.packed import explode_packed, split_addresses, split_values
 from idloom.operators.sessions import sessionize
-from idloom.operators.shred import entity_nodes, entity_table, shred
+from idloom.operators.shred import BARE_LISTS, entity_rows, entity_table
 from idloom.operators.snapshots import fingerprints, snapshot_changes
 
 #: Production parameters.
@@ -39,7 +39,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_seen_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """The disjoint seen ranges of the producer-sequence identifiers after all batches."""
-    return accepted_rows(messages_keyed(spark, sf), "_row_id", "_key", "_ingested_at")[1]
+    return take_batches(messages_keyed(spark, sf), "_row_id", "_key", "_ingested_at").ranges
 
 
 def p4_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,30 +77,51 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("organization_id", "layer_slug", micros(F.col("_ingested_at")).alias("snapshot_us"), "change")
 
 
-def p7_nodes(spark: SparkSession, sf: str, scalars: bool = True) -> DataFrame:
-    """The adjacency table of the three payload tables."""
-    return reduce(DataFrame.unionByName, [shred(_read(spark, sf, t), "_row_id", c, scalars=scalars).select(F.lit(t).alias("source_table"), "*") for t, c in PAYLOADS])
+def payload_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of every flat table of the three payload tables."""
+    return reduce(DataFrame.unionByName, [entity_rows(_read(spark, sf, t), "_row_id", c).select(F.lit(t).alias("source_table"), "*") for t, c in PAYLOADS])
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    n = p7_nodes(spark, sf, scalars=False)
-    return n.where((F.col("kind") == "object") & F.col("node_path").isNotNull()).select("source_table", "_row_id", "node_path", "parent_path")
-
-
-def p7_refunds(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat table of refunds and charges of the payments, each pointing to its parent."""
-    n = shred(_read(spark, sf, "stripe_payments_raw_demo"), "_row_id", "data")
-    return entity_table(n, "_row_id", "data", ["id", "object", "amount", "currency", "reason"])
-
-
-def p7_locations(spark: SparkSession, sf: str) -> DataFrame:
-    """The flat table of shop locations."""
-    n = shred(_read(spark, sf, "shopify_shops_raw_demo"), "_row_id", "record")
-    return entity_table(n, "_row_id", "locations", ["id"])
+    """The keys of the rows of all flat tables but the roots'. The cells stay part of the plan: a row is the join of its
+    object with its scalars."""
+    return payload_entities(spark, sf).where("entity <> '$'").select("source_table", "_row_id", "node_path", "parent_path")
+
+
+#: The flat tables: name -> (source table, list paths, columns).
+FLAT = {
+    "p7_headers": ("gmail_messages", "headers", ["name", "value"]),
+    "p7_parts": ("gmail_messages", "parts", {"part_id": "partId", "mime_type": "mimeType", "filename": "filename"}),
+    "p7_charges": ("stripe_payments_raw_demo", "$.charges.data[]", ["id", "object", "amount", "currency", "captured"]),
+    "p7_refunds": ("stripe_payments_raw_demo", "$.charges.data[].refunds.data[]", ["id", "amount", "reason"]),
+    "p7_adjustments": ("stripe_payments_raw_demo", "adjustments", ["code", "amount"]),
+    "p7_disputes": ("stripe_payments_raw_demo", "disputes", ["id", "status"]),
+    "p7_evidence_files": ("stripe_payments_raw_demo", "$.charges.data[].disputes[].evidence.files[]", ["name", "pages"]),
+    "p7_attempts": ("stripe_payments_raw_demo", "$.last_payment_error.attempts[]", ["at", "ok"]),
+    "p7_line_items": ("stripe_payments_raw_demo", "$.line_items.data[]", ["id", "quantity"]),
+    "p7_tiers": ("stripe_payments_raw_demo", "tiers", ["up_to", "unit_amount"]),
+    "p7_taxes": ("stripe_payments_raw_demo", "taxes", ["amount"]),
+    "p7_locations": ("shopify_shops_raw_demo", "locations", ["id"]),
+    "p7_hours": ("shopify_shops_raw_demo", "hours", {"day": "day", "opens": "open", "closes": "close"}),
+    "p7_regions": ("shopify_shops_raw_demo", "regions", ["code"]),
+    "p7_rates": ("shopify_shops_raw_demo", "rates", ["name", "pct"]),
+    "p7_flags": ("shopify_shops_raw_demo", "flags", {"key": "key", "is_on": "on"}),
+    "p7_webhook_deliveries": ("shopify_shops_raw_demo", "deliveries", ["at", "code"]),
+}
+
+
+def flat_table(name: str):
+    """The query of one flat table, each row pointing to its parent."""
+    table, lists, columns = FLAT[name]
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return entity_table(entity_rows(_read(spark, sf, table), "_row_id", dict(PAYLOADS)[table]), "_row_id", lists, columns)
+
+    return run
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_seen_ranges, p4_found, p4_sessions, p5_found, p6_found, p7_found, p7_refunds, p7_locations)}
+    return {f.__name__: f for f in (p3_found, p3_seen_ranges, p4_found, p4_sessions, p5_found, p6_found, p7_found)} | {n: flat_table(n) for n in FLAT}
 
 
 _KEYED = """
@@ -123,14 +144,37 @@ g as (select *, sum(opens) over (partition by device order by us rows unbounded
 """
 
 
+def _tree(tables: tuple[tuple[str, str], ...]) -> str:
+    """The element objects of the payloads by SQL: (source_table, _row_id, node_path, parent_path, entity, value)."""
+    docs = " union all ".join(f"select '{t}' as t, _row_id, case when json_type({c}) = 'VARCHAR' then json_extract_string({c}, '$') else {c} end as j from {t} where json_valid({c})" for t, c in tables)
+    bare = "|".join(BARE_LISTS)
+    fix = rf"'(\.(?:{bare}))(\.|$)', '\1[0]\2', 'g'"
+    return rf"""
+with docs as ({docs}),
+tree as (select t, _row_id, replace(fullkey, '"', '') as p, key, x.value as v from docs, json_tree(case when json_valid(j) then j end) x where x.type = 'OBJECT'),
+found as (select t as source_table, _row_id, regexp_replace(regexp_replace(p, {fix}), {fix}) as node_path, v from tree where regexp_matches(p, '\]$|\.({bare})$')),
+nodes as (select *, coalesce(nullif(regexp_extract(regexp_replace(node_path, '\[\d+\]$', ''), '^(.*\])', 1), ''), '$') as parent_path, regexp_replace(node_path, '\[\d+\]', '[]', 'g') as entity from found)
+"""
+
+
+def _flat_sql(name: str) -> str:
+    table, lists, columns = FLAT[name]
+    cols = columns if isinstance(columns, dict) else {c: c for c in columns}
+    cells = ", ".join(f"json_extract_string(v, '$.{p}') as {c}" for c, p in cols.items())
+    hit = f"entity = '{lists}'" if lists.startswith("$") else f"entity like '%.{lists}[]'"
+    return _tree(((table, dict(PAYLOADS)[table]),)) + f"select _row_id, node_path, parent_path, {cells} from nodes where {hit}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
+    return {n: _flat_sql(n) for n in FLAT} | {
+        "p7_found": _tree(PAYLOADS) + "select source_table, _row_id, node_path, parent_path from nodes",
         "p3_found": _KEYED + """select _row_id from (
   select _row_id, row_number() over (partition by k order by _ingested_at desc nulls last, _row_id desc) as n
   from keyed where k is not null and k <> '') where n > 1""",
         "p3_seen_ranges": _KEYED + """, s as (
-  select distinct substr(k, 1, length(k) - 9) as producer, cast(substr(k, length(k) - 8) as bigint) as number
-  from keyed where regexp_full_match(k, '[1-9][0-9]{9,29}')),
+  select distinct case when regexp_full_match(k, '[0-9a-f]{16}') then 'x' || substr(k, 1, 4) else 'd' || substr(k, 1, length(k) - 9) end as producer,
+    case when regexp_full_match(k, '[0-9a-f]{16}') then cast('0x' || substr(k, 5) as bigint) else cast(substr(k, length(k) - 8) as bigint) end as number
+  from keyed where regexp_full_match(k, '[1-9][0-9]{9,29}|[0-9a-f]{16}')),
 i as (select producer, number, number // 65536 as chunk,
   number - row_number() over (partition by producer, number // 65536 order by number) as island from s)
 select producer, chunk, min(number) as lo, max(number) as hi from i group by producer, chunk, island""",

@@ -1,4 +1,4 @@
-from idloom.operators.deliveries import accepted_rows, merge_ranges, surplus_rows, uncovered
+from idloom.operators.deliveries import merge_ranges, sequence_parts, surplus_rows, take_batches, uncovered
 
 SCHEMA = "row_id bigint, ts timestamp_ntz, key string, ts2 string"
 
@@ -38,9 +38,23 @@ def test_ranges_merge_and_cover(spark):
 
 
 def test_seen_ranges_are_disjoint(spark):
-    data = [(i, f"2023-01-0{1 + i % 5}", str(1000000000000000 + i // 2), "b") for i in range(60)]
-    _, ranges = accepted_rows(rows(spark, data), "row_id", "key", "ts")
-    assert [tuple(r) for r in ranges.collect()] == [("1000000", 0, 0, 29)]
+    data = [(i, f"2023-01-0{1 + i % 5}", f"{(0x1000 << 48) + i // 2:016x}", "b") for i in range(60)]
+    d = take_batches(rows(spark, data), "row_id", "key", "ts")
+    assert [tuple(r) for r in d.ranges.collect()] == [("x1000", 0, 0, 29)]
+    data = [(i, f"2023-01-0{1 + i % 5}", str(10**17 + i // 2), "b") for i in range(60)]
+    d = take_batches(rows(spark, data), "row_id", "key", "ts")
+    assert [tuple(r) for r in d.ranges.collect()] == [("d100000000", 0, 0, 29)]
+
+
+def test_identifiers_of_both_spellings(spark):
+    keys = ["00000000000000ff", "ffffffffffffffff", "FFFFFFFFFFFFFFFF", "1000000000", "999999999", "1" * 30, "1" * 31, "1234567890123456", "12345678901234567", "abc", "g" * 16]
+    got = {r.k: (r.p, r.n) for r in (lambda d: d.select("k", *[c.alias(a) for c, a in zip(sequence_parts(d.k), "pn", strict=True)]))(spark.createDataFrame([(k,) for k in keys], "k string")).collect()}
+    assert got["00000000000000ff"] == ("x0000", 255) and got["ffffffffffffffff"] == ("xffff", 2**48 - 1) and got["1000000000"] == ("d1", 0)
+    assert got["1" * 30] == ("d" + "1" * 21, 111111111) and got["1234567890123456"] == ("x1234", int("567890123456", 16)) and got["12345678901234567"] == ("d12345678", 901234567)
+    assert [k for k in keys if got[k] == (None, None)] == ["FFFFFFFFFFFFFFFF", "999999999", "1" * 31, "abc", "g" * 16]
+    data = [(i, f"2023-01-0{1 + i % 7}", keys[i % len(keys)], "b") for i in range(90)]
+    for batches in (1, 3):
+        assert sorted(r[0] for r in surplus_rows(rows(spark, data), "row_id", "key", "ts", batches).collect()) == brute(data)
 
 
 def test_empty(spark):

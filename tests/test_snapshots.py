@@ -62,3 +62,16 @@ def test_empty(spark):
     assert snapshot_changes(df, "g", "k", "t", "c").count() == 0
     one = spark.createDataFrame([("g", "k", 1, b"x")], "g string, k string, t bigint, c binary")
     assert snapshot_changes(one, "g", "k", "t", "c").select(F.count("*")).first()[0] == 0
+
+
+def test_any_depth_has_one_spelling():
+    import json
+
+    from idloom.operators.snapshots import _deep, canonical, parse_object
+
+    loose = frozenset(["metrics"])
+    for t in ('{"metrics":[{"b":1.0,"a":[2,1]},1],"x":{"metrics":[2,1]},"e":[],"o":{}}', "null", "[1,[2,[]]]", '"t"'):
+        assert _deep(parse_object(t), loose) == canonical(parse_object(t), loose)
+    deep = parse_object('{"a":' + "[" * 50_000 + "1.0" + "]" * 50_000 + "}")
+    assert canonical(deep) == '{"a":' + "[" * 50_000 + "n1" + "]" * 50_000 + "}"
+    assert canonical(parse_object(json.dumps({"b": 1, "a": 2}))) == canonical(parse_object('{"a":2.0,"b":1e0}'))
