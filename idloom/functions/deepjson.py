@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
+
 _BLANK = re.compile(r"[ \t\n\r]*")
 _ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
 _string = json.JSONDecoder().parse_string
@@ -94,3 +96,11 @@ def loads(text: str, number=None):
         return json.loads(text, parse_constant=_refuse, parse_float=number, parse_int=number) if number else json.loads(text, parse_constant=_refuse)
     except RecursionError:
         return loads_deep(text, number)
+
+
+def text_array(values: list) -> pa.Array:
+    """Text as Arrow; lone surrogates, which no UTF-8 text can hold, become U+FFFD."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None or v.isascii() else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idloom.functions.deepjson import loads
+from idloom.functions.deepjson import loads, text_array
 
 #: Keys under which one bare object stands for a list of one.
 BARE_LISTS = ("parts", "data", "taxes", "rates", "locations")
@@ -85,14 +85,6 @@ class Nodes:
                 scalar.append(x if isinstance(x, str) else json.dumps(x))
 
 
-def _text(values: list) -> pa.Array:
-    """Text as Arrow; lone surrogates, which no UTF-8 text can hold, become U+FFFD."""
-    try:
-        return pa.array(values, pa.string())
-    except UnicodeEncodeError:
-        return pa.array([v if v is None or v.isascii() else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
-
-
 def link(n: Nodes) -> tuple[list[int], dict[int, tuple[str, str, str | None]], list[str | None]]:
     """(owner, entities, names) of the nodes, by following ``parent``.
 
@@ -145,7 +137,7 @@ def join_children(n: Nodes, owner: list[int], entities: dict, names: list[str |
     left, right = np.searchsorted(of, heads, "left"), np.searchsorted(of, heads, "right")
     offsets = np.concatenate([[0], np.cumsum(right - left)]).astype(np.int32)
     # Owners ascend with the heads, so the matched leaves are the sorted leaves themselves.
-    return heads, _text([names[i] for i in leaves]), _text([n.scalar[i] for i in leaves]), offsets
+    return heads, text_array([names[i] for i in leaves]), text_array([n.scalar[i] for i in leaves]), offsets
 
 
 def _run(df: DataFrame, row_id: str, raw: str, bare: tuple[str, ...], schema: str, make: Callable[[Nodes], tuple[list, np.ndarray]]) -> DataFrame:
@@ -186,7 +178,7 @@ def shred(df: DataFrame, row_id: str, raw: str, bare: tuple[str, ...] = BARE_LIS
         start, parent = np.array(n.start, dtype=np.int64), np.array(n.parent, dtype=np.int64)
         at = np.arange(len(n), dtype=np.int64)
         local = pa.array(parent - np.where(parent < 0, 0, start), pa.int64(), mask=parent < 0)
-        return [pa.array(at - start, pa.int64()), local, _text(n.label), pa.array(n.ordinal, pa.int32()), pa.array(n.kind, pa.string()), _text(n.scalar)], at
+        return [pa.array(at - start, pa.int64()), local, text_array(n.label), pa.array(n.ordinal, pa.int32()), pa.array(n.kind, pa.string()), text_array(n.scalar)], at
 
     return _run(df, row_id, raw, bare, NODES, make)
 
@@ -206,7 +198,7 @@ def entity_rows(df: DataFrame, row_id: str, raw: str, bare: tuple[str, ...] = BA
         heads, keys, values, offsets = join_children(n, owner, entities, names)
         rows = list(entities.values())
         cells = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys, values)
-        return [_text([r[0] for r in rows]), _text([r[1] for r in rows]), _text([r[2] for r in rows]), cells], heads
+        return [text_array([r[0] for r in rows]), text_array([r[1] for r in rows]), text_array([r[2] for r in rows]), cells], heads
 
     return _run(df, row_id, raw, bare, ENTITIES, make)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from idloom.functions.deepjson import loads
+from idloom.functions.deepjson import loads, text_array
 from idloom.storage import cut
 
 
@@ -112,7 +112,7 @@ def fingerprints(df: DataFrame, raw: str, parts: list[str], content: str, unorde
                 for p in parts:
                     got[p].append(_text(x.get(p)) if ok else None)
                 got["_print"].append(hashlib.sha256(canonical(x.get(content), loose).encode("utf-8", "surrogatepass")).digest() if ok else None)
-            new = [pa.array(got[p], pa.string()) for p in parts] + [pa.array(got["_print"], pa.binary())]
+            new = [text_array(got[p]) for p in parts] + [pa.array(got["_print"], pa.binary())]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns) if i != at], *new], names)
 
     at = df.columns.index(raw)
