@@ -7,15 +7,15 @@ edges, so the rounds grow with the logarithm of the records, whatever the shape
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.text import norm_text
+from idloom.operators.skew import counted, join_label
 from idloom.storage import Table, cut
 
-#: A label carried by more rows than this is joined in salted parts of about so many rows.
-HOT_ROWS = 500_000
-
 
 def node_id(*parts: Column) -> Column:
     """A 128-bit node identifier of a tuple of texts; lengths keep ('a', 'bc') and ('ab', 'c') apart."""
@@ -27,41 +27,44 @@ def star_edges(members: DataFrame, link: str, node: str) -> DataFrame:
     return members.select(F.col(node).alias("u"), F.col(link).alias("v"))
 
 
-def _collapse(parent: Table) -> Table:
-    """Pointer doubling: every node's parent becomes the root of its tree."""
-    while True:
-        p = parent.df
-        up = p.select(F.col("parent").alias("_at"), F.col("node").alias("_child"))
-        step = (
-            up.join(p.select(F.col("node").alias("_at"), F.col("parent").alias("_next")), "_at", "left")
-            .select(F.col("_child").alias("node"), F.coalesce("_next", "_at").alias("parent"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("_at"))).alias("moved"))
-        )
-        out = cut(step)
-        parent.drop()
-        parent = Table(out.df.select("node", "parent"), out.path)
-        if out.df.where("moved").isEmpty():
-            return parent
+def _union(tables: list[Table]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.df for t in tables])
+
+
+def _collapse(hooks: Table) -> list[Table]:
+    """Pointer doubling: (node, parent, settled) tables in which every node's parent is the root of its tree.
+
+    hooks: (node, parent, settled), where roots are their own settled parents. A node settles once its parent is known to
+    be a root; settled nodes are written once and only looked up afterwards, the active ones jump to their parent's
+    parent. A parent with many active children is looked up in parts.
+    """
+    done = [Table(hooks.df.where("settled"), hooks.path)]
+    active = Table(hooks.df.where("not settled"), hooks.path)
+    while not active.df.isEmpty():
+        up = active.df.select(F.col("parent").alias("_at"), "node")
+        at = _union([*done, active]).select(F.col("node").alias("_at"), F.col("parent").alias("_next"), F.col("settled").alias("_settled"))
+        step = join_label(up, counted(at, up, "_at"), "_at", "_size", "node")
+        out = cut(step.select("node", F.col("_next").alias("parent"), F.col("_settled").alias("settled")))
+        done.append(Table(out.df.where("settled"), out.path))
+        active = Table(out.df.where("not settled"), out.path)
+    return done
 
 
 def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
-    """Edges between components: both ends replaced by their roots, loops dropped, duplicates merged map-side."""
-    at = parent.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    e = edges.join(at, F.col("u") == F.col("_n"), "left").select(F.coalesce("_p", "u").alias("u"), "v")
-    e = e.join(at, F.col("v") == F.col("_n"), "left").select("u", F.coalesce("_p", "v").alias("v"))
+    """Edges between components: both ends replaced by their roots, loops dropped, duplicates merged map-side. The many
+    edges of a hub are joined in parts."""
+    e = edges
+    for end, other in (("u", "v"), ("v", "u")):
+        at = parent.select(F.col("node").alias(end), F.col("parent").alias("_p"))
+        e = join_label(e, counted(at, e, end), end, "_size", other).select(F.coalesce("_p", end).alias(end), other)
     return e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def boruvka(edges: DataFrame) -> tuple[DataFrame, int]:
-    """((node, root) of every node with an edge, rounds) for undirected edges (u, v) of comparable ids.
-
-    Edges are ordered by (least, greatest) of their ends' labels, the same from either end, so the selected edges form
-    trees but for pairs that chose each other; of such a pair the smaller label is the root. Loops and repeated edges,
-    also reversed ones, change nothing; edges with a null end are left out; no edges give no rows. Each round's tables are
-    written to the shared folder and those of the round before deleted.
-    """
+def components(edges: DataFrame) -> tuple[list[Table], int]:
+    """``boruvka`` with its result as tables that the caller drops."""
     clean = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     current = cut(clean)
-    labels: Table | None = None
+    labels: list[Table] = []
     rounds = 0
     while not current.df.isEmpty():
         rounds += 1
@@ -73,37 +76,40 @@ def boruvka(edges: DataFrame) -> tuple[DataFrame, int]:
         # A pair that chose the same edge from both ends: its smaller end becomes the root.
         b = picks.df
         chosen = b.groupBy("e").agg(F.count("*").alias("_n")).where("_n = 2").select(F.col("e.u").alias("node"), F.lit(True).alias("_root"))
-        hooks = cut(b.join(chosen, "node", "left").select("node", F.when(F.col("_root"), F.col("node")).otherwise(F.col("parent")).alias("parent")))
+        root = F.coalesce("_root", F.lit(False))
+        hooks = cut(b.join(chosen, "node", "left").select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent"), root.alias("settled")))
         picks.drop()
-        parent = _collapse(hooks)
-        nxt = cut(_relabel(e, parent.df))
+        parts = _collapse(hooks)
+        parent = _union(parts)
+        nxt = cut(_relabel(e, parent))
         current.drop()
         current = nxt
-        if labels is None:
-            labels = parent
-        else:
-            at = parent.df.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-            merged = cut(labels.df.join(at, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent")))
-            labels.drop()
-            parent.drop()
-            labels = merged
-    if labels is None:
-        return clean.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0), rounds
-    return labels.df.select("node", F.col("parent").alias("root")), rounds
-
-
-def join_label(rows: DataFrame, labels: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``rows`` left-joined with one row of ``labels`` per key, hot keys in parts.
-
-    ``labels`` counts in ``size`` the rows that carry each key. A key over ``hot_rows`` is repeated once for each part and
-    its rows are spread over the parts. The list of such keys is at most rows / hot_rows long, whatever the data, and is
-    all that is broadcast.
+        if not labels:
+            labels = parts
+            continue
+        # Labels of the rounds before move on to the new roots; those of a hot root in parts.
+        old = _union(labels).select("node", "parent")
+        at = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
+        merged = cut(join_label(old, counted(at, old, "parent"), "parent", "_size", "node").select("node", F.coalesce("_p", "parent").alias("parent")))
+        for t in (*labels, *parts):
+            t.drop()
+        labels = [merged]
+    current.drop()
+    return labels, rounds
+
+
+def boruvka(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((node, root) of every node with an edge, rounds) for undirected edges (u, v) of comparable ids.
+
+    Edges are ordered by (least, greatest) of their ends' labels, the same from either end, so the selected edges form
+    trees but for pairs that chose each other; of such a pair the smaller label is the root. Loops and repeated edges,
+    also reversed ones, change nothing; edges with a null end are left out; no edges give no rows. Each round's tables are
+    written to the shared folder and those of the round before deleted.
     """
-    parts = F.ceil(F.col(size) / hot_rows).cast("int")
-    hot = labels.where(F.col(size) > hot_rows).select(F.col(key), parts.alias("_parts"))
-    many = labels.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size)
-    spread = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.floor(F.rand(7) * F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    return spread.join(many, [key, "_part"], "left").drop("_part")
+    labels, rounds = components(edges)
+    if not labels:
+        return edges.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0), rounds
+    return _union([Table(t.df.select("node", F.col("parent").alias("root")), t.path) for t in labels]), rounds
 
 
 def group_identifiers(df: DataFrame, entity_type: str, link: str, id_type: str, id_value: str) -> DataFrame:
@@ -116,13 +122,17 @@ def group_identifiers(df: DataFrame, entity_type: str, link: str, id_type: str,
     """
     rows = df.select(F.col(entity_type).alias("entity_type"), F.col(id_type).alias("identifier_type"), norm_text(F.col(id_value)).alias("identifier_value"), F.col(link).alias("link"))
     rows = rows.where("entity_type is not null and identifier_type is not null and identifier_value is not null").distinct()
-    rows = cut(rows.withColumn("node", node_id(F.lit("i"), F.col("entity_type"), F.col("identifier_type"), F.col("identifier_value")))).df
+    written = cut(rows.withColumn("node", node_id(F.lit("i"), F.col("entity_type"), F.col("identifier_type"), F.col("identifier_value"))))
+    rows = written.df
     members = rows.where("link is not null").select("node", node_id(F.lit("e"), F.col("entity_type"), F.col("link")).alias("link"))
-    roots, _ = boruvka(star_edges(members, "link", "node"))
+    labels, _ = components(star_edges(members, "link", "node"))
     nodes = rows.select("node", "entity_type", "identifier_type", "identifier_value", F.concat_ws(":", "identifier_type", "identifier_value").alias("_text")).distinct()
+    roots = _union(labels).select("node", F.col("parent").alias("root")) if labels else nodes.select("node", F.col("node").alias("root")).limit(0)
     found = cut(nodes.join(roots, "node", "left")).df
+    for t in (written, *labels):
+        t.drop()
     linked = found.where("root is not null")
     least = linked.groupBy("root").agg(F.min("_text").alias("group_key"), F.count("*").alias("_size"))
-    named = join_label(linked, least, "root", "_size")
+    named = join_label(linked, least, "root", "_size", "node")
     cols = ["entity_type", "identifier_type", "identifier_value"]
     return named.select(*cols, "group_key").unionByName(found.where("root is null").select(*cols, F.col("_text").alias("group_key")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idloom.llm.groups import join_label
+from idloom.operators.skew import join_label
 from idloom.storage import cut
 
 #: Organizations that must give the same masked response where it has a telling word or no content sentence.
@@ -230,7 +230,7 @@ def residue(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts:
     shared = j.where("print is not null").groupBy("print").agg(F.count_distinct(F.when(~F.col("fits"), F.coalesce("host", F.lit("")))).alias("_hosts"), F.count("*").alias("_n"), F.count_if("fits").alias("_fit"), F.max("evidence").alias("_evidence"))
     enough = (F.col("_hosts") >= F.when(F.col("_evidence") > 0, hosts).otherwise(wide_hosts)) & ((F.col("_evidence") == 2) | (F.col("_fit") <= FITTING_SHARE * F.col("_n")))
     shared = shared.where(enough).select("print", "_n").withColumn("_dup", F.lit(True))
-    weak = join_label(j.where("print is not null and not fits and not placeholder and not flagged").select("_id", "print"), shared, "print", "_n").where("_dup")
+    weak = join_label(j.where("print is not null and not fits and not placeholder and not flagged").select("_id", "print"), shared, "print", "_n", "_id").where("_dup")
     return j.where("placeholder or flagged").select("_id").unionByName(weak.select("_id")).withColumnRenamed("_id", doc_id)
 
 

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from idloom.llm.groups import boruvka, group_identifiers, join_label
+from idloom.llm.groups import boruvka, group_identifiers
+from idloom.operators import skew
 
 SCHEMA = "entity_type string, edge string, identifier_type string, identifier_value string, node string, group_key string"
 
@@ -66,5 +67,13 @@ def test_empty(spark):
 def test_hot_labels_join_in_parts(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 700, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     labels = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("label", F.upper("k"))
-    got = join_label(rows, labels, "k", "n", hot_rows=100)
+    got = skew.join_label(rows, labels, "k", "n", "id", hot_rows=100)
     assert got.count() == 1000 and got.where("label = 'HOT'").count() == 700 and got.where("label is null").count() == 0
+
+
+def test_hubs_join_in_parts(spark, monkeypatch):
+    """With every key of more than a few rows split, the groups stay the same."""
+    monkeypatch.setattr(skew.join_label, "__defaults__", (5,))
+    rows = [("p", "hub", "h", str(i)) for i in range(120)] + [("p", f"e{i}", "h", str(i % 120)) for i in range(200)] + [("p", f"e{i}", "t", str(i // 3)) for i in range(200)]
+    rows += [("p", f"c{i}", "z", f"{(i + k) * 37 % 101}") for i in range(90) for k in (0, 1)]
+    assert run(spark, rows) == brute(rows)
