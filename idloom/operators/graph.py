@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id, surrogate_key
+from idloom.operators.skew import join_even
 from idloom.storage import cut
 
 _ENDS = ["entity_type_a", "identifier_type_a", "identifier_value_a", "entity_type_b", "identifier_type_b", "identifier_value_b"]
@@ -59,17 +60,18 @@ def filtered_orphans(identifiers: DataFrame, edges: DataFrame) -> DataFrame:
 
 def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFrame:
     """(node, label): the least label within ``rounds`` hops (None: to the fixpoint), where one hop leads from a node over
-    a link to every node of that link. links: (node, link). A round is linear in the rows of ``links``; both halves are
-    map-side combined minima, so a link or node with many rows is no hot key. Rounds are cut into written tables and end
-    early when no label changes, which can't change the result."""
+    a link to every node of that link. links: (node, link). A round is linear in the rows of ``links``; both minima
+    are combined map-side, and the rows of a link or node with many of them are joined in parts. Rounds are cut into
+    written tables and end early when no label changes, which can't change the result. Every node of ``links`` must be
+    one of ``nodes``."""
     table = cut(nodes.select("node", F.col("node").alias("label")))
     l = cut(links).df
     done = 0
     while rounds is None or done < rounds:
         done += 1
         cur = table.df
-        heard = l.join(cur, "node").groupBy("link").agg(F.min("label").alias("label"))
-        best = l.join(heard, "link").groupBy("node").agg(F.min("label").alias("_new"))
+        heard = join_even(l, cur, "node", "link").groupBy("link").agg(F.min("label").alias("label"))
+        best = join_even(l, heard, "link", "node").groupBy("node").agg(F.min("label").alias("_new"))
         nxt = cut(cur.join(best, "node", "left").select("node", F.least("label", F.coalesce("_new", "label")).alias("label"), (F.col("_new") < F.col("label")).alias("_moved")))
         table.drop()
         moved = not nxt.df.where("_moved").isEmpty()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idloom.storage import cut
+
 #: A label carried by more rows than this is joined in salted parts of about so many rows.
 HOT_ROWS = 500_000
 
@@ -25,6 +27,16 @@ def join_label(rows: DataFrame, labels: DataFrame, key: str, size: str, spread_b
     return spread.join(many, [key, "_part"], "left").drop("_part")
 
 
-def counted(labels: DataFrame, rows: DataFrame, key: str, size: str = "_size") -> DataFrame:
-    """``labels`` with the number of ``rows`` that carry each key, counted map-side; labels without rows are left out."""
-    return labels.join(rows.groupBy(key).agg(F.count("*").alias(size)), key)
+def join_even(rows: DataFrame, labels: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` left-joined with one row of ``labels`` per key, whatever the keys' sizes; ``rows`` should be a written table.
+
+    The keys with more than ``hot_rows`` rows are counted first, map-side. If there is none, nearly always, the join is a
+    plain one; else their rows are spread as in ``join_label``. Both plans give the same rows.
+    """
+    if len(rows.limit(hot_rows + 1).select(F.lit(1)).groupBy().agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).take(1)) == 0:
+        return rows.join(labels, key, "left")  # too few rows for a hot key
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
+    hot = cut(sizes).df
+    if hot.isEmpty():
+        return rows.join(labels, key, "left")
+    return join_label(rows, labels.join(F.broadcast(hot), key, "left").fillna(1, ["_size"]), key, "_size", spread_by, hot_rows)
