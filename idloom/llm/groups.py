@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.text import norm_text
-from idloom.operators.skew import counted, join_label
+from idloom.operators.skew import join_even, join_label
 from idloom.storage import Table, cut
 
 
@@ -43,7 +43,7 @@ def _collapse(hooks: Table) -> list[Table]:
     while not active.df.isEmpty():
         up = active.df.select(F.col("parent").alias("_at"), "node")
         at = _union([*done, active]).select(F.col("node").alias("_at"), F.col("parent").alias("_next"), F.col("settled").alias("_settled"))
-        step = join_label(up, counted(at, up, "_at"), "_at", "_size", "node")
+        step = join_even(up, at, "_at", "node")
         out = cut(step.select("node", F.col("_next").alias("parent"), F.col("_settled").alias("settled")))
         done.append(Table(out.df.where("settled"), out.path))
         active = Table(out.df.where("not settled"), out.path)
@@ -56,7 +56,7 @@ def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
     e = edges
     for end, other in (("u", "v"), ("v", "u")):
         at = parent.select(F.col("node").alias(end), F.col("parent").alias("_p"))
-        e = join_label(e, counted(at, e, end), end, "_size", other).select(F.coalesce("_p", end).alias(end), other)
+        e = join_even(e, at, end, other).select(F.coalesce("_p", end).alias(end), other)
     return e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -90,7 +90,7 @@ def components(edges: DataFrame) -> tuple[list[Table], int]:
         # Labels of the rounds before move on to the new roots; those of a hot root in parts.
         old = _union(labels).select("node", "parent")
         at = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
-        merged = cut(join_label(old, counted(at, old, "parent"), "parent", "_size", "node").select("node", F.coalesce("_p", "parent").alias("parent")))
+        merged = cut(join_even(old, at, "parent", "node").select("node", F.coalesce("_p", "parent").alias("parent")))
         for t in (*labels, *parts):
             t.drop()
         labels = [merged]

@@ -27,13 +27,13 @@ def join_label(rows: DataFrame, labels: DataFrame, key: str, size: str, spread_b
     return spread.join(many, [key, "_part"], "left").drop("_part")
 
 
-def join_even(rows: DataFrame, labels: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_even(rows: DataFrame, labels: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS, at_most: int | None = None) -> DataFrame:
     """``rows`` left-joined with one row of ``labels`` per key, whatever the keys' sizes; ``rows`` should be a written table.
 
-    The keys with more than ``hot_rows`` rows are counted first, map-side. If there is none, nearly always, the join is a
+    ``at_most``: a bound on the rows, if the caller knows one. The keys with more than ``hot_rows`` rows are counted first, map-side. If there is none, nearly always, the join is a
     plain one; else their rows are spread as in ``join_label``. Both plans give the same rows.
     """
-    if len(rows.limit(hot_rows + 1).select(F.lit(1)).groupBy().agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).take(1)) == 0:
+    if (rows.limit(hot_rows + 1).count() if at_most is None else at_most) <= hot_rows:
         return rows.join(labels, key, "left")  # too few rows for a hot key
     sizes = rows.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > hot_rows)
     hot = cut(sizes).df

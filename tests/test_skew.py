@@ -32,7 +32,7 @@ def test_no_part_holds_a_hot_key(spark):
 
 
 def test_labels_spread_over_hot_links(spark, monkeypatch):
-    monkeypatch.setattr(join_even, "__defaults__", (20,))
+    monkeypatch.setattr(join_even, "__defaults__", (20, None))
     links = [(f"n{i:03}", "hub") for i in range(100)] + [(f"n{i:03}", f"l{i}") for i in range(100)] + [(f"m{i:03}", f"l{i}") for i in range(100)] + [("z", "own")]
     df = spark.createDataFrame(links, "node string, link string")
     got = {r.node: r.label for r in propagate(df.select("node").distinct(), df, None).collect()}
