@@ -31,10 +31,10 @@ def _union(tables: list[Table]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.df for t in tables])
 
 
-def _collapse(hooks: Table) -> list[Table]:
+def _collapse(hooks: Table, nodes: int) -> list[Table]:
     """Pointer doubling: (node, parent, settled) tables in which every node's parent is the root of its tree.
 
-    hooks: (node, parent, settled), where roots are their own settled parents. A node settles once its parent is known to
+    hooks: (node, parent, settled) of at most ``nodes`` nodes, where roots are their own settled parents. A node settles once its parent is known to
     be a root; settled nodes are written once and only looked up afterwards, the active ones jump to their parent's
     parent. A parent with many active children is looked up in parts.
     """
@@ -43,20 +43,20 @@ def _collapse(hooks: Table) -> list[Table]:
     while not active.df.isEmpty():
         up = active.df.select(F.col("parent").alias("_at"), "node")
         at = _union([*done, active]).select(F.col("node").alias("_at"), F.col("parent").alias("_next"), F.col("settled").alias("_settled"))
-        step = join_even(up, at, "_at", "node")
+        step = join_even(up, at, "_at", "node", at_most=nodes)
         out = cut(step.select("node", F.col("_next").alias("parent"), F.col("_settled").alias("settled")))
         done.append(Table(out.df.where("settled"), out.path))
         active = Table(out.df.where("not settled"), out.path)
     return done
 
 
-def _relabel(edges: DataFrame, parent: DataFrame) -> DataFrame:
+def _relabel(edges: DataFrame, parent: DataFrame, n: int) -> DataFrame:
     """Edges between components: both ends replaced by their roots, loops dropped, duplicates merged map-side. The many
     edges of a hub are joined in parts."""
     e = edges
     for end, other in (("u", "v"), ("v", "u")):
         at = parent.select(F.col("node").alias(end), F.col("parent").alias("_p"))
-        e = join_even(e, at, end, other).select(F.coalesce("_p", end).alias(end), other)
+        e = join_even(e, at, end, other, at_most=n).select(F.coalesce("_p", end).alias(end), other)
     return e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -66,7 +66,10 @@ def components(edges: DataFrame) -> tuple[list[Table], int]:
     current = cut(clean)
     labels: list[Table] = []
     rounds = 0
-    while not current.df.isEmpty():
+    # Nodes are at most twice the edges, so these counts bound the rows of every join.
+    n = current.df.count()
+    most = 2 * n
+    while n:
         rounds += 1
         e = current.df
         ends = e.select(F.col("u").alias("node"), F.struct("u", "v").alias("e")).unionByName(e.select(F.col("v").alias("node"), F.struct("u", "v").alias("e")))
@@ -79,18 +82,19 @@ def components(edges: DataFrame) -> tuple[list[Table], int]:
         root = F.coalesce("_root", F.lit(False))
         hooks = cut(b.join(chosen, "node", "left").select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent"), root.alias("settled")))
         picks.drop()
-        parts = _collapse(hooks)
+        parts = _collapse(hooks, 2 * n)
         parent = _union(parts)
-        nxt = cut(_relabel(e, parent))
+        nxt = cut(_relabel(e, parent, n))
         current.drop()
         current = nxt
+        n = current.df.count()
         if not labels:
             labels = parts
             continue
         # Labels of the rounds before move on to the new roots; those of a hot root in parts.
         old = _union(labels).select("node", "parent")
         at = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_p"))
-        merged = cut(join_even(old, at, "parent", "node").select("node", F.coalesce("_p", "parent").alias("parent")))
+        merged = cut(join_even(old, at, "parent", "node", at_most=most).select("node", F.coalesce("_p", "parent").alias("parent")))
         for t in (*labels, *parts):
             t.drop()
         labels = [merged]

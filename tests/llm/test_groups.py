@@ -73,7 +73,7 @@ def test_hot_labels_join_in_parts(spark):
 
 def test_hubs_join_in_parts(spark, monkeypatch):
     """With every key of more than a few rows split, the groups stay the same."""
-    monkeypatch.setattr(skew.join_even, "__defaults__", (5,))
+    monkeypatch.setattr(skew.join_even, "__defaults__", (5, None))
     rows = [("p", "hub", "h", str(i)) for i in range(120)] + [("p", f"e{i}", "h", str(i % 120)) for i in range(200)] + [("p", f"e{i}", "t", str(i // 3)) for i in range(200)]
     rows += [("p", f"c{i}", "z", f"{(i + k) * 37 % 101}") for i in range(90) for k in (0, 1)]
     assert run(spark, rows) == brute(rows)
