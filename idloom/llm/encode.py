@@ -1,22 +1,22 @@
-"""Encoding of the whole corpus with a public byte-level BPE tokenizer.
+"""Encoding of the whole corpus with a public byte-level BPE tokenizer by tree concatenation.
 
-Texts are cut into segments that are encoded in parallel and concatenated. A cut lies where the tokenizer splits anyway
-(before a blank, between letters, numbers and other marks), which needs no repair. A run without such a place, longer
-than a segment, is cut within a word; there the neighbours are joined by tree concatenation: a window of tokens around
-the join is encoded anew and grown until it begins and ends with the tokens that both sides already have.
+Every text longer than a segment is cut, within a word wherever one is near, the segments are encoded on their own, and
+neighbours are joined pairwise up a tree of halves: a window of tokens around each join is encoded anew and grown until
+it begins and ends with the tokens that both sides already have. Only where no word is near, the cut lies at a place
+where the tokenizer splits anyway, which needs no repair. The segments of very long texts are spread over the cluster.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Where the vocabulary files lie on every machine; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -24,7 +24,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The pre-tokenizer of the byte-level BPE vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a segment.
-SEGMENT = 1 << 16
+SEGMENT = 512
+#: Characters before a segment's end within which a cut in a word is sought.
+REACH = 64
+#: Characters of the pieces in which longer texts are spread over the cluster; a matter of placement only.
+SPREAD = 1 << 16
 
 _WORD = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}"))
 _KIND = regex.compile(r"(?P<s>\p{White_Space})|(?P<l>\p{L})|(?P<n>\p{N})|(?P<o>.)", regex.DOTALL)
@@ -51,21 +55,29 @@ def _kind(c: str) -> str:
     return _KIND.match(c).lastgroup
 
 
+def _inside(text: str, p: int) -> bool:
+    """Whether p lies within a word, far enough from its ends that no contraction and no blank takes part in the cut."""
+    near = text[p - 3 : p + 2]
+    return near.isalpha() or len({_kind(c) for c in near}) == 1 and _kind(near[0]) != "s"
+
+
 def cut_points(text: str, size: int) -> list[tuple[int, bool]]:
-    """(place, safe) of the cuts of a text into segments of at most about ``size`` characters: the last safe place of each
-    stretch, or a place near its end within an unsplit run."""
+    """(place, safe) of the cuts of a text into segments of at most about ``size`` characters: the last place within a word
+    near each segment's end, else the last safe place of its second half. A run of blanks is left whole."""
     out, at, n = [], 0, len(text)
     while n - at > size:
-        end = at + size
-        for p in range(end, at + size // 2, -1):
-            if _safe(text[p - 1], text[p]):
-                out.append((p, True))
+        end = min(at + size, n - 2)
+        low = at + max(size // 2, 3)
+        for p in range(end, max(low, end - REACH), -1):
+            if _inside(text, p):
+                out.append((p, False))
                 break
         else:
-            # No safe place in half a segment: a run of one kind, perhaps after blanks. Equal kinds around the cut keep
-            # it off contractions; a run of blanks is left whole, up to the next safe place.
-            for p in range(min(end, n - 2), at + max(size // 2, 3), -1):
-                if len({_kind(c) for c in text[p - 3 : p + 2]} | {"s"}) == 2 and _kind(text[p]) != "s" and not any(c.isspace() for c in text[p - 3 : p + 2]):
+            for p in range(end, low, -1):
+                if _safe(text[p - 1], text[p]):
+                    out.append((p, True))
+                    break
+                if _inside(text, p):
                     out.append((p, False))
                     break
             else:
@@ -81,12 +93,14 @@ def cut_points(text: str, size: int) -> list[tuple[int, bool]]:
 
 def _word_tokens(enc, text: str, last: bool) -> int:
     """Tokens of the first or last word of a segment, within which a join may reach."""
-    words = [m.span() for m in _WORD.finditer(text)] if not last else None
-    if last:
-        *_, m = _WORD.finditer(text)
-        return len(enc._encode_single_piece(m.group()))
-    a, b = words[0]
-    return len(enc._encode_single_piece(text[a:b]))
+    if not last:
+        return len(enc._encode_single_piece(_WORD.match(text).group()))
+    # A blank after another character always begins a word, so the last word is found from the last such place.
+    p = len(text) - 1
+    while p > 0 and not (text[p].isspace() and not text[p - 1].isspace()):
+        p -= 1
+    *_, m = _WORD.finditer(text, p)
+    return len(enc._encode_single_piece(m.group()))
 
 
 def join_tokens(enc, left: list[int], left_limit: int, right: list[int], right_limit: int) -> list[int]:
@@ -129,8 +143,8 @@ def encode_segments(enc, parts: list[tuple[list[int], bool, int, int, bool]]) ->
     return parts[0][0]
 
 
-def _part(enc, text: str, safe: bool, open_end: bool) -> tuple[list[int], bool, int, int, bool]:
-    tokens = enc.encode_ordinary(text)
+def _part(enc, text: str, safe: bool, open_end: bool, size: int = 0) -> tuple[list[int], bool, int, int, bool]:
+    tokens = encode_text(enc, text, size) if size else enc.encode_ordinary(text)
     first = len(tokens) if not tokens or safe else _word_tokens(enc, text, False)
     last = len(tokens) if not tokens or not open_end else _word_tokens(enc, text, True)
     one = bool(tokens) and not safe and first == len(tokens) or bool(tokens) and open_end and last == len(tokens)
@@ -154,65 +168,72 @@ def _str(x) -> str:
     return bytes(x).decode("utf-8", "replace")
 
 
-def encode_corpus(df: DataFrame, doc_id: str, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, size: int = SEGMENT) -> DataFrame:
-    """(doc_id, ids array<int>): the ids of every text without special tokens; null and empty texts have an empty list.
+def _encoded(df: DataFrame, text: str, name: str, kind: DataType, finish: Callable[[list[int]], object], path: str, size: int, spread: int) -> DataFrame:
+    """``df`` without ``text``, plus ``finish`` of each text's ids as column ``name``.
 
-    Texts of at most ``size`` characters, nearly all, are encoded where they are read, without a shuffle. Longer ones are
-    cut into segments, which are spread over the cluster and encoded in parallel, and put together per document. Repeated
-    ids of rows are rows of their own (a long text's row is told apart by a row number). Texts that spell special
-    tokens are ordinary text; bytes that are no UTF-8 become U+FFFD.
+    Texts of at most ``spread`` characters are encoded where they are read, without a shuffle. Longer ones are cut into
+    pieces, which are spread over the cluster and encoded in parallel, and joined per row.
     """
-    path = f"{tokenizers}/{vocabulary}"
-    id_type = df.schema[doc_id].dataType.simpleString()
-    rows = df.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_t"))
-    is_long = F.coalesce(F.length(F.col(text)) > size, F.lit(False))
+    kept = [f.name for f in df.schema.fields if f.name != text]
+    rows = df.select(F.struct(*kept).alias("_kept"), F.col(text).cast("binary").alias("_t"), F.coalesce(F.length(F.col(text)) > spread, F.lit(False)).alias("_long"))
+    kept_field = StructField("_kept", rows.schema["_kept"].dataType)
+    arrow = {ArrayType: pa.list_(pa.int32()), LongType: pa.int64()}[type(kind)]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            ids = [enc.encode_ordinary(_str(t)) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
+            got = [finish(encode_text(enc, _str(t), size)) if t else finish([]) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, arrow)], ["_kept", name])
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, row, t in zip(b["_id"], b["_row"], b["_t"], strict=True):
+            for i, (row, t) in enumerate(zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 s = _str(t)
-                starts = [(0, True), *cut_points(s, size)]
+                starts = [(0, True), *cut_points(s, spread)]
                 ends = [c for c, _ in starts[1:]] + [len(s)]
+                n = len(starts)
                 opens = [not safe for _, safe in starts[1:]] + [False]
-                yield pd.DataFrame({"_id": i, "_row": row, "_no": range(len(starts)), "_safe": [x for _, x in starts], "_open": opens, "_seg": [s[a:e] for (a, _), e in zip(starts, ends, strict=True)]})
+                parts = [s[a:e] for (a, _), e in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array([i] + [None] * (n - 1), pa.int64())), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([x for _, x in starts], pa.bool_()), pa.array(opens, pa.bool_()), pa.array(parts, pa.string())],
+                    ["_kept", "_row", "_no", "_safe", "_open", "_seg"],
+                )
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for b in batches:
-            got = [_part(enc, s, safe, o) for s, safe, o in zip(b.pop("_seg"), b["_safe"], b.pop("_open"), strict=True)]
-            yield b.assign(ids=[g[0] for g in got], first=[g[2] for g in got], last=[g[3] for g in got], one=[g[4] for g in got])
+            got = [_part(enc, t, safe, o, size) for t, safe, o in zip(b.column(5).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            cols = [pa.array([g[0] for g in got], pa.list_(pa.int32())), *[pa.array([g[k] for g in got], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.bool_()))]]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(4)], *cols], ["_kept", "_row", "_no", "_safe", "_ids", "_first", "_last", "_one"])
 
-    def whole(key, b: pd.DataFrame) -> pd.DataFrame:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
-        b = b.sort_values("_no")
-        ids = encode_segments(enc, [(list(map(int, t)), s, f, la, o) for t, s, f, la, o in zip(b["ids"], b["_safe"], b["first"], b["last"], b["one"], strict=True)])
-        return pd.DataFrame({"_id": [key[0]], "ids": [ids]})
+        for b in batches:
+            got = [finish(encode_segments(enc, [(p["_ids"], p["_safe"], p["_first"], p["_last"], p["_one"]) for p in parts])) for parts in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, arrow)], ["_kept", name])
 
-    near = rows.where(~is_long).mapInArrow(short, f"_id {id_type}, ids array<int>")
-    far = rows.where(is_long).withColumn("_row", F.monotonically_increasing_id())
-    far = far.mapInPandas(segments, f"_id {id_type}, _row bigint, _no int, _safe boolean, _open boolean, _seg string")
-    far = far.repartition("_row", "_no").mapInPandas(parts, f"_id {id_type}, _row bigint, _no int, _safe boolean, ids array<int>, first int, last int, one boolean")
-    far = far.groupBy("_id", "_row").applyInPandas(whole, f"_id {id_type}, ids array<int>")
-    return near.unionByName(far).withColumnRenamed("_id", doc_id)
+    result = StructType([kept_field, StructField(name, kind)])
+    near = rows.where("not _long").select("_kept", "_t").mapInArrow(short, result)
+    head = [kept_field, StructField("_row", LongType()), StructField("_no", IntegerType()), StructField("_safe", BooleanType())]
+    far = rows.where("_long").select("_kept", "_t", F.monotonically_increasing_id().alias("_row"))
+    far = far.mapInArrow(pieces, StructType([*head, StructField("_open", BooleanType()), StructField("_seg", StringType())])).repartition("_row", "_no")
+    far = far.mapInArrow(encode_pieces, StructType([*head, StructField("_ids", ArrayType(IntegerType())), StructField("_first", IntegerType()), StructField("_last", IntegerType()), StructField("_one", BooleanType())]))
+    far = far.groupBy("_row").agg(F.first("_kept", ignorenulls=True).alias("_kept"), F.array_sort(F.collect_list(F.struct("_no", "_ids", "_safe", "_first", "_last", "_one"))).alias("_parts"))
+    far = far.select("_kept", "_parts").mapInArrow(whole, result)
+    return near.unionByName(far).select(*[F.col("_kept")[c].alias(c) for c in kept], name)
 
 
-def token_counts(df: DataFrame, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` without ``text``, plus ``n_tokens``; null and empty texts have 0."""
-    path = f"{tokenizers}/{vocabulary}"
-    kept = [f for f in df.schema.fields if f.name != text]
-    at = df.columns.index(text)
+def encode_corpus(df: DataFrame, doc_id: str, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, size: int = SEGMENT, spread: int = SPREAD) -> DataFrame:
+    """(doc_id, ids array<int>): the ids of every text without special tokens; null and empty texts have an empty list.
+
+    Every text is cut into segments of ``size`` characters that are joined by tree concatenation; a shorter text is one
+    segment. Repeated ids of rows are rows of their own. Texts that spell special tokens are ordinary text; bytes that
+    are no UTF-8 become U+FFFD.
+    """
+    rows = df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    return _encoded(rows, "_text", "ids", ArrayType(IntegerType()), list, f"{tokenizers}/{vocabulary}", size, spread).withColumnRenamed("_id", doc_id)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
-        for b in batches:
-            n = [len(encode_text(enc, _str(t))) if t else 0 for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], pa.array(n, pa.int64())], [*[f.name for f in kept], "n_tokens"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_tokens bigint"])
-    return df.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, schema)
+def token_counts(df: DataFrame, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, size: int = SEGMENT, spread: int = SPREAD) -> DataFrame:
+    """``df`` without ``text``, plus ``n_tokens``; null and empty texts have 0. Long texts are encoded in parallel pieces."""
+    return _encoded(df, text, "n_tokens", LongType(), len, f"{tokenizers}/{vocabulary}", size, spread)

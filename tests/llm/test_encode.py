@@ -33,6 +33,18 @@ def test_long_texts_round_trip(enc):
 def test_corpus(spark, enc):
     rows = [(i, t, "clash") for i, t in enumerate(CORPUS)] + [(0, "twice", "clash"), (6, "b" * 70_000, "clash")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
-    got = sorted((r.doc_id, list(r.ids)) for r in E.encode_corpus(df, "doc_id", "text", size=8192).collect())
+    got = sorted((r.doc_id, list(r.ids)) for r in E.encode_corpus(df, "doc_id", "text", spread=8192).collect())
     assert got == sorted((i, enc.encode_ordinary(t or "")) for i, t, _ in rows)
     assert E.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+    counts = sorted(map(tuple, E.token_counts(df, "text", spread=8192).collect()))
+    assert counts == sorted((i, "clash", len(enc.encode_ordinary(t or ""))) for i, t, _ in rows)
+
+
+def test_joins_decide(enc, monkeypatch):
+    """Ordinary prose of more than a segment is cut within words, so its ids come from the windows of the joins."""
+    joins = []
+    real = E.join_tokens
+    monkeypatch.setattr(E, "join_tokens", lambda *a: joins.append(1) or real(*a))
+    s = " ".join(f"Information about customer number {i}, whose organisation's contract wasn't renewed." for i in range(80))
+    assert E.encode_text(enc, s) == enc.encode_ordinary(s)
+    assert len(joins) >= len(s) // E.SEGMENT - 1
