@@ -5,7 +5,7 @@ import random
 import pytest
 
 from idloom.llm import encode as E
-from idloom.llm.mix import block_at, mix, pfair, quotas, whole_blocks
+from idloom.llm.mix import frame_ends, mix, pfair, quotas
 
 
 def test_pfair_deviates_by_less_than_a_block():
@@ -26,13 +26,26 @@ def test_quotas_fill_from_the_rest():
     assert quotas([0.5, 0.5], [100, 10_000], 1000) == [100, 900]
     assert quotas([0.2, 0.8, 0.0], [10, 20, 99], 1000) == [10, 20, 0]
     assert quotas([], [], 0) == [] and quotas([0.0], [5], 5) == [0]
-    assert sum(whole_blocks([1, 10_000], 100)) == 101 or sum(whole_blocks([1, 10_000], 100)) == 100
 
 
-def test_blocks_of_large_sources(spark):
-    rows = [(0, 10**12), (10**10, 10**12), (10**12 - 1, 10**12), (9 * 10**18, 9 * 10**18 + 1)]
-    at = spark.createDataFrame([(a, 4096, q) for a, q in rows], "_at bigint, blocks bigint, quota bigint")
-    assert [r[0] for r in at.select(block_at()).collect()] == [0, 40, 4095, 4095]
+def test_frames_keep_every_source_within_a_block():
+    """Two slots are a block: no source is two slots from its share at any slot of any frame."""
+    rnd = random.Random(2)
+    for _ in range(300):
+        slots = [rnd.choice([0, 1, 2, rnd.randrange(0, 60), rnd.randrange(0, 9)]) for _ in range(rnd.randint(1, 9))]
+        n, frame = sum(slots), rnd.choice([1, 2, 3, 5, 8, 16])
+        if not n:
+            continue
+        before, seen, t = [0] * len(slots), [0] * len(slots), 0
+        for now in frame_ends(slots, frame):
+            assert all(x <= y for x, y in zip(before, now, strict=True)) and sum(now) == min(t + frame, n)
+            assert all(abs(y * n - sum(now) * b) < n for y, b in zip(now, slots, strict=True))
+            for s in pfair([y - x for x, y in zip(before, now, strict=True)]):
+                t += 1
+                seen[s] += 1
+                assert all(abs(seen[i] * n - t * slots[i]) < 2 * n for i in range(len(slots)))
+            before = now
+        assert seen == slots
 
 
 @pytest.mark.skipif(not os.path.isdir(E.TOKENIZERS), reason="no tokenizers here")
@@ -51,3 +64,22 @@ def test_mix(spark):
     assert {r.doc_id for r in rec}.isdisjoint({2000, 2001, 2002, 2003, 2004})
     assert mix(docs.limit(0), targets, "doc_id", "text", "source").records.count() == 0
     assert mix(docs, targets.limit(0), "doc_id", "text", "source").records.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(E.TOKENIZERS), reason="no tokenizers here")
+def test_records_lie_in_order_and_in_their_shares(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 30), "ab"[i % 4 == 0]) for i in range(2000)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("m", "a", 0.3, 1), ("m", "b", 0.7, 9)], "mix_id string, source string, target_share double, max_repeats int")
+    m = mix(docs, targets, "doc_id", "text", "source", block_tokens=256)
+    rec = sorted(m.records.collect(), key=lambda r: (r.slot, r.offset))
+    # The records of a slot begin one after the other, but for the tokens of one that began in the slot before.
+    for a, b in zip(rec, rec[1:], strict=False):
+        assert a.slot < b.slot or a.offset + a.n_tokens == b.offset and a.source == b.source
+    total, largest, got, quota = sum(r.n_tokens for r in rec), max(r.n_tokens for r in rec), {}, {r.source: r.quota for r in m.plans.collect()}
+    share = {s: q / sum(quota.values()) for s, q in quota.items()}
+    done = 0
+    for r in rec:
+        got[r.source] = got.get(r.source, 0) + r.n_tokens
+        done += r.n_tokens
+        assert all(abs(got.get(s, 0) - w * done) <= 256 + 2 * largest + 128 for s, w in share.items())
+    assert {r.source: round(r.actual_share, 2) for r in m.report.collect()} == {s: round(w, 2) for s, w in share.items()} and total
