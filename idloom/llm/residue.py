@@ -1,10 +1,12 @@
 """Template residue and error-page text: records that hold machine leftovers instead of content.
 
-Sentences of a text are told apart as content, page furniture and evidence (error message, notice that scripts are
-needed, filler). Placeholder detectors work sentence by sentence, so that prose that quotes one is kept. A response
-without content of its own is flagged on its evidence; any other text of no or few content sentences is left to the
-hosts: the same masked response from several organizations whose titles promise other terms than the body gives. A
-telling word lowers the number of organizations that it takes; no word list is needed for it.
+A text is a leftover for a placeholder detector's finding, or because it is a response that belongs to no page: its title
+(in place of an address slug) promises terms that the body lacks, it has little information, and either its sentences are
+known forms of errors, script notices and filler, or the hosts tell: several of them give the same sentence or the same
+whole response under titles that promise something else, or in company of such forms. A known form alone decides nothing:
+where the title fits the body, only its duplication over hosts whose titles do not fit makes it a leftover. Unlisted
+sentences that keep company with known forms at several hosts count as page furniture or as forms themselves, so the
+lists need only hold the general ones.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.operators.skew import join_label
@@ -26,7 +29,11 @@ from idloom.storage import cut
 HOSTS = 3
 #: The same for one or two content sentences without a telling word: short prose recurs by chance.
 WIDE_HOSTS = 5
-#: Share of a response's rows whose titles may fit it; above, it is what those pages hold.
+#: Share of a sentence's rows that hold a known form from which it is one of its kind.
+COMPANY_SHARE = 0.5
+#: Rounds in which company is found: forms, sentences in their company, and those in the company of these.
+ROUNDS = 3
+#: Share of a response's or sentence's rows whose titles may fit it; above, it is what those pages hold.
 FITTING_SHARE = 0.1
 #: Content sentences up to which a text is of low information.
 FEW = 2
@@ -68,25 +75,25 @@ _DATA = re.compile(r"\b(?:fields?|values?|columns?|rows?|keys?|variables?|parame
 _ERROR = [
     r"(?:(?:http )?error|fehler|erreur|error del servidor|status)? ?:? ?(?:4\d\d|5\d\d)(?: ?[:\-] ?| )?(?:(?:not found|forbidden|unauthorized|bad gateway|bad request|gateway time-?out|(?:service )?(?:temporarily )?unavailable|service temporarily unavailable|internal server error|too many requests|acc[eè]s refuse|interner serverfehler|del servidor|we could not find that page|page not found|erreur interne|seite nicht gefunden|pagina no encontrada).{0,30})?",
     r"(?:error|fehler|erreur) (?:4\d\d|5\d\d)\b.{0,60}", r"access (?:is )?denied", r"(?:page|file|document) not found", r"not found", r"forbidden", r"bad gateway", r"internal server error", r"gateway time-?out", r"too many requests", r"request blocked",
-    r"service (?:is )?(?:temporarily )?unavailable", r"something went wrong.{0,30}", r"oops!?", r"that link seems to be broken", r"your session has (?:ended|expired)", r"sign in again to go on", r"the site can'?t be reached", r"this (?:page|site) isn'?t working.{0,20}",
-    r"page moved or no longer exists", r"database connection could not be made", r"connection (?:refused|timed out|reset)", r"zugriff verweigert", r"seite nicht gefunden", r"interner serverfehler", r"der dienst ist vorubergehend nicht erreichbar",
+    r"service (?:is )?(?:temporarily )?unavailable", r"something went wrong.{0,30}", r"oops!?", r"your session has (?:ended|expired)", r"the site can'?t be reached", r"this (?:page|site) isn'?t working.{0,20}",
+    r"connection (?:refused|timed out|reset)", r"zugriff verweigert", r"seite nicht gefunden", r"interner serverfehler", r"der dienst ist vorubergehend nicht erreichbar",
     r"ihre sitzung ist abgelaufen", r"etwas ist schiefgelaufen", r"acces refuse", r"page introuvable", r"erreur interne.{0,20}", r"le service est momentanement indisponible", r"votre session a expire", r"une erreur est survenue",
     r"acceso denegado", r"pagina no encontrada", r"el servicio no esta disponible.{0,20}", r"su sesion ha (?:caducado|expirado|terminado)", r"ha ocurrido un error", r"サーバーエラーか?゙?が?発生しました", r"アクセスか?゙?が?拒否されました", r"ペ?ーシ゛?゙?か?゙?見つかりません(?:て゛?゙?した)?",
 ]
 _SCRIPT = [
     r"this (?:site|page|app) (?:works|runs|needs|requires).{0,20}(?:javascript|scripts?).{0,20}", r"java ?script is required.{0,40}", r"sorry, this .{0,20}needs java ?script", r"loading.{0,6}\(?scripts? must be allowed\)?", r"please (?:enable|turn on|activate|allow) (?:java ?script|scripts?|cookies).{0,50}",
-    r"you need to (?:enable|turn on|allow) (?:java ?script|scripts?).{0,60}", r"your browser (?:has|does not).{0,20}(?:script|java ?script).{0,30}", r"noscript\b.{0,40}", r"checking your browser before.{0,30}", r"we use scripts and cookies to check that you are not a robot", r"enable both and reload",
+    r"you need to (?:enable|turn on|allow) (?:java ?script|scripts?).{0,60}", r"your browser (?:has|does not).{0,20}(?:script|java ?script).{0,30}", r"noscript\b.{0,40}", r".{0,60}you (?:are|re) (?:not a robot|human).{0,30}", r"(?:enable|turn on|allow) (?:both|them)(?: and .{1,24})?", r"checking your browser before.{0,30}", 
     r"cette (?:application|page|site).{0,20}(?:besoin|necessite).{0,30}(?:scripts?|javascript).{0,20}", r"activez (?:javascript|les scripts).{0,50}", r"veuillez activer.{0,60}", r"votre navigateur.{0,30}scripts?.{0,20}", r"esta (?:aplicacion|pagina).{0,20}necesita.{0,10}(?:scripts|javascript).{0,20}",
-    r"(?:por favor )?active (?:javascript|los scripts).{0,50}", r"su navegador.{0,30}scripts?.{0,20}", r"ihr browser fuhrt keine skripte aus", r"fur die anzeige werden skripte benotigt", r"bitte aktivieren sie (?:javascript|skripte).{0,50}", r".{0,24}javascriptを有効にしてください", r"スクリプトが必要です",
+    r"(?:por favor )?active (?:javascript|los scripts).{0,50}", r"su navegador.{0,30}scripts?.{0,20}", r"bitte aktivieren sie (?:javascript|skripte).{0,50}", r"(?:ihr )?browser .{0,24}skripte?.{0,20}", r".{0,30}skripte? (?:benotigt|erforderlich|notig)", r".{0,12}(?:javascript|スクリプト)か?゙?が?必要て?゙?で?す", r".{0,24}javascriptを有効にしてください",
 ]
 _FILLER = [
-    r"sample text(?: for this section)?", r"this is (?:dummy|sample|placeholder|filler) text", r"your (?:content|text) (?:goes )?here", r"body copy placeholder", r"text to follow", r"headline goes here", r"tbd", r"(?:blah ?)+", r"(?:test ?)+", r"(?:asdf ?)+",
-    r"write something about your team in this box", r"add a short description of the product", r"(?:enter|add|insert) (?:your )?text here", r"texte a venir", r"ceci est un faux texte", r"inserez ici la description", r"titre a completer", r"texto de ejemplo", r"aqui va el contenido", r"escriba una descripcion", r"titulo pendiente",
-    r"text folgt", r"platzhalter fur die beschreibung", r"hier steht blindtext", r"uberschrift einsetzen", r"ここに本文が入ります", r"ダミーテキストです", r"(?:foo|bar|baz|qux|asdf|qwer|qwerty|jkl|zzz|xxx|abc)(?: (?:foo|bar|baz|qux|asdf|qwer|qwerty|jkl|zzz|xxx|abc))*",
+    r"this is (?:dummy|sample|placeholder|filler) text", r"your (?:content|text) (?:goes )?here", r"text to follow", r"headline goes here", r"tbd", r"(?:blah ?)+", r"(?:test ?)+", r"(?:asdf ?)+",
+    r"(?:enter|add|insert) (?:your )?text here", r"body copy.{0,16}", r"write something about .{1,30}", r"(?:add|enter|insert|write) (?:a|your) (?:short |brief )?description.{0,24}", r"texte a venir", r"ceci est un faux texte", r"texto de ejemplo", r"aqui va el contenido",
+    r"text folgt", r"hier steht blindtext", r"ここに本文が入ります", r"ダミーテキストです", r"(?:foo|bar|baz|qux|asdf|qwer|qwerty|jkl|zzz|xxx|abc)(?: (?:foo|bar|baz|qux|asdf|qwer|qwerty|jkl|zzz|xxx|abc))*",
 ]
 _FURNITURE = [
-    r"[©].{0,60}", r"\(c\) .{0,50}", r"menu", r"log ?in(?: start free)?", r"sign (?:in|up)", r"skip to content", r"cookie (?:choices|settings|policy)", r"(?:\S+ ){1,3}status", r"[^|.]{1,30}(?: \| [^|.]{1,30})+", r"request id:? ?\w+", r"(?:ref|vorgang|reference)\.?:? ?\w{4,}", r"ref\.?", r"\w{6,}", r"the server said:? ?\d*",
-    r"nginx.{0,10}", r"apache.{0,20}", r"at \w+ \(.{0,40}\)", r"go back to the start page", r"zur startseite", r"retour a l'accueil", r"volver al inicio", r"トップへ戻る", r"check the address for typing mistakes", r"if this keeps happening, write to the desk",
+    r"[©].{0,60}", r"\(c\) .{0,50}", r"menu", r"(?:log|sign) ?(?:in|up)(?: .{1,16})?", r"(?:go |return |get )?back to (?:the |our )?(?:home|start|main).{0,12}", r"if (?:this|the (?:problem|error|issue)) (?:keeps|persists|continues|happens).{0,50}", r"(?:please )?check the (?:address|url|link|spelling).{0,40}", r"the server (?:said|responded|returned|replied).{0,20}", r"skip to content", r"cookie (?:choices|settings|policy)", r"(?:\S+ ){1,3}status", r"[^|.]{1,30}(?: \| [^|.]{1,30})+", r"request id:? ?\w+", r"(?:ref|vorgang|reference)\.?:? ?\w{4,}", r"ref\.?", r"\w{6,}",
+    r"nginx.{0,10}", r"apache.{0,20}", r"at \w+ \(.{0,40}\)", 
     r"(?:please )?try again (?:later|in a few minutes)", r"veuillez reessayer plus tard", r"bitte versuchen sie es spater erneut", r"intentelo de nuevo mas tarde", r"しばらくしてからもう一度お試しください", r"[\W\d_]*",
 ]
 _LATIN = frozenset(
@@ -106,6 +113,7 @@ _WEAK = _union([
     r"\b(?:error|fehler|erreur|4\d\d|5\d\d|denied|unavailable|forbidden|javascript|scripts?|cookies|captcha|browser|expired|timed? ?out|maintenance|wartung)\b", r"\b(?:denegado|no disponible|caducad[oa]|expirad[oa]|navegador|mantenimiento|tiempo de espera)\b", r"エラー|拒否されました|利用できません|ご利用いただけません|有効期限|ブラウザ|メンテナンス|タイムアウト",
 ])
 # What differs between copies of one response: identifiers, dates and times; other numbers tell prose apart.
+_AGAIN = re.compile(r"(\S+(?: \S+){1,11}?)[.!]?(?: \1[.!]?){2,}(?: .{0,60})?")
 _TICKET = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])\w{6,}\b|\b[0-9a-f]{6,}\b|\d{1,4}[-./]\d{1,2}[-./]\d{1,4}|\d{1,2}:\d\d(?::\d\d)?|\d{6,}")
 _TAG = re.compile(r"</?(?:html|head|body|title|p|br|h[1-6]|div|span|center|hr|pre|noscript|script|style)\b[^<>]{0,80}>", re.I)
 _JSON = re.compile(r'^\s*\{\s*"error"\s*:.*"message"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
@@ -157,81 +165,164 @@ def _print(kind: str, parts: list[str]) -> str:
     return hashlib.md5("\n".join([kind, *parts]).encode("utf-8", "replace")).hexdigest()
 
 
-def read(text: str, title: str | None) -> tuple[bool, bool, int, str | None, bool]:
-    """(placeholder, flagged by its own evidence, evidence left, fingerprint of the masked response, title fits).
-
-    The fingerprint is set where a text that isn't flagged has no or few content sentences, whatever its words. Evidence
-    left: 2 for a telling word, 1 for no content sentence, else 0.
-    """
+class Reading(NamedTuple):
+    """What one text says by itself."""
+
+    placeholder: bool
+    #: Nothing but known forms and page furniture, or mostly filler.
+    bare: bool
+    #: Holds a sentence of a known form.
+    known: bool
+    #: 2 for a telling word, 1 for no content sentence, else 0.
+    evidence: int
+    #: Fingerprint of the whole masked response, where it has little information and no known form.
+    response: str | None
+    #: The title's terms are in the body.
+    fits: bool
+    #: Fingerprints of the sentences that hosts are asked about: those of known form, the others, and those of a word or two.
+    forms: list[str]
+    others: list[str]
+    shorts: list[str]
+
+
+def read(text: str, title: str | None) -> Reading:
+    """Reads one text. Texts of more than FEW content sentences and without a known form are no candidates: they have
+    neither a response nor sentences."""
     parts = sentences(text)
     placeholder = any(has_placeholder(p, i == 0 or bool(_SIGNED.match(parts[i - 1]))) for i, p in enumerate(parts))
-    content = evidence = filler_words = all_words = unspaced = 0
+    content = known = filler_words = all_words = unspaced = 0
     weak = False
-    masked, every = [], []
+    masked, every, forms, others, shorts = [], [], [], [], []
     for p in parts:
         f = fold(p).strip(" .!…。*_=-#>\"'")
         w = re.findall(r"[^\W\d_]+", f)
         cjk = bool(_CJK.search(f))
         size = len(f) // 3 if cjk else len(w)
         every.append(f)
-        if _FILLERS.fullmatch(f) or _latin(w):
+        if _latin(w):
+            filler_words += max(size, 1)
+            all_words += max(size, 1)
+            known += 1
+        elif _FILLERS.fullmatch(f) or _AGAIN.fullmatch(f):
             filler_words += max(size, 1)
             all_words += max(size, 1)
-            evidence += 1
+            known += 1
+            forms.append(f)
         elif _ERRORS.fullmatch(f) or _SCRIPTS.fullmatch(f):
-            evidence += 1
+            known += 1
             all_words += size
+            forms.append(f)
         elif _PAGES.fullmatch(f) or size <= 2:
             # A sentence without blanks looks like an identifier.
             if not (cjk and size > 2):
+                if f and not _PAGES.fullmatch(f):
+                    shorts.append(f)
                 continue
             unspaced += 1
             weak = weak or bool(_WEAK.search(f))
+            others.append(f)
         else:
             content += 1
             all_words += size
             weak = weak or (len(f) < 90 and bool(_WEAK.search(f)))
+            others.append(f)
         masked.append(f)
-    flagged = (evidence > 0 and content == 0) or (all_words > 0 and filler_words >= FILLER_SHARE * all_words)
-    if flagged or not any(every) or content + unspaced > FEW:
-        return placeholder, flagged, 0, None, False
+    times = sorted(map(others.count, set(others)))
+    if len(others) > 2 and (times[0] > 1 and len(others) > 1.5 * len(times) or times[-1] > 2 and times[-1] >= 0.6 * len(others)):
+        # Little but sentences that are said again and again.
+        forms, known, filler_words, content, unspaced, others = forms + others, known + len(others), all_words, 0, 0, []
+    bare = (known > 0 and content == 0) or (all_words > 0 and filler_words >= FILLER_SHARE * all_words)
     # Terms that the title (the address slug, where there is one) promises and the body lacks.
     promised = set(re.findall(r"[^\W\d_]{3,}", fold(title or "")))
-    given = set(re.findall(r"[^\W\d_]{3,}", fold(text)))
+    given = set(re.findall(r"[^\W\d_]{3,}", fold(text))) if promised else set()
     fits = bool(promised) and len(promised & given) >= 0.3 * len(promised)
-    if weak:
-        return placeholder, flagged, 2, _print("weak", [re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)) for f in masked]), fits
-    return placeholder, flagged, int(content + unspaced == 0), _print("plain", [_TICKET.sub("h", f) for f in masked or every]), fits
+    if not known and (not any(every) or content + unspaced > FEW):
+        return Reading(placeholder, bare, False, 0, None, fits, [], [], [])
+    response, evidence = None, 0
+    if not known and len(re.findall(r"[^\W\d_]+", " ".join(every))) > 1:
+        # One word alone may be what a cut left of any text.
+        if weak:
+            response, evidence = _print("weak", [re.sub(r"\d+", "9", re.sub(r"\b[0-9a-f]{6,}\b", "h", f)) for f in masked]), 2
+        else:
+            response, evidence = _print("plain", [_TICKET.sub("h", f) for f in masked or every]), int(content + unspaced == 0)
+    asked = lambda fs: [_print("sentence", [_TICKET.sub("h", f)]) for f in sorted(set(fs))]
+    return Reading(placeholder, bare, known > 0, evidence, response, fits, asked(forms), asked(others), asked(shorts))
+
+
+_READING = "placeholder boolean, bare boolean, known boolean, evidence int, response string, fits boolean, forms array<string>, others array<string>, shorts array<string>"
+_READING_TYPES = [pa.bool_(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), *[pa.list_(pa.string())] * 3]
 
 
 def judge(df: DataFrame, doc_id: str, text: str, title: str, host: str) -> DataFrame:
-    """(doc_id, host, placeholder, flagged, evidence, print, fits): what each text's own evidence says. Null texts give no row."""
+    """(_id, host, and the fields of a Reading): what each text says by itself. Null and blank texts give no row."""
     id_type = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [read(t, n) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            cols = [pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.string()), pa.array([g[4] for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *cols], ["_id", "host", "placeholder", "flagged", "evidence", "print", "fits"])
+            cols = [pa.array([g[k] for g in got], t) for k, t in enumerate(_READING_TYPES)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *cols], ["_id", "host", *Reading._fields])
 
     # trim() may keep other blanks; such a text has no sentences and is not flagged.
     rows = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.col(title).alias("_title"), F.col(host).cast("string").alias("host"))
-    return rows.mapInArrow(run, f"_id {id_type}, host string, placeholder boolean, flagged boolean, evidence int, print string, fits boolean")
+    return rows.mapInArrow(run, f"_id {id_type}, host string, {_READING}")
+
+
+def hosted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, _n rows, _hosts, _fit, more): over how many hosts with titles of other terms each fingerprint is spread, and
+    how many of its rows have a fitting title. Counted map-side."""
+    return rows.groupBy(key).agg(F.count_distinct(F.when(~F.col("fits"), F.coalesce("host", F.lit("")))).alias("_hosts"), F.count("*").alias("_n"), F.count_if("fits").alias("_fit"), *more)
+
+
+def evidence(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts: int = HOSTS, wide_hosts: int = WIDE_HOSTS, rounds: int = ROUNDS) -> DataFrame:
+    """(_row, _id, reason): the rows that hold residue and what decides it.
+
+    ``placeholder``: the detectors. ``mismatch``: known forms alone, under a title that promises other terms or none.
+    ``mismatch and hosts``: the same, and a sentence of it is spread over hosts. ``hosts``: known forms under a fitting title or
+    among unlisted sentences, or no known form at all, where duplication over hosts decides.
+    """
+    # Row ids may repeat; the written number tells the rows apart.
+    j = cut(judge(df, doc_id, text, title, host).withColumn("_row", F.monotonically_increasing_id())).df
+    alone = (F.size("others") == 1) & (F.size("forms") == 0)
+    asked = j.where("not placeholder and size(forms) + size(others) + size(shorts) > 0")
+    one = lambda c: asked.select("_row", "host", "fits", "known", F.explode(c).alias("print"), F.lit(c).alias("kind"), (alone & F.lit(c == "others")).alias("alone"))
+    said = cut(one("forms").unionByName(one("others")).unionByName(one("shorts")))
+    spread = (F.col("_hosts") >= hosts) & (F.col("_fit") <= FITTING_SHARE * F.col("_n"))
+    whole_hosts = F.count_distinct(F.when(F.col("alone") & ~F.col("fits"), F.coalesce("host", F.lit(""))))
+    for i in range(rounds):
+        about = hosted(said.df, "print", F.count_if("known").alias("_known"), whole_hosts.alias("_alone"))
+        company = spread & ((F.col("_known") >= COMPANY_SHARE * F.col("_n")) | (F.col("_alone") >= wide_hosts))
+        about = about.select("print", "_n", spread.alias("_spread"), company.alias("_company"))
+        told = join_label(said.df, about, "print", "_n", "_row").withColumn("_kin", F.col("_company") & (F.col("kind") != "forms"))
+        heard = told.groupBy("_row").agg(F.bool_or("_spread").alias("_spread"), F.bool_or("_kin").alias("_company"), F.bool_and((F.col("kind") != "others") | F.col("_company")).alias("_closed"))
+        if i + 1 < rounds:
+            known = told.groupBy("_row").agg(F.bool_or(F.col("_kin")).alias("_more"))
+            # A row has few sentences, so these groups are small.
+            nxt = cut(said.df.join(known, "_row").withColumn("known", F.col("known") | F.col("_more")).drop("_more"))
+            said.drop()
+            said = nxt
+    whole = hosted(j.where("response is not null"), "response", F.max("evidence").alias("_evidence"))
+    enough = (F.col("_hosts") >= F.when(F.col("_evidence") > 0, hosts).otherwise(wide_hosts)) & ((F.col("_evidence") == 2) | (F.col("_fit") <= FITTING_SHARE * F.col("_n")))
+    whole = whole.where(enough).select("response", "_n").withColumn("_dup", F.lit(True))
+    again = join_label(j.where("response is not null and not fits and not placeholder").select("_row", "response"), whole, "response", "_n", "_row").where("_dup").select("_row", F.lit(True).alias("_dup"))
+    told = j.select("_row", "_id", "placeholder", "bare", "known", "fits").join(heard, "_row", "left").join(again, "_row", "left").fillna(False)
+    reason = (
+        F.when(F.col("placeholder"), "placeholder")
+        .when(F.col("bare") & ~F.col("fits") & ~F.col("_spread"), "mismatch")
+        .when(F.col("bare") & ~F.col("fits"), "mismatch and hosts")
+        .when(F.col("bare") & F.col("_spread") | (F.col("known") | F.col("_company")) & F.col("_closed") & (~F.col("fits") | F.col("_spread")) | F.col("_dup"), "hosts")
+    )
+    return told.select("_row", "_id", reason.alias("reason")).where("reason is not null")
 
 
 def residue(df: DataFrame, doc_id: str, text: str, title: str, host: str, hosts: int = HOSTS, wide_hosts: int = WIDE_HOSTS) -> DataFrame:
     """(doc_id): the documents that hold residue instead of content, one row for each of their rows.
 
     Null, empty and blank texts are none. A null title promises nothing and counts as unlike any body; null hosts count
-    as one host. Responses are compared by a fingerprint over all documents, counted map-side; one that a third of all
-    rows share is joined back in parts.
+    as one host. Sentences and responses are compared by fingerprints over all candidates, counted map-side; one that a
+    third of all rows share is joined back in parts.
     """
-    j = cut(judge(df, doc_id, text, title, host)).df
-    shared = j.where("print is not null").groupBy("print").agg(F.count_distinct(F.when(~F.col("fits"), F.coalesce("host", F.lit("")))).alias("_hosts"), F.count("*").alias("_n"), F.count_if("fits").alias("_fit"), F.max("evidence").alias("_evidence"))
-    enough = (F.col("_hosts") >= F.when(F.col("_evidence") > 0, hosts).otherwise(wide_hosts)) & ((F.col("_evidence") == 2) | (F.col("_fit") <= FITTING_SHARE * F.col("_n")))
-    shared = shared.where(enough).select("print", "_n").withColumn("_dup", F.lit(True))
-    weak = join_label(j.where("print is not null and not fits and not placeholder and not flagged").select("_id", "print"), shared, "print", "_n", "_id").where("_dup")
-    return j.where("placeholder or flagged").select("_id").unionByName(weak.select("_id")).withColumnRenamed("_id", doc_id)
+    return evidence(df, doc_id, text, title, host, hosts, wide_hosts).select(F.col("_id").alias(doc_id))
 
 
 def without_residue(df: DataFrame, doc_id: str, text: str, title: str, host: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from idloom.llm.residue import read, residue, without_residue
+from idloom.llm.residue import evidence, read, residue, without_residue
 
 FOUND = [
     "Hi {{ city }},", "The open amount is undefined.", "We booked the call for XX/XX/XXXX.", "Dear [object Object], thank you.", "Welcome to *|COMPANY|*!", "Best,\n<%= owner %>", "Some text first.\nHola &lt;Your Title&gt;:", "Hallo [Vorname],",
@@ -74,3 +74,18 @@ def test_repeated_responses_need_no_listed_word(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, title string, organization_id string")
     got = sorted(r.doc_id for r in residue(df, "doc_id", "text", "title", "organization_id").collect())
     assert got == [*range(100, 106), *range(200, 205), *range(300, 305), *range(400, 403), *range(450, 453)]
+
+
+def test_titles_and_hosts_decide_over_known_forms(spark):
+    """A known form alone decides nothing; the title's terms, duplication over hosts and company do."""
+    rows = [(1, "Request blocked", "Request blocked", "a"), (2, "Request blocked today", "blocked request today", "a")]
+    rows += [(3, "Access denied", "Access denied", "a"), *[(10 + i, "Access denied", "the plan of the year", f"org{i}") for i in range(20)]]
+    # Unlisted sentences beside known forms at several hosts are of their kind, also where they then stand alone.
+    rows += [(100 + i, "Bad Gateway\nOur pigeons are looking into it right now.", "quarterly revenue by region", f"org{i}") for i in range(4)]
+    rows += [(110, "Our pigeons are looking into it right now.", "quarterly revenue by region", "org9"), (111, "Our pigeons are looking into it right now.\nWe counted all of the orders of last week by hand.", "quarterly revenue by region", "org9")]
+    # A report that quotes an error message beside sentences of its own.
+    rows += [(120, "Bad Gateway\nThat is what the sync job said twice, so we moved it to another hour.", "other terms entirely", "org1")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, title string, organization_id string")
+    got = {r._id: r.reason for r in evidence(df, "doc_id", "text", "title", "organization_id").collect()}
+    assert set(got) == {3, *range(10, 30), *range(100, 104), 110}
+    assert got[3] == "hosts" and got[10] == "mismatch and hosts" and got[100] == "hosts" and got[110] == "hosts"
