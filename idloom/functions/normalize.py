@@ -103,12 +103,12 @@ def label_of(c: Column) -> Column:
 
 def channel(source: Column, referrer: Column, search: Column, exclusions: list[str] | tuple[str, ...] = ()) -> Column:
     """paid, social, organic, referral or direct; exclusions are LIKE patterns of referrers that don't count."""
-    ref = referrer.isNotNull() & (referrer != "")
+    ref = referrer.isNotNull()
     for p in exclusions:
         ref = ref & ~referrer.like(p)
     return (
-        F.when(source.isNotNull() & (source != ""), "paid")
-        .when(referrer.like("%facebook%") | search.like("%fbclid=%"), "social")
+        F.when(source.isNotNull(), "paid")
+        .when(referrer.like("%facebook%") | search.like("%fbclid%"), "social")
         .when(referrer.like("%google%"), "organic")
         .when(ref, "referral")
         .otherwise("direct")

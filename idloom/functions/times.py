@@ -43,7 +43,8 @@ def from_seconds(c: Column) -> Column:
 
 def interval_seconds(c: Column) -> Column:
     """Seconds of an ``HH:MM:SS`` duration; null where it is none."""
-    return F.try_element_at(F.split(c, ":"), F.lit(1)).try_cast("bigint") * 3600 + F.try_element_at(F.split(c, ":"), F.lit(2)).try_cast("bigint") * 60 + F.try_element_at(F.split(c, ":"), F.lit(3)).try_cast("bigint")
+    t = F.when(F.regexp_like(c, F.lit(r"\A\s*[-+]?\d+:\d+:\d+\s*\z")), c)
+    return F.try_element_at(F.split(t, ":"), F.lit(1)).try_cast("bigint") * 3600 + F.try_element_at(F.split(t, ":"), F.lit(2)).try_cast("bigint") * 60 + F.try_element_at(F.split(t, ":"), F.lit(3)).try_cast("bigint")
 
 
 def try_interval(name: str) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
+from idloom.operators.relational import empty
 
 WINDOW_DAYS = 90
 
@@ -48,19 +49,26 @@ def _result(df: DataFrame, model: str) -> DataFrame:
     return df.withColumn("attribution_model_name", F.lit(model)).withColumn("attribution_model_result_id", make_id("attribution_model_result", F.lit(model), "touchpoint_batch_id", "attributed_event_id", "entity_id"))
 
 
+def _web(batches: DataFrame) -> DataFrame:
+    """The web touches of persons."""
+    return batches.where((F.col("entity_type") == "person") & (F.col("touchpoint_type") == "web"))
+
+
 def first_touch(batches: DataFrame, participants: DataFrame) -> DataFrame:
-    """The earliest touch of each person for every event of theirs at or after it; tied touches each count, squared as in
-    the model this follows (the set of first touches is joined with itself)."""
-    b = batches.where(F.col("entity_type") == "person").select("entity_id", "touchpoint_batch_id", "occurred_at", "source", "medium", "campaign", "channel")
-    first = b.join(b.groupBy("entity_id").agg(F.min("occurred_at").alias("occurred_at")), ["entity_id", "occurred_at"])
-    twice = first.join(first.select("entity_id", F.col("touchpoint_batch_id").alias("_other")), "entity_id").drop("_other")
+    """The earliest web touch of each person for every event of theirs at or after it; tied touches each count, squared as in
+    the model this follows (the set of first touches is joined with itself); the square is a count, not a join."""
+    b = _web(batches).select("entity_id", "touchpoint_batch_id", "occurred_at", "source", "medium", "campaign", "channel")
+    start = b.groupBy("entity_id").agg(F.min("occurred_at").alias("occurred_at"))
+    tied = b.join(start, ["entity_id", "occurred_at"])
+    ties = tied.groupBy("entity_id").agg(F.count("*").cast("int").alias("_ties"))
+    twice = tied.join(ties, "entity_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_ties"))).drop("_ties", "_copy")
     ev = participants.where(F.col("entity_type") == "person").select("entity_id", F.col("event_id").alias("attributed_event_id"), F.col("occurred_at").alias("attributed_event_occurred_at")).distinct()
     return _result(twice.join(ev, "entity_id").where("attributed_event_occurred_at >= occurred_at").withColumnRenamed("occurred_at", "touchpoint_occurred_at"), "first_marketing_touch")
 
 
 def last_touch(batches: DataFrame, participants: DataFrame) -> DataFrame:
-    """The latest touch at or before each event, one row per event (ties: greatest time, then batch and entity)."""
-    b = batches.where(F.col("entity_type") == "person").select("entity_id", F.struct(F.col("occurred_at").alias("t"), F.col("touchpoint_batch_id").alias("b"), "source", "medium", "campaign", "channel").alias("_b"), F.col("occurred_at").alias("_t"))
+    """The latest web touch at or before each event, one row per event (ties: greatest time, then batch and entity)."""
+    b = _web(batches).select("entity_id", F.struct(F.col("occurred_at").alias("t"), F.col("touchpoint_batch_id").alias("b"), "source", "medium", "campaign", "channel").alias("_b"), F.col("occurred_at").alias("_t"))
     ev = participants.where(F.col("entity_type") == "person").select("entity_id", F.col("event_id").alias("attributed_event_id"), F.col("occurred_at").alias("_t")).where("_t is not null").distinct()
     line = b.groupBy("entity_id", "_t").agg(F.max("_b").alias("_b")).withColumn("_k", F.lit(0)).withColumn("attributed_event_id", F.lit(None).cast("string"))
     line = line.unionByName(ev.withColumn("_k", F.lit(1)), allowMissingColumns=True)
@@ -87,5 +95,16 @@ def channel_groupings(results: DataFrame, groupings: dict[str, Column | str]) ->
     return results.select("*", F.inline(F.array(*cells)))
 
 
+#: The columns of a touchpoint and their types, for the empty union.
+TOUCHPOINT = {c: "string" for c in ("touchpoint_id", "touchpoint_event_id", "event_name", "event_type", "source", "medium", "campaign", "content", "term", "channel", "landing_page", "referrer", "landing_url", "fbclid", "gclid", "ttclid", "li_fat_id", "attribution_deduplication_key", "touchpoint_type")} | {"occurred_at": "timestamp_ntz"}
+
+
+def union_touchpoints(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """All sources' touchpoints by name, missing columns null; without a source an empty table with the contract's columns."""
+    if not parts:
+        return empty(spark, ", ".join(f"{c} {t}" for c, t in TOUCHPOINT.items()))
+    return union_results(parts)
+
+
 def union_results(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

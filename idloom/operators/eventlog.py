@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
-from idloom.operators.relational import dedupe, latest, union_aligned
+from idloom.operators.relational import latest, union_aligned
 
 # The contracts' columns and types.
 EVENT = {"event_id": "string", "occurred_at": "timestamp_ntz", "event_name": "string", "event_description": "string", "event_type": "string", "significance": "double", "source": "string", "source_table": "string", "_ingested_at": "timestamp_ntz"}
@@ -69,7 +69,7 @@ def _lowered(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _since(df: DataFrame, since, key: str) -> DataFrame:
-    return df if since is None else dedupe(df.where(F.col("_ingested_at") > F.lit(since)), [key], [F.col("_ingested_at").desc()])
+    return df if since is None else latest(df.where(F.col("_ingested_at") > F.lit(since)), [key], ["_ingested_at"])
 
 
 def dimensions(parts: list[DataFrame], since=None) -> DataFrame:

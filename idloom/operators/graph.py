@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,32 @@ def connection_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("entity_type_a").alias("entity_type"), F.col("identifier_type_a").alias("identifier_type"), F.col("identifier_value_a").alias("identifier_value")).agg(F.count_distinct("identifier_value_b").alias("connections"))
 
 
-def autofilter(edges: DataFrame, critical: int | None = None, error: int | None = None) -> DataFrame:
-    """Edges none of whose ends has more connections than the thresholds given."""
+def edges_with_counts(edges: DataFrame) -> DataFrame:
+    """Edges with the connections of either end, over all sources and within the edge's source.
+
+    Each count is an aggregate joined back, not a window, so the edges of a hub are not gathered.
+    """
+    out = edges
+    for s, o in (("a", "b"), ("b", "a")):
+        end = [f"entity_type_{s}", f"identifier_type_{s}", f"identifier_value_{s}"]
+        for keys, name in ((end, f"connections_{s}_total"), (["source", *end], f"connections_{s}_per_source")):
+            n = edges.groupBy(*keys).agg(F.count_distinct(f"identifier_value_{o}").alias(name))
+            for k in keys:
+                n = n.withColumnRenamed(k, "_" + k)
+            cond = reduce(lambda x, y: x & y, [out[k].eqNullSafe(n["_" + k]) for k in keys])
+            out = out.join(n, cond, "left").drop(*["_" + k for k in keys])
+    return out
+
+
+def autofilter(edges: DataFrame, critical: int | None = None, error: int | None = None, incremental: bool = False) -> DataFrame:
+    """Edges none of whose ends has more connections than the thresholds given.
+
+    Filtering takes back edges as counts grow, which can split entities; incremental resolution can't follow that, so the
+    two together are refused.
+    """
     limits = [x for x in (critical, error) if x is not None]
+    if limits and incremental:
+        raise ValueError("edge filters and incremental resolution exclude each other: turn off one of them")
     if not limits:
         return edges
     noisy = connection_counts(edges).where(F.col("connections") > min(limits)).select("entity_type", "identifier_type", "identifier_value")
@@ -109,6 +134,6 @@ def resolve(identifiers: DataFrame, entity_type: str, max_recursion: int = 5, ed
     m = nodes.join(labels, "node")
     t, v = F.split_part("label", F.lit("\x01"), F.lit(1)), F.split_part("label", F.lit("\x01"), F.lit(2))
     return m.select(
-        make_id(f"{entity_type}_identifier", "identifier_type", "identifier_value").alias("identifier_id"), make_id(entity_type, t, v).alias("entity_id"), "event_id", "identifier_type", "identifier_value",
+        make_id(f"{entity_type}_identifier", make_id(entity_type, t, v), "identifier_type", "identifier_value").alias("identifier_id"), make_id(entity_type, t, v).alias("entity_id"), "event_id", "identifier_type", "identifier_value",
         F.lit(False).alias("realtime_processed"), F.lit(True).alias("existing"), F.lit("full_resolution").alias("resolution_reason"), F.lit(None).cast("string").alias("previous_entity_id"), mark,
     )

@@ -118,4 +118,5 @@ def touchpoints(spark, sf) -> DataFrame:
         F.concat(F.lit("c"), (k % 7).cast("string")).alias("campaign"), F.when(k % 2 == 0, "paid").otherwise("social").alias("channel"), click(0, "g").alias("gclid"), click(1, "f").alias("fbclid"), click(2, "t").alias("ttclid"), click(3, "l").alias("li_fat_id"),
         F.when(k % 10 == 4, F.concat(F.lit("https://shop.test/?rdt_cid=r"), k.cast("string"))).when(k % 10 == 5, F.concat(F.lit("https://shop.test/?rdclid=q"), k.cast("string"))).otherwise("https://shop.test/").alias("landing_url"),
     )
+    e = e.withColumn("touchpoint_type", F.when(F.col("source") == "s3", "store").otherwise("web"))
     return e.withColumn("attribution_deduplication_key", make_id("attribution_deduplication_key", "source", "medium", "campaign"))

@@ -35,7 +35,7 @@ def q(name: str, sql: str | None = None):
 
 
 # Fixed edge cases of the text functions.
-CASES = (None, "", "None", "null", " A.B+x@GMAIL.com ", "Foo@Bar.org", "@", "not mail", "0000000000", "1234567890", "+1 555 0101", "Name <a.b@gmail.com>", "www.shop.test", "shop.test", "a &amp;lt; b &quot;c&quot;", "Re: Fwd: RE: hello", "2023-01-15", "12:30:05", "x")
+CASES = (None, "", "None", "null", " A.B+x@GMAIL.com ", "Foo@Bar.org", "@", "not mail", "0000000000", "1234567890", "+1 555 0101", "Name <a.b@gmail.com>", "www.shop.test", "shop.test", "a &amp;lt; b &quot;c&quot;", "Re: Fwd: RE: hello", "2023-01-15", "12:30:05", "1:2:3:4", "7:8", "x")
 _CASES = "(values " + ", ".join("(" + ("null" if c is None else "'" + c.replace("'", "''") + "'") + ")" for c in CASES) + ") v(t)"
 
 
@@ -59,12 +59,12 @@ _case("html_decode", nz.html_decode, _DECODE)
 _case("null_string_cast", lambda c: nz.null_safe_cast(c, "date"), "case when t not in ('null', 'NULL', 'None', 'none', '') then try_cast(t as date) end")
 _case("clean_subject", nz.clean_subject, "trim(regexp_replace(t, '^(([Rr][Ee]|[Ff][Ww][Dd]?):\\s*){1,4}', ''))")
 _case("try_dates", lambda c: tm.try_date(c), "try_cast(t as date)")
-_case("interval_seconds", tm.interval_seconds, "case when regexp_matches(t, '^\\d+:\\d+:\\d+$') then cast(split_part(t, ':', 1) as bigint) * 3600 + cast(split_part(t, ':', 2) as bigint) * 60 + cast(split_part(t, ':', 3) as bigint) end")
+_case("interval_seconds", tm.interval_seconds, "case when regexp_full_match(trim(t), '[-+]?\\d+:\\d+:\\d+') then cast(split_part(t, ':', 1) as bigint) * 3600 + cast(split_part(t, ':', 2) as bigint) * 60 + cast(split_part(t, ':', 3) as bigint) end")
 _case("case_map", lambda c: nz.case_map(c, {"x": "'ex'", "@": "'at'"}, "'other'"), "case t when 'x' then 'ex' when '@' then 'at' else 'other' end")
 q("domain_filter", f"select t from {_CASES} where t is not null and t <> '' and t not in ('x', '@')")(lambda s, d: _cases(s).where(nz.domain_filter(F.col("t"), exclude=["x", "@"])))
 q("format_fbc", "select event_id, 'fb.1.' || (epoch_us(occurred_at) // 1000) || '.' || id as fbc from segment_events where occurred_at > timestamp '1970-01-02'")(lambda s, d: fx.read(s, d, "segment_events").where("occurred_at > timestamp_ntz'1970-01-02 00:00:00'").select("event_id", nz.format_fbc(F.col("id"), F.col("occurred_at")).alias("fbc")))
 q("click_ids", "select touchpoint_id, nullif(regexp_extract(landing_url, '[?&]rdt_cid=([^&#]+)', 1), '') as rdt_cid from touch")(lambda s, d: fx.touchpoints(s, d).select("touchpoint_id", nz.click_id(F.col("landing_url"), "rdt_cid").alias("rdt_cid")))
-q("channel_of", "select event_id, received_at, case when context_campaign_source is not null and context_campaign_source <> '' then 'paid' when page_referrer like '%facebook%' or page_url like '%fbclid=%' then 'social' when page_referrer like '%google%' then 'organic' when page_referrer is not null and page_referrer <> '' then 'referral' else 'direct' end as channel from segment_events")(lambda s, d: fx.read(s, d, "segment_events").select("event_id", "received_at", nz.channel(F.col("context_campaign_source"), F.col("page_referrer"), F.col("page_url")).alias("channel")))
+q("channel_of", "select event_id, received_at, case when context_campaign_source is not null then 'paid' when page_referrer like '%facebook%' or page_url like '%fbclid%' then 'social' when page_referrer like '%google%' then 'organic' when page_referrer is not null then 'referral' else 'direct' end as channel from segment_events")(lambda s, d: fx.read(s, d, "segment_events").select("event_id", "received_at", nz.channel(F.col("context_campaign_source"), F.col("page_referrer"), F.col("page_url")).alias("channel")))
 q("tz_convert", "select event_id, (ts at time zone 'UTC') at time zone 'America/New_York' as local_ts from events")(lambda s, d: fx.read(s, d, "events").select("event_id", tm.convert_timezone(F.col("ts"), "America/New_York").alias("local_ts")))
 q("try_timestamps", "select o_orderkey, o_orderdate as parsed from orders")(lambda s, d: fx.read(s, d, "orders").select("o_orderkey", tm.try_timestamp(F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss"), "YYYY/MM/DD HH24:MI:SS").alias("parsed")))
 q("epoch_conversions", "select event_id, make_timestamp(epoch_us(ts)) as us, make_timestamp((epoch_us(ts) // 1000) * 1000) as ms, make_timestamp((epoch_us(ts) // 1000000) * 1000000) as s from events")(lambda s, d: fx.read(s, d, "events").withColumn("u", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", tm.from_micros(F.col("u")).alias("us"), tm.from_millis(F.expr("u div 1000")).alias("ms"), tm.from_seconds(F.expr("u div 1000000")).alias("s")))
@@ -89,11 +89,15 @@ q("unpivot_traits", f"select {sid('ent_tr', 'event_id', 'anonymous_id', repr('pe
 # Web
 C["calls"] = "select * exclude (rn) from (select *, row_number() over (partition by event_id order by received_at desc nulls last, occurred_at desc, _ingested_at desc nulls last) as rn from segment_events where occurred_at > timestamp '1900-01-01') where rn = 1"
 q("web_events", "select event_id, occurred_at, event_name, coalesce(event_text, event_name) as event_description, event_type, cast(0 as double) as significance, 'segment' as source, segment_source as source_table, coalesce(received_at, _ingested_at) as _ingested_at from calls")(lambda s, d: web.events(fx.read(s, d, "segment_events")))
-C["tcalls"] = "select *, coalesce(context_campaign_source is not null or context_campaign_medium is not null or context_campaign_name is not null or coalesce(" + ", ".join(f"nullif(regexp_extract(page_url, '[?&]{n}=([^&#]+)', 1), '')" for n in nz.CLICK_IDS) + ") is not null or (page_referrer is not null and page_referrer <> ''), false) as marked from calls"
-C["tdirect"] = "select * from tcalls where not marked and event_type = 'web' and anonymous_id is not null"
-q("web_touchpoints", f"select {sid('tch', 'event_id', 'occurred_at')} as touchpoint_id, event_id as touchpoint_event_id, occurred_at, channel, touchpoint_type from (select event_id, occurred_at, case when context_campaign_source is not null and context_campaign_source <> '' then 'paid' when page_referrer like '%facebook%' or page_url like '%fbclid=%' then 'social' when page_referrer like '%google%' then 'organic' when page_referrer is not null and page_referrer <> '' then 'referral' else 'direct' end as channel, 'attributed' as touchpoint_type from tcalls where marked union all select event_id, occurred_at, 'direct', 'direct' from tdirect t where occurred_at = (select min(occurred_at) from tdirect u where u.anonymous_id = t.anonymous_id))")(
-    lambda s, d: web.touchpoints(fx.read(s, d, "segment_events")).select("touchpoint_id", "touchpoint_event_id", "occurred_at", "channel", "touchpoint_type")
-)
+_CLICKS = ", ".join(f"nullif(regexp_extract(page_url, '[?&]{n}=([^&#]+)', 1), '') as {n}" for n in nz.CLICK_IDS)
+_CHANNEL = "case when context_campaign_source is not null then 'paid' when page_referrer like '%facebook%' or page_url like '%fbclid%' then 'social' when page_referrer like '%google%' then 'organic' when page_referrer is not null then 'referral' else 'direct' end"
+_TOUCH = "as touchpoint_id, event_id as touchpoint_event_id, event_name, event_type, occurred_at"
+_NULLS = lambda *n: ", ".join(f"cast(null as varchar) as {x}" for x in n)
+C["tcalls"] = f"select *, {_CHANNEL} as channel, {_CLICKS} from calls"
+C["tattr"] = f"select {sid('tch', 'event_id', 'occurred_at')} {_TOUCH}, context_campaign_source as source, context_campaign_medium as medium, context_campaign_name as campaign, cast(null as varchar) as content, cast(null as varchar) as term, channel, context_page_path as landing_page, page_referrer as referrer, page_url as landing_url, {', '.join(nz.CLICK_IDS)} from tcalls where context_campaign_source is not null or context_campaign_medium is not null or context_campaign_name is not null or coalesce({', '.join(nz.CLICK_IDS)}) is not null or page_referrer is not null"
+C["tfirst"] = "select anonymous_id, min(occurred_at) as first_at from tcalls where event_type = 'web' and anonymous_id is not null group by 1"
+C["tdirect"] = f"select {sid('tch', 'event_id', 'occurred_at')} {_TOUCH}, {_NULLS('source', 'medium', 'campaign', 'content', 'term')}, 'direct' as channel, context_page_path as landing_page, {_NULLS('referrer')}, page_url as landing_url, {_NULLS(*nz.CLICK_IDS)} from tcalls join tfirst using (anonymous_id) where occurred_at = first_at and coalesce(context_campaign_source, '') = '' and coalesce(context_campaign_medium, '') = '' and coalesce(context_campaign_name, '') = '' and coalesce({', '.join('tcalls.' + n for n in nz.CLICK_IDS)}) is null and coalesce(page_referrer, '') = ''"
+q("web_touchpoints", f"select *, {sid('att_dedup', 'source', 'medium', 'campaign', 'content', 'term', 'referrer', *nz.CLICK_IDS)} as attribution_deduplication_key, 'web' as touchpoint_type from tattr union all select *, {sid('att_dedup', repr('direct'), 'landing_page')}, 'web' from tdirect")(lambda s, d: web.touchpoints(fx.read(s, d, "segment_events")))
 
 # Mail
 _H = lambda n: f"list_filter(hs, lambda h: lower(json_extract_string(h, '$.name')) = '{n}')[1]"

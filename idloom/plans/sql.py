@@ -55,7 +55,7 @@ C: dict[str, str] = {
     "ustates0": "select entity_id, entity_type, 'web_activity' as state_name, event_type as state_value, cast(null as double) as state_numeric_value, 'dimension' as state_category, state_entered_at, state_exited_at, state_exited_at is null as is_current, trigger_event_id from ustate0 union all select entity_id, entity_type, 'web_value', null, value, 'measurement', state_entered_at, state_exited_at, state_exited_at is null, trigger_event_id from ustate0",
     "ustates": f"select {sid('st', 'entity_id', 'state_name', 'state_value', 'state_entered_at')} as state_id, * from ustates0",
     "touch0": f"select {sid('tch', 'eid', 'ts')} as touchpoint_id, eid as touchpoint_event_id, ts as occurred_at, 's' || (k % 5) as source, 'm' || (k % 2) as medium, 'c' || (k % 7) as campaign, case when k % 2 = 0 then 'paid' else 'social' end as channel, case when k % 10 = 0 then 'g' || k end as gclid, case when k % 10 = 1 then 'f' || k end as fbclid, case when k % 10 = 2 then 't' || k end as ttclid, case when k % 10 = 3 then 'l' || k end as li_fat_id, case when k % 10 = 4 then 'https://shop.test/?rdt_cid=r' || k when k % 10 = 5 then 'https://shop.test/?rdclid=q' || k else 'https://shop.test/' end as landing_url from raw_ev where event_type = 'click'",
-    "touch": f"select *, {sid('att_dedup', 'source', 'medium', 'campaign')} as attribution_deduplication_key from touch0",
+    "touch": f"select *, case when source = 's3' then 'store' else 'web' end as touchpoint_type, {sid('att_dedup', 'source', 'medium', 'campaign')} as attribution_deduplication_key from touch0",
     "web_edges": _edges("web_ids"),
     "noisy_edges": _edges("noisy_ids"),
     # attribution
@@ -66,7 +66,7 @@ C: dict[str, str] = {
     "paths": f"select {sid('tch_path', 'event_id', 'entity_id', 'entity_type', 'touchpoint_id')} as touchpoint_path_id, {sid('tch_batch', 'touchpoint_id', 'entity_id', 'entity_type')} as touchpoint_batch_id, touchpoint_id as last_touchpoint_id, event_id, entity_id, entity_type, touchpoint_event_id, attribution_deduplication_key, t as touchpoint_occurred_at, et as event_occurred_at from tp4 where rn = 1",
     "batches": "select b.*, t.* exclude (touchpoint_id) from (select touchpoint_batch_id, last_touchpoint_id as touchpoint_id, entity_id, entity_type, count(*) as events_in_batch, min(event_occurred_at) as first_event_at, max(event_occurred_at) as last_event_at from paths group by 1, 2, 3, 4) b join touch t using (touchpoint_id)",
     "pev": "select distinct entity_id, event_id as attributed_event_id, occurred_at as attributed_event_occurred_at from uparts where entity_type = 'person'",
-    "pb": "select entity_id, touchpoint_batch_id, occurred_at, source, medium, campaign, channel from batches where entity_type = 'person'",
+    "pb": "select entity_id, touchpoint_batch_id, occurred_at, source, medium, campaign, channel from batches where entity_type = 'person' and touchpoint_type = 'web'",
     "ft": "select b.* from pb b join (select entity_id, min(occurred_at) as m from pb group by 1) x on x.entity_id = b.entity_id and x.m = b.occurred_at",
     "first_t": f"select a.entity_id, a.occurred_at as touchpoint_occurred_at, a.touchpoint_batch_id, a.source, a.medium, a.campaign, a.channel, e.attributed_event_id, e.attributed_event_occurred_at, 'first_marketing_touch' as attribution_model_name, {sid('attr_res', repr('first_marketing_touch'), 'a.touchpoint_batch_id', 'attributed_event_id', 'a.entity_id')} as attribution_model_result_id from ft a join ft b on a.entity_id = b.entity_id join pev e on e.entity_id = a.entity_id and e.attributed_event_occurred_at >= a.occurred_at",
     "last_t": f"select entity_id, occurred_at as touchpoint_occurred_at, touchpoint_batch_id, source, medium, campaign, channel, attributed_event_id, attributed_event_occurred_at, 'last_marketing_touch' as attribution_model_name, {sid('attr_res', repr('last_marketing_touch'), 'touchpoint_batch_id', 'attributed_event_id', 'entity_id')} as attribution_model_result_id from (select e.*, b.* exclude (entity_id), row_number() over (partition by attributed_event_id order by b.occurred_at desc, b.touchpoint_batch_id desc, e.entity_id desc) as rn from pev e join pb b on b.entity_id = e.entity_id and b.occurred_at <= e.attributed_event_occurred_at) where rn = 1",
@@ -87,7 +87,8 @@ def _hops(ids: str, entity: str, k: int, name: str) -> None:
         C[f"{name}_e{i}"] = f"select n.edge_id, min(l.label) as label from (select distinct node, edge_id from {name}_n where edge_id is not null) n join {name}_l{i - 1} l on l.node = n.node group by 1"
         C[f"{name}_l{i}"] = f"select l.node, least(min(l.label), coalesce(min(e.label), min(l.label))) as label from {name}_l{i - 1} l left join (select distinct node, edge_id from {name}_n) n on n.node = l.node left join {name}_e{i} e on e.edge_id = n.edge_id group by 1"
     C[f"{name}_f"] = f"select node, identifier_type, identifier_value, event_id from (select *, row_number() over (partition by node order by edge_id nulls first, event_id nulls first) as rn from {name}_n) where rn = 1"
-    C[name] = f"select {sid(('per' if entity == 'person' else 'grp') + '_idfr', 'identifier_type', 'identifier_value')} as identifier_id, {sid('per' if entity == 'person' else 'grp', 'split_part(label, chr(1), 1)', 'split_part(label, chr(1), 2)')} as entity_id, event_id, identifier_type, identifier_value, false as realtime_processed, true as existing, 'full_resolution' as resolution_reason, cast(null as varchar) as previous_entity_id, (select max(_ingested_at) from {name}_n) as resolved_at_watermark from {name}_f f join {name}_l{k} l on l.node = f.node"
+    own = sid("per" if entity == "person" else "grp", "split_part(label, chr(1), 1)", "split_part(label, chr(1), 2)")
+    C[name] = f"select {sid(('per' if entity == 'person' else 'grp') + '_idfr', own, 'identifier_type', 'identifier_value')} as identifier_id, {own} as entity_id, event_id, identifier_type, identifier_value, false as realtime_processed, true as existing, 'full_resolution' as resolution_reason, cast(null as varchar) as previous_entity_id, (select max(_ingested_at) from {name}_n) as resolved_at_watermark from {name}_f f join {name}_l{k} l on l.node = f.node"
 
 
 _hops("web_ids", "person", 2, "web2")
