@@ -91,12 +91,13 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFra
     one of ``nodes``."""
     table = cut(nodes.select("node", F.col("node").alias("label")))
     l = cut(links).df
+    most = l.count()
     done = 0
     while rounds is None or done < rounds:
         done += 1
         cur = table.df
-        heard = join_even(l, cur, "node", "link").groupBy("link").agg(F.min("label").alias("label"))
-        best = join_even(l, heard, "link", "node").groupBy("node").agg(F.min("label").alias("_new"))
+        heard = join_even(l, cur, "node", "link", at_most=most).groupBy("link").agg(F.min("label").alias("label"))
+        best = join_even(l, heard, "link", "node", at_most=most).groupBy("node").agg(F.min("label").alias("_new"))
         nxt = cut(cur.join(best, "node", "left").select("node", F.least("label", F.coalesce("_new", "label")).alias("label"), (F.col("_new") < F.col("label")).alias("_moved")))
         table.drop()
         moved = not nxt.df.where("_moved").isEmpty()

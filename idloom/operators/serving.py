@@ -21,6 +21,7 @@ class Tables:
     traits: DataFrame
     lookup: DataFrame
     edges: DataFrame
+    identifiers: DataFrame | None = None
 
 
 def envelope(df: DataFrame, query: str) -> dict:
@@ -58,18 +59,18 @@ def related_entities(t: Tables, entity_id: str, relationship_type: str | None =
     return select_where(out, filters, order or [F.col("established_at").desc_nulls_last(), F.col("relationship_id")], limit, offset)
 
 
-def recent_events(t: Tables, entity_id: str, event_type: str | None = None, filters: list[dict] = (), limit: int = 10) -> DataFrame:
+def recent_events(t: Tables, entity_id: str, event_type: str | None = None, filters: list[dict] = (), limit: int = 10, order: list[Column] = ()) -> DataFrame:
     e = t.events.join(t.participants.where(F.col("entity_id") == entity_id).select("event_id").distinct(), "event_id", "left_semi")
     if event_type:
         e = e.where(F.col("event_type") == event_type)
-    return select_where(e, filters, [F.col("occurred_at").desc_nulls_last(), F.col("event_id")], limit)
+    return select_where(e, filters, list(order) or [F.col("occurred_at").desc_nulls_last(), F.col("event_id")], limit)
 
 
-def search_events(t: Tables, query: str | None = None, filters: list[dict] = (), limit: int = 50) -> DataFrame:
+def search_events(t: Tables, query: str | None = None, filters: list[dict] = (), limit: int = 50, order: list[Column] = ()) -> DataFrame:
     e = t.events
     if query:
         e = e.where(reduce(lambda a, b: a | b, [F.lower(F.coalesce(c, F.lit(""))).contains(query.lower()) for c in ("event_name", "event_type", "source")]))
-    return select_where(e, filters, [F.col("occurred_at").desc_nulls_last(), F.col("event_id")], limit)
+    return select_where(e, filters, list(order) or [F.col("occurred_at").desc_nulls_last(), F.col("event_id")], limit)
 
 
 def event_participants(t: Tables, event_id: str, filters: list[dict] = ()) -> DataFrame:
@@ -100,21 +101,52 @@ def trait_history(t: Tables, entity_id: str, trait: str) -> DataFrame:
     return h.join(t.events.select("event_id", "event_name"), "event_id", "left").orderBy(F.col("occurred_at").desc_nulls_last(), "trait_value", "identifier_value")
 
 
-def edges_of_entity(t: Tables, entity_id: str) -> DataFrame:
-    """Edges with an identifier of the entity at either end: two equi joins and a distinct union."""
-    ids = t.lookup.where(F.col("entity_id") == entity_id).select("entity_type", "identifier_type", "identifier_value")
-    sides = [t.edges.join(ids.select(*[F.col(c).alias(f"{c}_{s}") for c in ids.columns]), [f"{c}_{s}" for c in ids.columns], "left_semi") for s in ("a", "b")]
+_EDGE = ["edge_id", "entity_type_a", "identifier_type_a", "identifier_value_a", "entity_type_b", "identifier_type_b", "identifier_value_b"]
+
+
+def _edge_events(t: Tables, edges: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """Each edge with the events of the identifier rows that carry it, at either end: two equi joins and a distinct union."""
+    rows = t.identifiers if entity_type is None else t.identifiers.where(F.col("entity_type") == entity_type)
+    rows = rows.select("edge_id", "identifier_type", "identifier_value", "event_id").distinct()
+    e = edges.select(*_EDGE, F.col("source").alias("edge_source")).distinct()
+    sides = [e.join(rows.select("edge_id", F.col("identifier_type").alias(f"identifier_type_{s}"), F.col("identifier_value").alias(f"identifier_value_{s}"), "event_id"), ["edge_id", f"identifier_type_{s}", f"identifier_value_{s}"]).select(*e.columns, "event_id") for s in ("a", "b")]
     return sides[0].unionByName(sides[1]).distinct()
 
 
-def edges_by_identifier(t: Tables, value: str, identifier_type: str | None = None) -> DataFrame:
+def _with_events(t: Tables, found: DataFrame, order: list[Column], limit: int | None, filters: list[dict] = ()) -> DataFrame:
+    ev = t.events.select("event_id", "event_name", "event_description", F.col("source").alias("event_source"), F.col("occurred_at").alias("event_occurred_at"))
+    ties = [F.col("edge_id"), F.col("identifier_value_a"), F.col("identifier_value_b"), F.col("event_id")]
+    return select_where(found.join(ev, "event_id", "left").select(*found.columns, *ev.columns[1:]), filters, [*(order or [F.col("event_occurred_at").desc_nulls_last()]), *ties], limit)
+
+
+def edges_of_entity(t: Tables, entity_id: str, entity_type: str | None = None, order: list[Column] = (), limit: int | None = None) -> DataFrame:
+    """Edges with an identifier of the entity at either end and the events they were seen in, latest first.
+
+    Both ends of an edge are of one type: ``entity_type``, else person or group; events are those of rows of that type
+    (person without one).
+    """
+    ids = t.lookup.where(F.col("entity_id") == entity_id).select("identifier_type", "identifier_value")
+    types = [entity_type] if entity_type else ["person", "group"]
+    edges = t.edges.where((F.col("entity_type_a") == F.col("entity_type_b")) & F.col("entity_type_a").isin(*types))
+    sides = [edges.join(ids.select(*[F.col(c).alias(f"{c}_{s}") for c in ids.columns]), [f"{c}_{s}" for c in ids.columns], "left_semi") for s in ("a", "b")]
+    return _with_events(t, _edge_events(t, sides[0].unionByName(sides[1]).distinct(), entity_type or "person"), list(order), limit)
+
+
+def edges_by_identifier(t: Tables, value: str, identifier_type: str | None = None, entity_type: str | None = None, filters: list[dict] = (), order: list[Column] = (), limit: int | None = None) -> DataFrame:
+    """Edges with the identifier at either end and the events they were seen in, latest first; an edge without events is
+    listed once."""
     out = None
     for s in ("a", "b"):
         e = t.edges.where(F.col(f"identifier_value_{s}") == value)
         if identifier_type:
             e = e.where(F.col(f"identifier_type_{s}") == identifier_type)
+        if entity_type:
+            e = e.where(F.col(f"entity_type_{s}") == entity_type)
         out = e if out is None else out.unionByName(e)
-    return out.distinct()
+    out = out.distinct()
+    seen = _edge_events(t, out)
+    bare = out.select(*_EDGE, F.col("source").alias("edge_source")).distinct().join(seen.select(*_EDGE).distinct(), _EDGE, "left_anti")
+    return _with_events(t, seen.unionByName(bare.withColumn("event_id", F.lit(None).cast("string")).select(*seen.columns)), list(order), limit, filters)
 
 
 def search_edges(t: Tables, filters: list[dict] = (), order: list[Column] = (), limit: int | None = None, offset: int | None = None) -> DataFrame:

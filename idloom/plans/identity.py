@@ -75,6 +75,8 @@ q("edges_autofiltered", _KEPT)(lambda s, d: gr.autofilter(gr.identifier_edges(fx
 q("filtered_orphans", f"with_kept as ({_KEPT})" and f"select distinct entity_type, identifier_type, identifier_value from noisy_ids i where not exists (select 1 from ({_KEPT}) k where k.entity_type_a = i.entity_type and k.identifier_type_a = i.identifier_type and k.identifier_value_a = i.identifier_value) and edge_id in (select j.edge_id from noisy_ids j join ({_KEPT}) k on k.entity_type_a = j.entity_type and k.identifier_type_a = j.identifier_type and k.identifier_value_a = j.identifier_value)")(
     lambda s, d: gr.filtered_orphans(fx.noisy_identifiers(s, d), gr.autofilter(gr.identifier_edges(fx.noisy_identifiers(s, d)), 50, 20))
 )
+_ENDS = lambda s: f"entity_type_{s}, identifier_type_{s}, identifier_value_{s}"
+q("edges_with_counts", "select *, " + ", ".join(f"(select count(distinct identifier_value_{o}) from noisy_edges x where x.entity_type_{s} = e.entity_type_{s} and x.identifier_type_{s} = e.identifier_type_{s} and x.identifier_value_{s} = e.identifier_value_{s}{extra}) as connections_{s}_{n}" for s, o in (("a", "b"), ("b", "a")) for extra, n in (("", "total"), (" and x.source = e.source", "per_source"))) + " from noisy_edges e")(lambda s, d: gr.edges_with_counts(gr.identifier_edges(fx.noisy_identifiers(s, d))))
 q("edges_new", "select * from web_edges where edge_uniqueness_hash not in (select edge_uniqueness_hash from web_edges where identifier_type_a = 'email' or identifier_type_b = 'email')")(lambda s, d: gr.new_edges(e := gr.identifier_edges(fx.web_identifiers(s, d)), e.where("identifier_type_a = 'email' or identifier_type_b = 'email'")))
 for _k in (2, 5):
     q(f"resolved_persons_k{_k}", f"select * from web{_k}")(lambda s, d, k=_k: gr.resolve(fx.web_identifiers(s, d), "person", k))
@@ -194,10 +196,12 @@ q("q_event_participants", "select w.*, p.role from wide w join parts p using (en
 q("q_list_entities", "select w.*, coalesce(n, 0) as membership_count from wide w left join (select entity_b_id, count(*) as n from rels group by 1) r on r.entity_b_id = w.entity_id where entity_type = 'group' order by entity_id limit 10 offset 5")(lambda s, d: sv.list_entities(_tables(s, d), "group", limit=10, offset=5))
 q("q_memberships", "select * from rels where relationship_type = 'membership' and is_active")(lambda s, d: sv.memberships(_tables(s, d), [{"column": "is_active", "operator": "=", "value": True}]))
 q("q_trait_history", f"select t.event_id, t.identifier_type, t.identifier_value, t.trait_name, t.trait_value, t.occurred_at, e.event_name from cust_traits t join lookup l using (entity_type, identifier_type, identifier_value) left join all_ev e on e.event_id = t.event_id where l.entity_id = {_ME} and trait_name = 'Market Segment'")(lambda s, d: sv.trait_history(t := _tables(s, d), _me(t), "Market Segment"))
-q("q_edges_of_entity", "select distinct e.* from web_edges e join (select identifier_type, identifier_value from web5 where entity_id = (select entity_id from web5 where identifier_type = 'user_id' and identifier_value = '7')) l on (l.identifier_type = identifier_type_a and l.identifier_value = identifier_value_a) or (l.identifier_type = identifier_type_b and l.identifier_value = identifier_value_b)")(
-    lambda s, d: sv.edges_of_entity(sv.Tables(*[None] * 5, l := en.identifier_lookup({"person": gr.resolve(i := fx.web_identifiers(s, d), "person")}), gr.identifier_edges(i)), l.where("identifier_type = 'user_id' and identifier_value = '7'").first().entity_id)
+C["edge_seen"] = "select distinct e.edge_id, e.entity_type_a, e.identifier_type_a, e.identifier_value_a, e.entity_type_b, e.identifier_type_b, e.identifier_value_b, e.source as edge_source, i.event_id, v.event_name, v.event_description, v.source as event_source, v.occurred_at as event_occurred_at from web_edges e left join web_ids i on i.edge_id = e.edge_id and ((i.identifier_type = e.identifier_type_a and i.identifier_value = e.identifier_value_a) or (i.identifier_type = e.identifier_type_b and i.identifier_value = e.identifier_value_b)) left join web_ev v on v.event_id = i.event_id"
+_web_tables = lambda s, d, i, l=None: sv.Tables(None, ev.events([fx.web_events(s, d)]), None, None, None, l, gr.identifier_edges(i), i)
+q("q_edges_of_entity", "select e.* from edge_seen e where exists (select 1 from web5 l where l.entity_id = (select entity_id from web5 where identifier_type = 'user_id' and identifier_value = '7') and ((l.identifier_type = identifier_type_a and l.identifier_value = identifier_value_a) or (l.identifier_type = identifier_type_b and l.identifier_value = identifier_value_b))) and event_id is not null order by event_occurred_at desc nulls last, edge_id, identifier_value_a, identifier_value_b, event_id limit 200")(
+    lambda s, d: sv.edges_of_entity(_web_tables(s, d, i := fx.web_identifiers(s, d), l := en.identifier_lookup({"person": gr.resolve(i, "person")})), l.where("identifier_type = 'user_id' and identifier_value = '7'").first().entity_id, limit=200)
 )
-q("q_edges_by_identifier", "select distinct * from web_edges where (identifier_value_a = '7' and identifier_type_a = 'user_id') or (identifier_value_b = '7' and identifier_type_b = 'user_id')")(lambda s, d: sv.edges_by_identifier(sv.Tables(*[None] * 6, gr.identifier_edges(fx.web_identifiers(s, d))), "7", "user_id"))
+q("q_edges_by_identifier", "select * from edge_seen where (identifier_value_a = '7' and identifier_type_a = 'user_id') or (identifier_value_b = '7' and identifier_type_b = 'user_id')")(lambda s, d: sv.edges_by_identifier(_web_tables(s, d, fx.web_identifiers(s, d)), "7", "user_id"))
 q("q_search_edges", "select * from web_edges where identifier_type_a = 'email' order by edge_id, edge_uniqueness_hash limit 20 offset 3")(lambda s, d: sv.search_edges(sv.Tables(*[None] * 6, gr.identifier_edges(fx.web_identifiers(s, d))), [{"column": "identifier_type_a", "operator": "=", "value": "email"}], limit=20, offset=3))
 q("q_edges_with_issues", "select entity_type_a as entity_type, identifier_type_a as identifier_type, identifier_value_a as identifier_value, count(distinct identifier_value_b) as connections from noisy_edges group by 1, 2, 3 having count(distinct identifier_value_b) > 20 order by 4 desc, 2, 3 limit 500")(lambda s, d: sv.edges_with_issues(sv.Tables(*[None] * 6, gr.identifier_edges(fx.noisy_identifiers(s, d)))))
 

@@ -201,7 +201,24 @@ def incremental_partition(s, d) -> DataFrame:
     return state.join(least, "entity_id").select("identifier_type", "identifier_value", "least_id")
 
 
-q("incremental_log_counts")(lambda s, d: incremental(s, d)[1].groupBy("resolution_reason").agg(F.count("*").alias("n")))
+def _slices(parts: int = 4) -> str:
+    """SQL: the components at the end of each slice, and from them what each slice bore, took in and moved."""
+    from idloom.plans.sql import _hops
+
+    steps = []
+    for i in range(1, parts + 1):
+        C[f"slice{i}"] = f"select * from web_ids where _ingested_at <= (select make_timestamp(epoch_us(min(_ingested_at)) + (epoch_us(max(_ingested_at)) - epoch_us(min(_ingested_at))) * {i} // {parts}) from web_ids)"
+        _hops(f"slice{i}", "person", 9, f"slicef{i}")
+        if i > 1:
+            C[f"slicej{i}"] = f"select n.entity_id as comp, o.entity_id as old from slicef{i} n left join slicef{i - 1} o using (identifier_type, identifier_value)"
+            C[f"slices{i}"] = f"select comp, old, count(*) as n from slicej{i} group by 1, 2"
+            C[f"slicec{i}"] = f"select comp, coalesce(sum(n) filter (where old is null), 0) as fresh, coalesce(sum(n) filter (where old is not null), 0) as known, coalesce(max(n) filter (where old is not null), 0) as kept from slices{i} group by 1"
+            steps.append(f"select sum(case when known = 0 then fresh else 0 end) as born, sum(case when known > 0 then fresh else 0 end) as accreted, sum(known - kept) as repointed from slicec{i}")
+    return " union all ".join(steps)
+
+
+C["slice_sums"] = _slices()
+q("incremental_log_counts", "select * from (select 'born' as resolution_reason, sum(born)::bigint as n from slice_sums union all select 'accreted', sum(accreted)::bigint from slice_sums union all select 'repointed', sum(repointed)::bigint from slice_sums) where n > 0")(lambda s, d: incremental(s, d)[1].groupBy("resolution_reason").agg(F.count("*").alias("n")))
 _MID = "(select make_timestamp(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2) from events)"
 q("touched_rollup", f"select user_id, count(*) as n, max(ts) as _watermark_ingested_at from events where user_id in (select user_id from events where ts > (select max(ts) from events where ts <= {_MID})) group by 1")(
     lambda s, d: (lambda e: inc.touched_groups(e, e.where(F.unix_micros(F.col("_ingested_at").cast("timestamp")) <= F.lit(_mid(e))).groupBy("user_id").agg(F.max("_ingested_at").alias("_watermark_ingested_at")), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.max("_ingested_at").alias("_watermark_ingested_at")))(fx.read(s, d, "events").select("user_id", F.col("ts").alias("_ingested_at")))

@@ -6,6 +6,8 @@ changed in place; a reader of the version before is not disturbed, and a failed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +28,33 @@ class State:
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
+    def _versions(self) -> dict[int, str]:
         root = self._p(self.path)
-        if not self._fs.exists(root):
-            return -1
-        done = [int(s.getPath().getName()[1:]) for s in self._fs.listStatus(root) if s.getPath().getName().startswith("v") and self._fs.exists(self._p(f"{s.getPath().toString()}/_SUCCESS"))]
-        return max(done, default=-1)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return {int(n[1:].split("-")[0]): n for n in names if n.startswith("v") and self._fs.exists(self._p(f"{self.path}/{n}/_SUCCESS"))}
+
+    def version(self) -> int:
+        return max(self._versions(), default=-1)
+
+    def batch(self) -> int:
+        """The last batch that the current version holds; -1 if none was named."""
+        v = self._versions()
+        name = v[max(v)] if v else ""
+        return int(name.split("-b")[1]) if "-b" in name else -1
 
     def read(self, schema: str) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/v{v}") if v >= 0 else self.spark.createDataFrame([], schema)
+        v = self._versions()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{v[max(v)]}") if v else self.spark.createDataFrame([], schema)
 
-    def write(self, df: DataFrame) -> None:
-        """A new version; it counts once its success marker exists. Versions before the last one are dropped."""
-        v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        if v >= 2:
-            self._fs.delete(self._p(f"{self.path}/v{v - 2}"), True)
+    def write(self, df: DataFrame, batch: int | None = None) -> None:
+        """A new version; it counts once its success marker exists, and so does the batch, as the folder's name holds it.
+        Versions before the last one are dropped."""
+        old = self._versions()
+        v = max(old, default=-1) + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/v{v}" + ("" if batch is None else f"-b{batch}"))
+        for n, name in old.items():
+            if n <= v - 2:
+                self._fs.delete(self._p(f"{self.path}/{name}"), True)
 
 
 def upgrade_guard(df: DataFrame, required: list[str]) -> None:
@@ -126,27 +138,81 @@ def full_state(identifiers: DataFrame, entity_type: str, max_recursion: int | No
     return m.select(F.lit(entity_type).alias("entity_type"), "identifier_type", "identifier_value", "entity_id", "previous_entity_id", "resolution_reason", "resolved_at_watermark")
 
 
-def repoint_participants(participants: DataFrame, log: DataFrame, state: DataFrame) -> DataFrame:
-    """Participants of merged entities moved to the current entity of their identifiers; their ids stay."""
-    lost = log.where("resolution_reason = 'repointed'").join(state.select("entity_type", "identifier_type", "identifier_value", F.col("entity_id").alias("_now")), ["entity_type", "identifier_type", "identifier_value"])
-    lost = lost.groupBy(F.col("previous_entity_id").alias("entity_id")).agg(F.max("_now").alias("_now"))
-    return participants.join(lost, "entity_id", "left").withColumn("entity_id", F.coalesce("_now", "entity_id")).drop("_now").select(*participants.columns)
+PARTICIPANT_GRAIN = ("event_id", "entity_type", "entity_id", "role")
+
+
+def repoint_participants(participants: DataFrame, log: DataFrame, state: DataFrame, log_mark=None) -> DataFrame:
+    """Participants of merged entities moved to the current entity of their identifiers; their ids stay.
+
+    Only log rows later than ``log_mark`` (all without one) are looked at. They lead to the current state rather than to
+    the entity they name, so an unread merge of A into B followed by one of B into C leads from A to C at once. The
+    identifiers of a merged entity stay together, so there is one current entity for it.
+    """
+    pair = ["entity_type", "identifier_type", "identifier_value"]
+    lost = after(log, log_mark, "resolved_at_watermark").where("resolution_reason = 'repointed'").select(*pair, "previous_entity_id")
+    lost = lost.join(state.select(*pair, F.col("entity_id").alias("_now")), pair).groupBy("entity_type", F.col("previous_entity_id").alias("entity_id")).agg(F.max("_now").alias("_now"))
+    return participants.join(lost, ["entity_type", "entity_id"], "left").withColumn("entity_id", F.coalesce("_now", "entity_id")).drop("_now").select(*participants.columns)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    g = rows.groupBy("entity_type", "event_id", "entity_id", "role", "occurred_at").agg(F.max("_ingested_at").alias("_ingested_at"))
+    return g.select(make_id("entity_participant", "event_id", "entity_id", "role").alias("entity_participant_id"), "entity_type", "event_id", "entity_id", "role", "occurred_at", "_ingested_at")
+
+
+def new_participants(identifiers: DataFrame, state: DataFrame, mark=None) -> DataFrame:
+    """Participants of resolved types from the identifiers ingested past ``mark``."""
+    pair = ["entity_type", "identifier_type", "identifier_value"]
+    return _grouped(after(identifiers, mark).join(state.select(*pair, "entity_id"), pair))
+
+
+def new_registered_participants(identifiers: DataFrame, registered: dict[str, DataFrame], mark=None) -> DataFrame:
+    """Participants of types that are registered, not resolved: the identifier's value is the entity's source id."""
+    late = after(identifiers, mark)
+    own = [r.select(F.lit(t).alias("entity_type"), F.col("source_id").alias("identifier_value"), "entity_id") for t, r in registered.items()]
+    if not own:
+        return _grouped(late.withColumn("entity_id", F.lit(None).cast("string")).limit(0))
+    return _grouped(late.join(reduce(DataFrame.unionByName, own), ["entity_type", "identifier_value"]))
 
 
 def append_participants(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """New participants; one that exists at its grain under another entity (not yet repointed) is not added again."""
-    return current.unionByName(batch.join(current.select("entity_participant_id"), "entity_participant_id", "left_anti"))
+    """``current`` with the batch's rows merged in by id.
+
+    A row offered again after a merge gets a new id for a grain (event, type, entity, role) that exists under the id from
+    before the merge; such rows are left out. Rows of equal id replace the current ones.
+    """
+    known = current.select(*[F.col(c).alias("_" + c) for c in PARTICIPANT_GRAIN], F.col("entity_participant_id").alias("_id"))
+    same = reduce(lambda a, b: a & b, [batch[c].eqNullSafe(known["_" + c]) for c in PARTICIPANT_GRAIN])
+    fresh = batch.join(known, same & (batch["entity_participant_id"] != known["_id"]), "left_anti")
+    return current.join(fresh.select("entity_participant_id"), "entity_participant_id", "left_anti").select(*current.columns).unionByName(fresh, allowMissingColumns=True)
+
+
+def participants_step(current: DataFrame, identifiers: DataFrame, state: DataFrame, log: DataFrame, registered: dict[str, DataFrame] | None = None, mark=None, log_mark=None) -> tuple[DataFrame, object, object]:
+    """(participants, mark, log mark) after one incremental run: merged entities are repointed first, then the rows of both
+    kinds of types are appended. The marks returned are the greatest seen, to be handed to the next run."""
+    moved = repoint_participants(current, log, state, log_mark)
+    batch = new_participants(identifiers, state, mark)
+    if registered:
+        batch = batch.unionByName(new_registered_participants(identifiers, registered, mark))
+    later = [m for m in (mark, watermark(identifiers)) if m is not None]
+    log_later = [m for m in (log_mark, watermark(log, "resolved_at_watermark")) if m is not None]
+    return append_participants(moved, batch), max(later, default=None), max(log_later, default=None)
 
 
 def resolver_sink(state: State, log_path: str, entity_type: str):
     """A foreachBatch function that resolves each micro-batch into versioned state and an append-only log with a folder
-    per batch, so that a batch run again replaces only its own log rows."""
+    per batch.
+
+    The log is written first, the state with the batch's number after it. A batch that the state holds already is not run
+    again, so its log rows stay; one that failed between the two is, and gives the same rows.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if state.batch() >= batch_id:
+            return
         old = state.read(MAPPING)
         new, changes = resolve_batch(old, batch, entity_type)
-        if not changes.isEmpty() or not old.isEmpty():
-            state.write(new)
         changes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        if new is not old:
+            state.write(new, batch_id)
 
     return run

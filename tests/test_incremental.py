@@ -4,7 +4,7 @@ import random
 import pytest
 
 from idloom.operators.graph import identifier_edges, propagate, resolve
-from idloom.streaming.incremental import MAPPING, State, full_state, resolve_batch, resolver_sink, upgrade_guard
+from idloom.streaming.incremental import MAPPING, State, full_state, participants_step, resolve_batch, resolver_sink, upgrade_guard
 
 T0 = datetime.datetime(2023, 1, 1)
 SCHEMA = "event_id string, edge_id string, entity_type string, identifier_type string, identifier_value string, role string, source string, occurred_at timestamp_ntz, _ingested_at timestamp_ntz"
@@ -86,5 +86,38 @@ def test_state_versions_and_sink(spark, tmp_path):
     sink(ids(spark, [(1, "e2", [("email", "b"), ("anon", "x")], "person")]), 1)
     assert state.read(MAPPING).count() == 3 and len({r.entity_id for r in state.read(MAPPING).collect()}) == 1
     assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+    # A batch run again changes neither the state nor its log; one that failed before the state was written gives the same.
+    again = ids(spark, [(1, "e2", [("email", "b"), ("anon", "x")], "person")])
+    sink(again, 1)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3 and state.version() == 1 and state.batch() == 1
+    late = ids(spark, [(2, "e3", [("email", "c")], "person")])
+    state_write, state.write = state.write, lambda *a: (_ for _ in ()).throw(RuntimeError)
+    with pytest.raises(RuntimeError):
+        sink(late, 2)
+    state.write = state_write
+    sink(late, 2)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4 and state.read(MAPPING).count() == 4
     with pytest.raises(ValueError, match="lacks"):
         upgrade_guard(state.read(MAPPING), ["nothing"])
+
+
+def test_participants_follow_merges(spark):
+    rows = [(0, "e1", [("email", "a")], "person"), (0, "e2", [("email", "b")], "person"), (1, "e3", [("email", "a"), ("email", "b")], "person"), (1, "e1", [("email", "a")], "person")]
+    all_ids = ids(spark, rows)
+    early = all_ids.where(f"_ingested_at <= timestamp_ntz'{T0}'")
+    state = full_state(early, "person")
+    none = spark.createDataFrame([], "entity_participant_id string, entity_type string, event_id string, entity_id string, role string, occurred_at timestamp_ntz, _ingested_at timestamp_ntz")
+    shops = {"shop": spark.createDataFrame([("shp_1", "7")], "entity_id string, source_id string")}
+    extra = ids(spark, [(0, "e9", [("source_id", "7"), ("source_id", "8")], "shop")])
+    no_log = spark.createDataFrame([], MAPPING)
+    first, mark, log_mark = participants_step(none, early.unionByName(extra), state, no_log, shops)
+    assert first.count() == 3 and mark == T0 and log_mark is None
+    assert [(r.event_id, r.entity_id) for r in first.where("entity_type = 'shop'").collect()] == [("e9", "shp_1")]
+    state2, log = resolve_batch(state, all_ids, "person")
+    # e1 is ingested again after the merge: its row exists at its grain, so it isn't added under a new id.
+    second, mark2, log_mark2 = participants_step(first, all_ids, state2, log, shops, mark, log_mark)
+    got = second.where("entity_type = 'person'").collect()
+    assert len({r.entity_id for r in got}) == 1 and sorted(r.event_id for r in got) == ["e1", "e2", "e3"]
+    assert len({r.entity_participant_id for r in got}) == 3 and mark2 > mark and log_mark2 == mark2
+    third, *_ = participants_step(second, all_ids, state2, log, shops, mark2, log_mark2)
+    assert sorted(map(tuple, third.collect()), key=str) == sorted(map(tuple, second.collect()), key=str)
