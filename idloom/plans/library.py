@@ -102,12 +102,14 @@ q("web_touchpoints", f"select *, {sid('att_dedup', 'source', 'medium', 'campaign
 # Mail
 _H = lambda n: f"list_filter(hs, lambda h: lower(json_extract_string(h, '$.name')) = '{n}')[1]"
 _HV = lambda n: f"json_extract_string({_H(n)}, '$.value')"
+_DECODED = _DECODE.replace("coalesce(t, '')", "coalesce(json_extract_string(r, '$.snippet'), '')")
+_BULK = "(" + " or ".join(f"coalesce(trim({_HV(n)}), '') <> ''" for n in mail.BULK_MARKS) + f" or coalesce(lower({_HV('precedence')}), '') in ('bulk', 'list', 'junk') or starts_with(coalesce(lower({_HV('auto-submitted')}), ''), 'auto-'))"
 C |= {
     "mraw0": "select *, case when json_valid(_raw_record) then case when json_type(_raw_record) = 'VARCHAR' then json_extract_string(_raw_record, '$') else _raw_record end end as r0 from gmail_messages",
     "mraw": "select *, case when json_valid(r0) then r0 end as r from mraw0",
     "mdup": "select * exclude (rn) from (select *, nullif(json_extract_string(r, '$.id'), '') as message_id, row_number() over (partition by nullif(json_extract_string(r, '$.id'), '') order by _ingested_at desc nulls last, _row_id desc) as rn from mraw where nullif(json_extract_string(r, '$.id'), '') is not null) where rn = 1",
     "mhead": "select *, from_json(json_extract(r, '$.headers'), '[\"JSON\"]') as hs, make_timestamp(try_cast(json_extract_string(r, '$.internalDate') as bigint) * 1000) as sent_at from mdup",
-    "mmsg": f"select message_id, _account, _stream_id, json_extract_string(r, '$.threadId') as thread_id, {_HV('message-id')} as message_id_header, {_HV('from')} as from_header, {_HV('subject')} as raw_subject, trim(regexp_replace({_HV('subject')}, '^(([Rr][Ee]|[Ff][Ww][Dd]?):\\s*){{1,4}}', '')) as subject, json_extract_string(r, '$.snippet') as snippet, from_json(json_extract(r, '$.labelIds'), '[\"VARCHAR\"]') as label_ids, sent_at, coalesce({_HV('list-id')} is not null or {_HV('list-unsubscribe')} is not null or lower({_HV('precedence')}) in ('bulk', 'list', 'junk') or lower({_HV('auto-submitted')}) <> 'no', false) as is_bulk, _ingested_at from mhead",
+    "mmsg": f"select message_id, _account, _stream_id, json_extract_string(r, '$.threadId') as thread_id, {_HV('message-id')} as message_id_header, {_HV('from')} as from_header, {_HV('subject')} as raw_subject, trim(regexp_replace({_HV('subject')}, '^(([Rr][Ee]|[Ff][Ww][Dd]?):\\s*){{1,4}}', '')) as subject, {_DECODED} as snippet, from_json(json_extract(r, '$.labelIds'), '[\"VARCHAR\"]') as label_ids, sent_at, {_BULK} as is_bulk, _ingested_at from mhead",
     "mpraw": " union all ".join(f"select message_id, _account, sent_at, _ingested_at, '{role}' as role, trim(unnest({('string_split(' + _HV(h) + ', ' + chr(39) + ',' + chr(39) + ')') if many else '[' + _HV(h) + ']'})) as t from mhead" for h, role, many in (("from", "sender", False), ("to", "recipient", True), ("cc", "cced", True), ("bcc", "bcced", True))),
     "maddr": "select *, case when contains(t, '<') and contains(t, '>') then regexp_extract(t, '<([^>]+)>', 1) else trim(t) end as a from mpraw where t <> ''",
     "mnorm": "select *, " + _EMAIL_SQL.replace("trim(t)", "trim(a)") + " as email, nullif(trim(regexp_replace(nullif(trim(regexp_extract(t, '^([^<]+)<', 1)), ''), '^[\"'']+|[\"'']+$', '', 'g')), '') as name from maddr",
@@ -121,10 +123,48 @@ _mxp = lambda s, d: mail.participants_across(_mmsg(s, d), _mpart(s, d))  # noqa:
 q("mail_deduped", "select message_id, _row_id, _ingested_at, _account from mdup")(lambda s, d: _mdup(s, d).select("message_id", "_row_id", "_ingested_at", "_account"))
 q("mail_messages_by_account", "select * from mmsg")(_mmsg)
 q("mail_participants_by_account", "select * from mpart")(_mpart)
-q("mail_threads", "select thread_id, _account, _stream_id, count(*) as message_count, min(sent_at) as first_sent_at, max(sent_at) as last_sent_at, max(_ingested_at) as _watermark_ingested_at from mmsg where thread_id is not null group by 1, 2, 3")(lambda s, d: mail.threads(_mmsg(s, d)).select("thread_id", "_account", "_stream_id", "message_count", "first_sent_at", "last_sent_at", "_watermark_ingested_at"))
+_mthr = lambda s, d: mail.threads(_mmsg(s, d))
+_mtp = lambda s, d: mail.thread_participants(_mmsg(s, d), _mpart(s, d))
+_mtx = lambda s, d: mail.threads_across(_mthr(s, d))
+_mtpx = lambda s, d: mail.thread_participants_across(_mtp(s, d), _mthr(s, d))
+_HOME = ("nexwick.example",)
+_SAME = lambda a, b: f"{a}.thread_id = {b}.thread_id and {a}._account is not distinct from {b}._account and {a}._stream_id is not distinct from {b}._stream_id"
+_LABELS = "coalesce(list_sort(list_distinct(flatten(list(label_ids) filter (label_ids is not null)))), [])"
+C |= {
+    "mone": "select * from (select *, row_number() over (partition by thread_id, _account, _stream_id order by sent_at nulls last, message_id) as rn from mmsg where thread_id is not null) where rn = 1",
+    "mgrp": f"select thread_id, _account, _stream_id, count(*) as message_count, min(sent_at) as first_sent_at, max(sent_at) as last_sent_at, {_LABELS} as label_ids, min(_ingested_at) as _ingested_at, max(_ingested_at) as _watermark_ingested_at from mmsg where thread_id is not null group by 1, 2, 3",
+    "mthr": f"select g.*, f.subject, f.raw_subject, f.message_id as first_message_id, f.message_id_header as first_message_id_header from mgrp g join mone f on {_SAME('g', 'f')}",
+    "mtp": "select m.thread_id, p._account, email, domain, min(p.sent_at) as first_at, max(p.sent_at) as last_at, count(distinct p.message_id) as message_count, list_filter(['sender', 'recipient', 'cced', 'bcced'], lambda r: list_contains(list(distinct role), r)) as roles, arg_min(name, {'t': p.sent_at, 'n': name}) filter (name is not null) as name, max(p._ingested_at) as _watermark_ingested_at from mpart p join mmsg m on m.message_id = p.message_id and m._account = p._account where m.thread_id is not null group by 1, 2, 3, 4",
+    "mtop": "select * from (select *, row_number() over (partition by first_message_id_header order by first_sent_at nulls last, _account nulls first, _stream_id nulls first, thread_id) as rn from mthr where first_message_id_header is not null) where rn = 1",
+    "mtx": f"select t.first_message_id_header as thread_id, any_value(o.subject) as subject, any_value(o.raw_subject) as raw_subject, min(t.first_sent_at) as first_sent_at, max(t.last_sent_at) as last_sent_at, '{{' || string_agg(to_json(coalesce(t._stream_id, ''))::varchar || ': ' || to_json(t.thread_id)::varchar, ', ' order by t._stream_id nulls first, t.thread_id) || '}}' as thread_ids_by_stream, '{{' || string_agg(to_json(coalesce(t._stream_id, ''))::varchar || ': ' || to_json(t.label_ids)::varchar, ', ' order by t._stream_id nulls first, t.label_ids) || '}}' as labels_by_stream, coalesce(list_sort(list_distinct(flatten(list(t.label_ids)))), []) as all_label_ids, min(t._ingested_at) as _ingested_at, max(t._watermark_ingested_at) as _watermark_ingested_at from mthr t join mtop o on o.first_message_id_header = t.first_message_id_header group by 1",
+    "mtpx": "select t.first_message_id_header as thread_id, email, domain, arg_min(p.name, {'t': p.first_at, 'n': p.name}) filter (p.name is not null) as name, list_filter(['sender', 'recipient', 'cced', 'bcced'], lambda r: list_contains(flatten(list(p.roles)), r)) as roles, min(first_at) as first_at, max(last_at) as last_at, max(greatest(p._watermark_ingested_at, t._watermark_ingested_at)) as _watermark_ingested_at from mtp p join mthr t on t.thread_id = p.thread_id and t._account = p._account where t.first_message_id_header is not null group by 1, 2, 3",
+}
+_WM = "(select make_timestamp(epoch_us(min(_ingested_at)) + (epoch_us(max(_ingested_at)) - epoch_us(min(_ingested_at))) // 4 * 3) from mmsg)"
+
+
+def _late(m: DataFrame):
+    lo, hi = m.agg(F.min("_ingested_at"), F.max("_ingested_at")).first()
+    return lo + (hi - lo) // 4 * 3
+
+
+q("mail_threads", "select * from mthr")(_mthr)
+q("mail_thread_participants", "select * from mtp")(_mtp)
+q("mail_threads_across", "select * from mtx")(_mtx)
+q("mail_thread_participants_across", "select * from mtpx")(_mtpx)
+q("mail_touched_threads", f"select distinct first_message_id_header from mthr t where first_message_id_header is not null and (_watermark_ingested_at > {_WM} or exists (select 1 from mtp p where p.thread_id = t.thread_id and p._account = t._account and p._watermark_ingested_at > {_WM}))")(lambda s, d: mail.touched_threads(_mthr(s, d), _mtp(s, d), _late(_mmsg(s, d))))
+q("mail_message_participation", f"select m.*, coalesce(n, 0) as participant_count, coalesce(i, 0) as internal_participant_count, coalesce(n - i, 0) as external_participant_count, coalesce(ds, []) as participant_domains, false as is_internal_only from mmsg m left join (select message_id, _account, count(*) as n, count(*) filter (domain in ('{_HOME[0]}')) as i, list_sort(list(distinct domain)) as ds from mpart group by 1, 2) p on p.message_id = m.message_id and p._account = m._account where not (coalesce(n, 0) > 0 and n = i)")(lambda s, d: mail.with_participants(_mmsg(s, d), _mpart(s, d), _HOME, drop_internal_only=True))
+_TE = sid("evt", "thread_id", repr("thread started"))
+C["mtev"] = f"select {_TE} as event_id, first_sent_at as occurred_at, 'thread started' as event_name, subject as event_description, 'email' as event_type, 0.0::double as significance, 'mail' as source, _watermark_ingested_at as _ingested_at from mtx"
+q("mail_thread_events", "select * from mtev")(lambda s, d: mail.thread_events(_mtx(s, d)))
+_THREAD_ROWS = lambda rows, et, it: f"select {sid('ent_idfr', 'event_id', 'v', repr(et), 'role')} as entity_identifier_id, event_id, {sid('edg', 'event_id', 'v', repr(et), 'role')} as edge_id, '{et}' as entity_type, '{it}' as identifier_type, v as identifier_value, 'mail' as source, max(occurred_at) as occurred_at, max(_ingested_at) as _ingested_at, role from ({rows}) where (event_id, v, role, _ingested_at) in (select (event_id, v, role, max(_ingested_at)) from ({rows}) group by event_id, v, role) group by event_id, v, role"
+C["mtper"] = f"select {_TE} as event_id, email as v, first_at as occurred_at, _watermark_ingested_at as _ingested_at, unnest(roles) as role from mtpx"
+C["mtgrp"] = f"select {_TE} as event_id, unnest([domain, case when starts_with(domain, 'www.') then substr(domain, 5) else 'www.' || domain end]) as v, first_at as occurred_at, _watermark_ingested_at as _ingested_at, r.role from mtpx, (select unnest(['sender', 'recipient', 'cced', 'bcced']) as role) r where list_contains(roles, r.role) and domain <> ''"
+q("mail_thread_person_identifiers", _THREAD_ROWS("select * from mtper", "person", "email"))(lambda s, d: mail.thread_person_identifiers(_mtpx(s, d)))
+q("mail_thread_group_identifiers", _THREAD_ROWS("select * from mtgrp", "group", "domain"))(lambda s, d: mail.thread_group_identifiers(_mtpx(s, d)))
 q("mail_thread_first", "select thread_id, _account, _stream_id, subject, message_id as first_message_id from (select *, row_number() over (partition by thread_id, _account, _stream_id order by sent_at nulls last, message_id) as rn from mmsg where thread_id is not null) where rn = 1")(lambda s, d: mail.threads(_mmsg(s, d)).select("thread_id", "_account", "_stream_id", "subject", "first_message_id"))
-q("mail_thread_participants", "select m.thread_id, p._account, email, domain, min(p.sent_at) as first_at, max(p.sent_at) as last_at, count(distinct p.message_id) as message_count, list_filter(['sender', 'recipient', 'cced', 'bcced'], lambda r: list_contains(list(distinct role), r)) as roles from mpart p join mmsg m on m.message_id = p.message_id and m._account = p._account where m.thread_id is not null group by 1, 2, 3, 4")(lambda s, d: mail.thread_participants(_mmsg(s, d), _mpart(s, d)))
-q("mail_messages", "select message_id_header, count(distinct _account) as account_count, bool_or(is_bulk) as is_bulk, max(sent_at) as sent_at from mmsg where message_id_header is not null group by 1")(lambda s, d: mail.across_accounts(_mmsg(s, d)).select("message_id_header", "account_count", "is_bulk", "sent_at"))
+_mx = lambda s, d: mail.across_accounts(_mmsg(s, d), _mthr(s, d))
+C["mx"] = f"select l.message_id_header, l.message_id as latest_message_id, l.subject, t.first_message_id_header as thread_id, l.sent_at, g.is_bulk, g.account_count, g.ids_by_account, g.all_label_ids from (select *, row_number() over (partition by message_id_header order by sent_at desc nulls last, message_id desc) as rn from mmsg where message_id_header is not null) l join (select message_id_header, bool_or(is_bulk) as is_bulk, count(distinct _account) as account_count, '{{' || string_agg(to_json(coalesce(_account, ''))::varchar || ': ' || to_json(message_id)::varchar, ', ' order by _account nulls first, message_id) || '}}' as ids_by_account, {_LABELS} as all_label_ids from mmsg where message_id_header is not null group by 1) g using (message_id_header) left join mthr t on {_SAME('t', 'l')} where l.rn = 1"
+q("mail_messages", "select * from mx")(_mx)
 q("mail_message_latest", "select message_id_header, message_id as latest_message_id, subject from (select *, row_number() over (partition by message_id_header order by sent_at desc nulls last, message_id desc) as rn from mmsg where message_id_header is not null) where rn = 1")(lambda s, d: mail.across_accounts(_mmsg(s, d)).select("message_id_header", "latest_message_id", "subject"))
 q("mail_ids_by_account", "select message_id_header, '{' || string_agg('\"' || coalesce(_account, '') || '\": \"' || message_id || '\"', ', ' order by _account nulls first, message_id) || '}' as ids_by_account from (select distinct message_id_header, _account, message_id from mmsg where message_id_header is not null) group by 1")(lambda s, d: mail.across_accounts(_mmsg(s, d)).select("message_id_header", "ids_by_account"))
 q("mail_participants", "select * from mxp")(_mxp)
@@ -135,6 +175,10 @@ _TWIN = "select distinct message_id_header, sent_at, unnest([domain, case when s
 q("mail_group_identifiers", f"select {sid('ent_idfr', _EV, 'value')} as entity_identifier_id, {_EV} as event_id, {sid('edg', _EV, 'value')} as edge_id, 'group' as entity_type, 'domain' as identifier_type, value as identifier_value, 'organization' as role, 'mail' as source, sent_at as occurred_at from ({_TWIN})")(lambda s, d: mail.group_identifiers(_mxp(s, d)))
 q("mail_person_traits", f"select {sid('ent_tr', _EV, 'email', 'n', 'v')} as entity_trait_id, {_EV} as event_id, 'person' as entity_type, 'email' as identifier_type, email as identifier_value, n as trait_name, v as trait_value, sent_at as occurred_at from (select distinct message_id_header, sent_at, email, 'name' as n, name as v from mxp where name is not null union all select distinct message_id_header, sent_at, email, 'email', email from mxp)")(lambda s, d: mail.person_traits(_mxp(s, d)))
 q("mail_relationships", f"select {sid('rel_decl', _EV, 'email', 'domain')} as relationship_declaration_id, {_EV} as event_id, sent_at as occurred_at, email as entity_a_identifier, 'member' as entity_a_role, domain as entity_b_identifier, 'organization' as entity_b_role, 'membership' as relationship_type, 'a_to_b' as relationship_direction from (select distinct message_id_header, sent_at, email, domain from mxp where domain <> '')")(lambda s, d: mail.declarations(_mxp(s, d)))
+_GT = f"select distinct {sid('ent_tr', _EV, 'domain', repr('group'), repr('domain'))} as entity_trait_id, {_EV} as event_id, 'group' as entity_type, 'domain' as identifier_type, domain as identifier_value, 'domain' as trait_name, domain as trait_value, 'mail' as source, max(sent_at) over (partition by message_id_header, domain) as occurred_at from mxp where domain <> '' and domain not like '%>%'"
+q("mail_group_traits", _GT)(lambda s, d: mail.group_traits(_mxp(s, d)))
+q("mail_events_all", f"select {_EV} as event_id, sent_at as occurred_at, 'email message' as event_name, subject as event_description, 'email' as event_type, case when is_bulk then -10.0::double else 10.0::double end as significance, 'mail' as source, cast(null as timestamp) as _ingested_at from mx union all select * from mtev")(lambda s, d: mail.layer([mail.message_events(_mx(s, d)), mail.thread_events(_mtx(s, d))]))
+q("mail_identifier_counts", f"select 'person' as entity_type, count(*) as n from (select distinct message_id_header, email, role from mxp union all select event_id, v, role from mtper) union all select 'group', count(*) from (select distinct message_id_header, value, sent_at from ({_TWIN}) union all select distinct event_id, v || role, null from mtgrp)")(lambda s, d: mail.layer([mail.person_identifiers(x := _mxp(s, d)), mail.group_identifiers(x), mail.thread_person_identifiers(t := _mtpx(s, d)), mail.thread_group_identifiers(t)]).groupBy("entity_type").agg(F.count("*").alias("n")))
 C["braw"] = "select *, case when json_valid(r0) then r0 end as r from (select *, case when json_valid(_raw_record) then case when json_type(_raw_record) = 'VARCHAR' then json_extract_string(_raw_record, '$') else _raw_record end end as r0 from gmail_message_bodies)"
 q("mail_bodies", "select * exclude (rn) from (select json_extract_string(r, '$.message_id_header') as message_id_header, cast(try_cast(json_extract_string(r, '$.fetched_at') as timestamptz) as timestamp) as fetched_at, _row_id, json_extract_string(r, '$.gmail_account_email') as account_email, try_cast(json_extract_string(r, '$.body_size_bytes') as bigint) as body_size_bytes, try_cast(json_extract_string(r, '$.body_truncated_at_bytes') as bigint) as body_truncated_at_bytes, coalesce(json_extract_string(r, '$.body_plain'), json_extract_string(r, '$.body_text_from_html')) as body_text, row_number() over (partition by json_extract_string(r, '$.message_id_header') order by cast(try_cast(json_extract_string(r, '$.fetched_at') as timestamptz) as timestamp) desc nulls last, _row_id desc) as rn from braw where json_extract_string(r, '$.message_id_header') is not null) where rn = 1")(lambda s, d: mail.bodies(fx.read(s, d, "gmail_message_bodies")))
 
@@ -146,15 +190,27 @@ def calendar_raw(s, d) -> DataFrame:
     who = F.concat(F.lit("cust"), F.col("o_custkey").cast("string"), F.lit("@shop.test"))
     body = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit('"start": {"date": "'), day, F.lit('"}, "end": {"date": "'), day, F.lit('"}'))).otherwise(F.concat(F.lit('"start": {"dateTime": "'), day, F.lit('T09:00:00+02:00"}, "end": {"dateTime": "'), day, F.lit('T10:00:00+02:00"}')))
     rec = F.when(F.col("o_orderkey") % 5 == 0, F.lit(', "recurringEventId": "r1"')).otherwise("")
-    raw = F.concat(F.lit('{"iCalUID": "cal-'), F.col("o_orderkey").cast("string"), F.lit('", "summary": "visit", "status": "confirmed", "organizer": {"email": "Desk@shop.test"}, "attendees": [{"email": "'), who, F.lit('", "displayName": "C", "responseStatus": "accepted"}], '), body, rec, F.lit("}"))
+    raw = F.concat(F.lit('{"iCalUID": "cal-'), F.col("o_orderkey").cast("string"), F.lit('", "summary": "visit", "status": "confirmed", "organizer": {"email": "Desk@'), F.when(F.col("o_orderkey") % 3 == 0, "out.test").otherwise("shop.test"), F.lit('"}, "attendees": [{"email": "'), who, F.lit('", "displayName": "C", "responseStatus": "accepted"}], '), body, rec, F.lit("}"))
     return o.select(F.col("o_orderdate").alias("_ingested_at"), F.lit("acc").alias("_account"), raw.alias("_raw_record"))
 
 
 _KEY = "'cal-' || o_orderkey || case when o_orderkey % 5 = 0 then '|' || strftime(o_orderdate, '%Y-%m-%d') || case when o_orderkey % 7 = 0 then '' else 'T09:00:00+02:00' end else '' end"
-q("cal_events", f"select {_KEY} as event_key, case when o_orderkey % 7 = 0 then date_trunc('day', o_orderdate) else date_trunc('day', o_orderdate) + interval 7 hour end as starts_at, case when o_orderkey % 7 = 0 then date_trunc('day', o_orderdate) + interval '23:59:59' hour to second else date_trunc('day', o_orderdate) + interval 8 hour end as ends_at, o_orderkey % 7 = 0 as is_all_day, o_orderkey % 5 = 0 as is_recurring from orders".replace("interval '23:59:59' hour to second", "interval 86399 second"))(
-    lambda s, d: cal.normalized(cal.deduped(calendar_raw(s, d))).select("event_key", "starts_at", "ends_at", "is_all_day", "is_recurring")
-)
-q("cal_participants", f"select {_KEY} as event_key, 'attendee' as role, 'cust' || o_custkey || '@shop.test' as email, 'C' as name, 'accepted' as response, 'shop.test' as domain from orders union all select {_KEY}, 'organizer', 'desk@shop.test', null, null, 'shop.test' from orders")(lambda s, d: cal.participants(cal.deduped(calendar_raw(s, d))))
+_CEND = "case when o_orderkey % 7 = 0 then date_trunc('day', o_orderdate) + interval 86399 second else date_trunc('day', o_orderdate) + interval 8 hour end"
+C["cev"] = f"select {_KEY} as event_key, 'visit' as summary, 'confirmed' as status, cast(null as varchar) as location, case when o_orderkey % 7 = 0 then date_trunc('day', o_orderdate) else date_trunc('day', o_orderdate) + interval 7 hour end as starts_at, {_CEND} as ends_at, o_orderkey % 7 = 0 as is_all_day, o_orderkey % 5 = 0 as is_recurring, o_orderkey % 3 = 0 as has_external_attendees, 1::bigint as attendee_count, 'acc' as _account, o_orderdate as _ingested_at, {sid('evt', repr('calendar'), _KEY)} as event_id from orders"
+C["cpart"] = f"select {_KEY} as event_key, 'attendee' as role, 'cust' || o_custkey || '@shop.test' as email, 'C' as name, 'accepted' as response, 'shop.test' as domain from orders union all select {_KEY}, 'organizer', case when o_orderkey % 3 = 0 then 'desk@out.test' else 'desk@shop.test' end, null, null, case when o_orderkey % 3 = 0 then 'out.test' else 'shop.test' end from orders"
+C["ctimed"] = "select p.*, e.event_id, e.starts_at from cpart p join cev e using (event_key)"
+C["cgid"] = "select distinct event_id, starts_at, role, unnest([domain, 'www.' || domain]) as value from ctimed"
+C["cids"] = f"select {sid('ent_idfr', 'event_id', 'email', 'role')} as entity_identifier_id, event_id, {sid('edg', 'event_id', 'email')} as edge_id, 'person' as entity_type, 'email' as identifier_type, email as identifier_value, role, 'calendar' as source, starts_at as occurred_at from ctimed union all select {sid('ent_idfr', 'event_id', 'value', repr('group'), 'role', 'starts_at')}, event_id, {sid('edg', 'event_id', 'value', repr('group'), 'role')}, 'group', 'domain', value, role, 'calendar', starts_at from cgid"
+_CTR = lambda et, it, v, n, *more: f"select distinct {sid('ent_tr', 'event_id', v, repr(et), repr(n), *more)} as entity_trait_id, event_id, '{et}' as entity_type, '{it}' as identifier_type, {v} as identifier_value, '{n}' as trait_name, {n} as trait_value, 'calendar' as source, starts_at as occurred_at from ctimed where {n} is not null"
+_cal = lambda s, d: cal.deduped(calendar_raw(s, d))
+_cn = lambda s, d: cal.normalized(_cal(s, d), ("shop.test",))
+_cp = lambda s, d: cal.participants(_cal(s, d))
+q("cal_events", "select * exclude (event_id) from cev")(_cn)
+q("cal_participants", "select * from cpart")(_cp)
+q("cal_meeting_events", "select event_id, starts_at as occurred_at, case when has_external_attendees then 'external_meeting' else 'internal_meeting' end as event_name, summary as event_description, 'meeting' as event_type, 100.0::double as significance, 'calendar' as source from cev")(lambda s, d: cal.meeting_events(_cn(s, d)))
+q("cal_identifiers", "select * from cids")(lambda s, d: rl.union_aligned([cal.person_identifiers(p := _cp(s, d), n := _cn(s, d)), cal.group_identifiers(p, n)]))
+q("cal_traits", " union all ".join([_CTR("person", "email", "email", "name", "role"), _CTR("person", "email", "email", "email", "role"), _CTR("group", "domain", "domain", "domain")]))(lambda s, d: rl.union_aligned([cal.person_traits(p := _cp(s, d), n := _cn(s, d)), cal.group_traits(p, n)]))
+q("cal_relationships", f"select distinct {sid('rel_decl', 'event_id', 'email', 'domain', repr('member'), 'starts_at')} as relationship_declaration_id, event_id, starts_at as occurred_at, email as entity_a_identifier, 'email' as entity_a_identifier_type, 'person' as entity_a_type, 'member' as entity_a_role, domain as entity_b_identifier, 'domain' as entity_b_identifier_type, 'group' as entity_b_type, 'organization' as entity_b_role, 'membership' as relationship_type, 'a_to_b' as relationship_direction, true as is_active, 'calendar' as source from ctimed")(lambda s, d: cal.declarations(_cp(s, d), _cn(s, d)))
 
 # Plans (semantic layers have the same envelope)
 C["sraw"] = "select *, case when json_valid(r0) then r0 end as r from (select *, case when json_valid(_raw_record) then case when json_type(_raw_record) = 'VARCHAR' then json_extract_string(_raw_record, '$') else _raw_record end end as r0 from semantic_layers)"
