@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +44,13 @@ CARRIER_WORDS = 9
 FILLER_SHARE = 0.6
 
 
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, format characters and repeated blanks."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if c < "\x80" or unicodedata.category(c) not in ("Mn", "Cf"))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return " ".join(text.split()).lower()
 
 
@@ -61,6 +65,7 @@ _PLACEHOLDER = re.compile(
     r"|\{(?:[A-Za-z_]\w*(?:\.\w+)*|\d{1,2})\}|\bXX/XX/XX(?:XX)?\b|\[object Object\]|(?<![A-Za-z0-9%])%[sd](?![A-Za-z0-9])|%\(\w{1,30}\)[sd]"
     rf"|(?i:\[(?:[^\[\]\n]{{0,20}}\b)?(?:{_SLOT})\b[^\[\]\n]{{0,30}}\])|(?i:<(?:{_SLOT})\b[^<>@/\n]{{0,30}}>)|\[[^\[\]\n]{{0,12}}(?:名|会社|日付|金額|挿入|記入)[^\[\]\n]{{0,12}}\]|<[^<>\n]{{0,12}}(?:名|会社|日付|金額|挿入|記入)[^<>\n]{{0,12}}>"
 )
+_SIGNS = re.compile(r"[{}\[\]<>%#@*_X]").search
 _FAILED = re.compile(r"(?<![A-Za-z0-9_\"'.:=/-])(?:undefined|null|NaN|None|N/A)(?![A-Za-z0-9_\"'=/-])")
 _ASSIGNED = re.compile(r"^[\s\-*]*[\w.\"' ]{1,40}[:=]\s*\S+$|[{}();]")
 _MENTION = re.compile(r"\b(?:merge field|placeholder|compiler|syntax|variable|left in it|template|snippet|we write|escape|is filled|replace[ds]?|platzhalter|gabarit|plantilla)\b", re.I)
@@ -101,6 +106,9 @@ _LATIN = frozenset(
 )
 
 
+_WORDS = re.compile(r"[^\W\d_]+").findall
+
+
 def _union(patterns: list[str], repeat: str = "") -> re.Pattern:
     # The texts are compared without combining marks, so the patterns are stripped of them too.
     plain = "|".join("".join(c for c in unicodedata.normalize("NFKD", p) if unicodedata.category(c) != "Mn") for p in patterns)
@@ -138,7 +146,7 @@ def has_placeholder(sentence: str, first: bool = False) -> bool:
     sentence opens its text or follows a closing.
     """
     s = html.unescape(sentence) if "&lt;" in sentence else sentence
-    if not any(c in s for c in "{}[]<>%#@*_X") and not _FAILED.search(s):
+    if not _SIGNS(s) and not _FAILED.search(s):
         return False
     if _GREETED_SLOT.match(s) or _GREETED_FAILED.match(s):
         return True
@@ -158,7 +166,7 @@ def has_placeholder(sentence: str, first: bool = False) -> bool:
 
 
 def _latin(words: list[str]) -> bool:
-    return len(words) >= 4 and sum(w in _LATIN for w in words) >= 0.7 * len(words)
+    return len(words) >= 4 and sum(map(_LATIN.__contains__, words)) >= 0.7 * len(words)
 
 
 def _print(kind: str, parts: list[str]) -> str:
@@ -191,19 +199,18 @@ def read(text: str, title: str | None) -> Reading:
     parts = sentences(text)
     placeholder = any(has_placeholder(p, i == 0 or bool(_SIGNED.match(parts[i - 1]))) for i, p in enumerate(parts))
     content = known = filler_words = all_words = unspaced = 0
-    weak = False
     masked, every, forms, others, shorts = [], [], [], [], []
     for p in parts:
         f = fold(p).strip(" .!…。*_=-#>\"'")
-        w = re.findall(r"[^\W\d_]+", f)
-        cjk = bool(_CJK.search(f))
+        w = _WORDS(f)
+        cjk = not f.isascii() and bool(_CJK.search(f))
         size = len(f) // 3 if cjk else len(w)
         every.append(f)
         if _latin(w):
             filler_words += max(size, 1)
             all_words += max(size, 1)
             known += 1
-        elif _FILLERS.fullmatch(f) or _AGAIN.fullmatch(f):
+        elif _FILLERS.fullmatch(f) or (len(w) > 5 and w.count(w[0]) > 2 and _AGAIN.fullmatch(f)):
             filler_words += max(size, 1)
             all_words += max(size, 1)
             known += 1
@@ -219,12 +226,10 @@ def read(text: str, title: str | None) -> Reading:
                     shorts.append(f)
                 continue
             unspaced += 1
-            weak = weak or bool(_WEAK.search(f))
             others.append(f)
         else:
             content += 1
             all_words += size
-            weak = weak or (len(f) < 90 and bool(_WEAK.search(f)))
             others.append(f)
         masked.append(f)
     times = sorted(map(others.count, set(others)))
@@ -232,13 +237,14 @@ def read(text: str, title: str | None) -> Reading:
         # Little but sentences that are said again and again.
         forms, known, filler_words, content, unspaced, others = forms + others, known + len(others), all_words, 0, 0, []
     bare = (known > 0 and content == 0) or (all_words > 0 and filler_words >= FILLER_SHARE * all_words)
+    if not known and (not any(every) or content + unspaced > FEW):
+        return Reading(placeholder, bare, False, 0, None, False, [], [], [])
     # Terms that the title (the address slug, where there is one) promises and the body lacks.
     promised = set(re.findall(r"[^\W\d_]{3,}", fold(title or "")))
     given = set(re.findall(r"[^\W\d_]{3,}", fold(text))) if promised else set()
     fits = bool(promised) and len(promised & given) >= 0.3 * len(promised)
-    if not known and (not any(every) or content + unspaced > FEW):
-        return Reading(placeholder, bare, False, 0, None, fits, [], [], [])
     response, evidence = None, 0
+    weak = any(_WEAK.search(f) for f in others if len(f) < 90 or len(_WORDS(f)) <= 2)
     if not known and len(re.findall(r"[^\W\d_]+", " ".join(every))) > 1:
         # One word alone may be what a cut left of any text.
         if weak:
