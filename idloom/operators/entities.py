@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
-from idloom.operators.relational import latest, pivot_eav, union_aligned
+from idloom.operators.relational import latest, pivot_eav, union_aligned, union_or_empty
 
 PAIR = ["identifier_type", "identifier_value"]
 
@@ -34,8 +34,15 @@ def participants(identifiers: DataFrame, lookup: DataFrame) -> DataFrame:
     return p.select(make_id("entity_participant", "event_id", "entity_id", "role").alias("entity_participant_id"), "entity_type", "event_id", "entity_id", "role", "occurred_at")
 
 
+def with_aliases(lookup: DataFrame, registered: dict[str, DataFrame]) -> DataFrame:
+    """The lookup plus, for registered entities, their id under the name of their source (identifier_type ``<source>_id``)."""
+    more = [r.select(F.lit(t).alias("entity_type"), F.concat("source", F.lit("_id")).alias("identifier_type"), F.col("source_id").alias("identifier_value"), "entity_id").distinct() for t, r in registered.items()]
+    return union_aligned([lookup, *more]).distinct()
+
+
 def resolved_declarations(decl: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Declarations with the entities of both ends; those without both are dropped."""
+    """Declarations with the entities of both ends; those without both are dropped. ``with_aliases`` adds the names that
+    sources give their own entities."""
     for s in ("a", "b"):
         side = lookup.select(F.col("entity_type").alias(f"entity_{s}_type"), F.col("identifier_type").alias(f"entity_{s}_identifier_type"), F.col("identifier_value").alias(f"entity_{s}_identifier"), F.col("entity_id").alias(f"entity_{s}_id"))
         decl = decl.join(side, [f"entity_{s}_type", f"entity_{s}_identifier_type", f"entity_{s}_identifier"])
@@ -99,6 +106,15 @@ def scope(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+#: The contract of scope rows.
+SCOPE = "scope_id string, scope_name string, viewer_id string, relationship_type string, resource_id string, role string, granted_at timestamp_ntz, revoked_at timestamp_ntz, is_active boolean, _updated_at timestamp_ntz"
+
+
+def union_scopes(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """The rows of all scope models; a typed empty table without one."""
+    return union_or_empty(parts, spark, SCOPE)
+
+
 def auth_identities(entities_df: DataFrame, email: str = "email") -> DataFrame:
     """Sign-in identities of persons with an address; none where entities have no such column."""
     if email not in entities_df.columns:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
 from idloom.functions.normalize import label_of
-from idloom.operators.relational import latest
+from idloom.operators.relational import latest, union_or_empty
 
 
 def events_metadata(events: DataFrame, source_columns: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -103,6 +103,15 @@ def format_anomaly(df: DataFrame, monitor: str, dimensions: list[str], measures:
     )
 
 
+#: The contract of anomaly rows.
+ANOMALY = "detection_id string, monitor_name string, dimension_key string, occurred_at timestamp_ntz, granularity string, dimensions string, measures string, z_scores string, max_abs_z double"
+
+
+def union_anomalies(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """The detections of all monitors that are on; a typed empty table without one."""
+    return union_or_empty(parts, spark, ANOMALY)
+
+
 def identify_export(entities: DataFrame, entity_type: str = "person", user_id: str = "user_id", anonymous_id: str | None = None, dedupe_on: str = "email", ignore: list[str] = (), rename: dict[str, str] | None = None, filters: list[Column | str] = ()) -> DataFrame:
     """Entities as identify calls: userId, anonymousId, timestamp and traits; one row per lower-case trimmed key, the
     latest updated (unknown times last, then the greatest entity_id). Rows with a null key collapse into one."""

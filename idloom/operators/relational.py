@@ -57,37 +57,56 @@ def join_resolving(a: DataFrame, b: DataFrame, id_a: str, id_b: str, rename: str
     return a.join(right, a[id_a] == right["_join"], "left").drop("_join")
 
 
-def limit_by_timestamp(column: str, target: str, dev_limit: str | None = None, prod_limit: str | None = None) -> Column:
-    """A floor on a time column by the environment (dev* or prod*); true where none is set."""
-    floor = dev_limit if target.startswith("dev") else prod_limit if target.startswith("prod") else None
+def _is_prod(target: str | None) -> bool:
+    return bool(target) and (target.lower().startswith("prod") or target.lower() == "default")
+
+
+def limit_by_timestamp(column: str, target: str, dev_limit: str | None = None, prod_limit: str | None = None, config_dev: str | None = None, config_prod: str | None = None) -> Column:
+    """A floor on a time column by the environment: dev*, or prod* and ``default``. The limits given override the configured
+    ones; true where none is set."""
+    dev = bool(target) and target.lower().startswith("dev")
+    floor = (dev_limit or config_dev) if dev else (prod_limit or config_prod) if _is_prod(target) else None
     return F.col(column) >= F.lit(floor).cast("timestamp_ntz") if floor else F.lit(True)
 
 
 def unpivot_identifiers(
     df: DataFrame, columns: list[str] | None = None, exclude: list[str] = (), event_id: str = "event_id", edge_id: str = "edge_id", types: dict[str, str] | None = None, role: str | None = None,
-    entity_type: str = "person", source: str = "source", occurred_at: str = "occurred_at", extra: list[str] = (),
+    entity_type: str = "person", source: str = "source", occurred_at: str = "occurred_at", extra: list[str] = (), id_columns: list[str] = (), limit: int | None = None, target: str | None = None,
 ) -> DataFrame:
-    """One row per non-null identifier column, from a single scan; null-like texts are dropped."""
+    """One row per non-null identifier column, from a single scan; null-like texts are dropped.
+
+    ``id_columns``: further columns of ``extra`` that tell ids apart. ``limit``: input rows read outside production, for
+    development; ``target`` prod* or ``default`` reads all.
+    """
     types = types or {}
+    if limit is not None and not _is_prod(target):
+        df = df.limit(limit)
     cols = columns or [c for c in df.columns if c not in {event_id, edge_id, source, occurred_at, "_ingested_at", *exclude, *extra, *([role] if role else [])}]
     cells = F.explode(F.array(*[F.struct(F.lit(types.get(c, c)).alias("t"), F.col(c).cast("string").alias("v")) for c in cols]))
     base = df.select(F.col(event_id).alias("event_id"), F.col(edge_id).alias("_edge"), F.col(source).alias("source"), F.col(occurred_at).alias("occurred_at"), "_ingested_at", (F.col(role) if role else F.lit(None).cast("string")).alias("role"), *extra, cells.alias("_c"))
     base = base.where(F.col("_c.v").isNotNull() & ~F.col("_c.v").isin(*NULL_STRINGS))
     return base.select(
-        make_id("entity_identifier", "event_id", F.col("_c.v"), "role", "occurred_at", F.col("_c.t")).alias("entity_identifier_id"), "event_id", make_id("entity_edge", "_edge", F.lit(entity_type)).alias("edge_id"),
+        make_id("entity_identifier", "event_id", F.col("_c.v"), "role", "occurred_at", F.col("_c.t"), *id_columns).alias("entity_identifier_id"), "event_id", make_id("entity_edge", "_edge", F.lit(entity_type)).alias("edge_id"),
         F.lit(entity_type).alias("entity_type"), F.col("_c.t").alias("identifier_type"), F.col("_c.v").alias("identifier_value"), "role", "source", "occurred_at", "_ingested_at", *extra,
     )
 
 
-def unpivot_traits(df: DataFrame, columns: list[str], identifier: str, identifier_type: str, names: dict[str, str] | None = None, event_id: str = "event_id", entity_type: str = "person", source: str = "source", occurred_at: str = "occurred_at") -> DataFrame:
-    """One row per non-null trait column, keyed by an identifier column."""
+def unpivot_traits(
+    df: DataFrame, columns: list[str] | None, identifier: str, identifier_type: str, names: dict[str, str] | None = None, event_id: str = "event_id", entity_type: str = "person", source: str = "source", occurred_at: str = "occurred_at",
+    exclude: list[str] = (), extra: list[str] = (), limit: int | None = None, target: str | None = None,
+) -> DataFrame:
+    """One row per non-null trait column, keyed by an identifier column. Without ``columns`` all but the fixed, excluded and
+    extra ones; ``limit`` as in ``unpivot_identifiers``."""
     names = names or {}
+    if limit is not None and not _is_prod(target):
+        df = df.limit(limit)
+    columns = columns or [c for c in df.columns if c not in {event_id, identifier, source, occurred_at, "_ingested_at", *exclude, *extra}]
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("raw"), F.lit(names.get(c, c)).alias("n"), F.col(c).cast("string").alias("v")) for c in columns]))
-    base = df.select(F.col(event_id).alias("event_id"), F.col(identifier).cast("string").alias("identifier_value"), F.col(source).alias("source"), F.col(occurred_at).alias("occurred_at"), cells.alias("_c"))
+    base = df.select(*extra, F.col(event_id).alias("event_id"), F.col(identifier).cast("string").alias("identifier_value"), F.col(source).alias("source"), F.col(occurred_at).alias("occurred_at"), cells.alias("_c"))
     base = base.where(F.col("_c.v").isNotNull() & ~F.col("_c.v").isin(*NULL_STRINGS) & F.col("identifier_value").isNotNull())
     return base.select(
         make_id("entity_trait", "event_id", "identifier_value", F.lit(entity_type), F.col("_c.raw"), F.lit(identifier_type)).alias("entity_trait_id"), "event_id", F.lit(entity_type).alias("entity_type"),
-        F.lit(identifier_type).alias("identifier_type"), "identifier_value", F.col("_c.n").alias("trait_name"), F.col("_c.v").alias("trait_value"), "source", "occurred_at",
+        F.lit(identifier_type).alias("identifier_type"), "identifier_value", F.col("_c.n").alias("trait_name"), F.col("_c.v").alias("trait_value"), "source", "occurred_at", *extra,
     )
 
 
@@ -180,4 +199,39 @@ def select_where(df: DataFrame, filters: list[dict] = (), order: list[Column] =
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table of a contract without rows."""
     return spark.createDataFrame([], schema)
+
+
+def union_or_empty(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """The union by name, cut to the contract's columns; the typed empty table where there is nothing to unite."""
+    if not parts:
+        return empty(spark, schema)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return union_aligned(parts).select(*names)
+
+
+def key_violations(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n): keys held by more than one row, nulls included. Empty where the key is unique."""
+    return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def reference_violations(df: DataFrame, columns: list[str], parent: DataFrame, keys: list[str]) -> DataFrame:
+    """(columns, n): values without a row in ``parent``; rows with a null among the columns refer to nothing and are left
+    out. Values are counted before the join, so a hot one is one row."""
+    whole = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).groupBy(*columns).agg(F.count("*").alias("n"))
+    return whole.join(parent.select(*[F.col(k).alias(c) for k, c in zip(keys, columns, strict=True)]).distinct(), columns, "left_anti")
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, columns): rows that only one of two relations holds, copies counting once."""
+    cols = sorted(a.columns)
+    x, y = a.select(*cols), b.select(*cols)
+    return x.subtract(y).withColumn("side", F.lit("a")).unionByName(y.subtract(x).withColumn("side", F.lit("b")))
+
+
+def group_pairs(df: DataFrame, group: str, member: str) -> DataFrame:
+    """(a, b): each member with the least of its group, the pairs from which all others of the group follow. Comparing two
+    partitions needs no more, and a group costs its members instead of their square."""
+    least = df.groupBy(group).agg(F.min(member).alias("a"))
+    return df.join(least, group).select("a", F.col(member).alias("b")).where("a <> b").distinct()

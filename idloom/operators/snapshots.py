@@ -129,27 +129,40 @@ def assign_ordinals(keys: DataFrame, names: list[str], known: DataFrame | None =
     fresh, base = keys.select(*names).distinct(), 0
     if known is not None:
         fresh = fresh.join(known, names, "left_anti")
-        base = ((known.agg(F.max("ordinal")).first()[0] or 0) // 64 + 1) * 64
+        top = known.agg(F.max("ordinal")).first()[0]
+        base = 0 if top is None else (top // 64 + 1) * 64
     fresh = fresh.repartitionByRange(*names).sortWithinPartitions(*names).select(*names, (F.monotonically_increasing_id() + base).alias("ordinal"))
     table = cut(fresh).df
     return table if known is None else known.select(*names, "ordinal").unionByName(table)
 
 
+def delivered_ordinals(rows: DataFrame, names: list[str], known: DataFrame | None, deliveries: int) -> DataFrame:
+    """The ordinals after all deliveries: the rows come in slices of ``_t``, oldest first, and a key keeps the ordinal of the
+    slice that brought it (or that of ``known``), so words of old snapshots stay valid when new keys arrive."""
+    us = F.unix_micros(F.col("_t").cast("timestamp"))
+    at = rows.agg(F.percentile_approx(us, [i / deliveries for i in range(1, deliveries)], 1000)).first()[0] if deliveries > 1 else []
+    cuts = sorted({*(at or [])})
+    for i in range(len(cuts) + 1):
+        late, early = us > cuts[i - 1] if i else F.lit(True), us <= cuts[i] if i < len(cuts) else F.lit(True)
+        known = assign_ordinals(rows.where(late & early), names, known)
+    return known
+
+
 def _bits(mask: str):
     """array<int>: the places of the set bits of a bigint column."""
     return F.expr(f"filter(sequence(0, 63), i -> (shiftrightunsigned({mask}, i) & 1L) = 1L)")
 
 
-def snapshot_changes(df: DataFrame, group: str, key: str, at: str, content: str, order: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+def snapshot_changes(df: DataFrame, group: str, key: str, at: str, content: str, order: list[str] | None = None, known: DataFrame | None = None, deliveries: int = 2) -> DataFrame:
     """(group, key, at, change): added, removed or changed keys of each group's snapshots against the one before.
 
     All rows of one group with the same ``at`` are one snapshot; the first has no changes. Rows with a null group, key or
-    ``at`` take no part. A key repeated within a snapshot counts once, with the content of its greatest ``order``.
+    ``at`` take no part; ``known`` and ``deliveries`` as in ``delivered_ordinals``. A key repeated within a snapshot counts once, with the content of its greatest ``order``.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(at).isNotNull())
     rows = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(at).alias("_t"), F.struct(*[F.col(c) for c in order or []], F.col(content).alias("_c")).alias("_o"))
     rows = cut(rows.groupBy("_g", "_k", "_t").agg(F.max("_o").alias("_o")).select("_g", "_k", "_t", F.col("_o._c").alias("_c"))).df
-    ordinals = assign_ordinals(rows, ["_g", "_k"], known)
+    ordinals = delivered_ordinals(rows, ["_g", "_k"], known, deliveries)
     # A group's snapshot times are few beside its rows and are reduced map-side first.
     line = rows.groupBy("_g", "_t").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("_g").orderBy("_t")

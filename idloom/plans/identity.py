@@ -10,6 +10,7 @@ from idloom.operators import entities as en
 from idloom.operators import eventlog as ev
 from idloom.operators import graph as gr
 from idloom.operators import metadata as md
+from idloom.operators import relational as rl
 from idloom.operators import serving as sv
 from idloom.operators import states as st
 from idloom.operators.relational import register_entities, snapshot_diff_events, zscores
@@ -133,7 +134,11 @@ q("snapshot_change", f"select {sid('evt', 'entity_key', 'value', 'run', repr('ty
 # Attribution
 _PATHS = lambda s, d: at.touchpoint_paths(fx.touchpoints(s, d), fx.user_participants(s, d))
 _BATCHES = lambda s, d: at.path_batches(_PATHS(s, d), fx.touchpoints(s, d))
-q("touchpoints", "select * from touch")(fx.touchpoints)
+q("touchpoints", "select * from touch")(lambda s, d: at.union_touchpoints([fx.touchpoints(s, d)], s))
+q("touchpoints_none", "select * from (select " + ", ".join(f"cast(null as {'timestamp' if t == 'timestamp_ntz' else 'varchar'}) as {c}" for c, t in at.TOUCHPOINT.items()) + ") where false")(lambda s, d: at.union_touchpoints([], s))
+_STUB = lambda schema: "select * from (select " + ", ".join(f"cast(null as {dict(string='varchar', timestamp_ntz='timestamp').get(c.split()[1], c.split()[1])}) as {c.split()[0]}" for c in schema.split(", ")) + ") where false"
+q("scopes_none", _STUB(en.SCOPE))(lambda s, d: en.union_scopes([], s))
+q("anomalies_none", _STUB(md.ANOMALY))(lambda s, d: md.union_anomalies([], s))
 q("touchpoint_paths", "select * from paths")(_PATHS)
 q("touchpoint_batches", "select * from batches")(_BATCHES)
 q("first_touch", "select * from first_t")(lambda s, d: at.first_touch(_BATCHES(s, d), fx.user_participants(s, d)))
@@ -166,8 +171,8 @@ q("edge_distributions", """select a.*, b.source_distribution, case when connecti
  (select entity_type_a, identifier_type_a, identifier_value_a, count(distinct identifier_value_b) as connections, array_to_string(list_sort(list(distinct identifier_type_b)), ', ') as connected_types from noisy_edges group by 1, 2, 3 having count(distinct identifier_value_b) > 10) a join
  (select entity_type_a, identifier_type_a, identifier_value_a, string_agg(src || ' (' || k || ')', ', ' order by k desc, src) as source_distribution from (select entity_type_a, identifier_type_a, identifier_value_a, coalesce(source, 'unknown') as src, count(distinct identifier_value_b) as k from noisy_edges group by 1, 2, 3, 4) group by 1, 2, 3) b using (entity_type_a, identifier_type_a, identifier_value_a)""")(lambda s, d: md.edge_distributions(gr.identifier_edges(fx.noisy_identifiers(s, d))))
 _DAY = "select event_type, date_trunc('day', ts) as seen_at, count(*) as n from raw_ev group by 1, 2"
-q("anomaly_zscores", f"select {sid('det', repr('daily_events'), 'event_type', 'cast(seen_at as timestamp)')} as detection_id, 'daily_events' as monitor_name, event_type as dimension_key, cast(seen_at as timestamp) as occurred_at, 'day' as granularity, round(max_abs_z, 6) as max_abs_z from (select *, abs((n - avg(n) over (partition by event_type)) / nullif(stddev_samp(n) over (partition by event_type), 0)) as max_abs_z from ({_DAY}))")(
-    lambda s, d: md.format_anomaly(zscores(fx.read(s, d, "events").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.count("*").alias("n")), ["event_type"], ["n"]), "daily_events", ["event_type"], ["n"], "at").select("detection_id", "monitor_name", "dimension_key", "occurred_at", "granularity", F.round("max_abs_z", 6).alias("max_abs_z"))
+q("anomaly_zscores", f"select {sid('det', repr('daily_events'), 'event_type', 'cast(seen_at as timestamp)')} as detection_id, 'daily_events' as monitor_name, event_type as dimension_key, cast(seen_at as timestamp) as occurred_at, 'day' as granularity, '{{\"event_type\":\"' || event_type || '\"}}' as dimensions, '{{\"n\":' || n || '}}' as measures, round(max_abs_z, 6) as max_abs_z from (select *, abs((n - avg(n) over (partition by event_type)) / nullif(stddev_samp(n) over (partition by event_type), 0)) as max_abs_z from ({_DAY}))")(
+    lambda s, d: md.format_anomaly(zscores(fx.read(s, d, "events").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at")).agg(F.count("*").alias("n")), ["event_type"], ["n"]), "daily_events", ["event_type"], ["n"], "at").select("detection_id", "monitor_name", "dimension_key", "occurred_at", "granularity", "dimensions", "measures", F.round("max_abs_z", 6).alias("max_abs_z"))
 )
 
 
@@ -208,6 +213,12 @@ q("q_edges_with_issues", "select entity_type_a as entity_type, identifier_type_a
 # Data-quality checks
 q("dq_edge_threshold", "select identifier_type_a, count(*) as over from (select identifier_type_a, identifier_value_a from noisy_edges group by 1, 2 having count(distinct identifier_value_b) > 20) group by 1")(lambda s, d: gr.identifier_edges(fx.noisy_identifiers(s, d)).groupBy("identifier_type_a", "identifier_value_a").agg(F.count_distinct("identifier_value_b").alias("n")).where("n > 20").groupBy("identifier_type_a").agg(F.count("*").alias("over")))
 q("dq_unit_consistency", "select measurement_name, count(*) as units from (select distinct measurement_name, value_unit from msrs) group by 1")(lambda s, d: ev.measurements([fx.measurements(s, d)]).select("measurement_name", "value_unit").distinct().groupBy("measurement_name").agg(F.count("*").alias("units")))
+q("dq_event_keys", "select event_id, count(*) as n from segment_events group by 1 having count(*) > 1")(lambda s, d: rl.key_violations(fx.read(s, d, "segment_events"), ["event_id"]))
+q("dq_event_references", "select event_id, count(*) as n from segment_entity_identifiers i where event_id is not null and not exists (select 1 from segment_events e where e.event_id = i.event_id and e.event_type = 'track') group by 1")(lambda s, d: rl.reference_violations(fx.read(s, d, "segment_entity_identifiers"), ["event_id"], fx.read(s, d, "segment_events").where("event_type = 'track'"), ["event_id"]))
+_PAIRS = lambda t: f"select distinct l.a, m.identifier_type || ':' || m.identifier_value as b from {t} m join (select entity_id, min(identifier_type || ':' || identifier_value) as a from {t} group by 1) l using (entity_id) where l.a <> m.identifier_type || ':' || m.identifier_value"
+q("partition_difference", f"select 'a' as side, * from ({_PAIRS('web2')} except {_PAIRS('web5')}) union all select 'b', * from ({_PAIRS('web5')} except {_PAIRS('web2')})")(
+    lambda s, d: rl.differing(*[rl.group_pairs(gr.resolve(fx.web_identifiers(s, d), "person", k).select("entity_id", F.concat_ws(":", "identifier_type", "identifier_value").alias("i")), "entity_id", "i") for k in (2, 5)])
+)
 q("dq_null_ingested", "select count(*) as missing from gmail_messages where _ingested_at is null")(lambda s, d: fx.read(s, d, "gmail_messages").where("_ingested_at is null").agg(F.count("*").alias("missing")))
 
 

@@ -18,6 +18,7 @@ from idloom.plans.sql import C, full, sid
 from idloom.sources import calendar as cal
 from idloom.sources import mail, web
 from idloom.sources import plans as pl
+from idloom.sources import tables as tb
 from idloom.streaming import incremental as inc
 
 QUERIES: dict = {}
@@ -99,6 +100,13 @@ C["tfirst"] = "select anonymous_id, min(occurred_at) as first_at from tcalls whe
 C["tdirect"] = f"select {sid('tch', 'event_id', 'occurred_at')} {_TOUCH}, {_NULLS('source', 'medium', 'campaign', 'content', 'term')}, 'direct' as channel, context_page_path as landing_page, {_NULLS('referrer')}, page_url as landing_url, {_NULLS(*nz.CLICK_IDS)} from tcalls join tfirst using (anonymous_id) where occurred_at = first_at and coalesce(context_campaign_source, '') = '' and coalesce(context_campaign_medium, '') = '' and coalesce(context_campaign_name, '') = '' and coalesce({', '.join('tcalls.' + n for n in nz.CLICK_IDS)}) is null and coalesce(page_referrer, '') = ''"
 q("web_touchpoints", f"select *, {sid('att_dedup', 'source', 'medium', 'campaign', 'content', 'term', 'referrer', *nz.CLICK_IDS)} as attribution_deduplication_key, 'web' as touchpoint_type from tattr union all select *, {sid('att_dedup', repr('direct'), 'landing_page')}, 'web' from tdirect")(lambda s, d: web.touchpoints(fx.read(s, d, "segment_events")))
 
+_HALVES = lambda s, d: (lambda e: {"web": e.where("event_type = 'web'").select("id", "received_at", "event_name", "page_url"), "rest": e.where("event_type <> 'web'").select("id", "received_at", "event_name", "user_id")})(fx.read(s, d, "segment_events").where("id is not null"))
+C["halves"] = "select id, received_at, event_name, case when event_type = 'web' then page_url end as page_url, case when event_type <> 'web' then user_id end as user_id, case when event_type = 'web' then 'web' else 'rest' end as segment_source from segment_events where id is not null and event_type is not null"
+q("web_calls", "select id, segment_source, max(received_at) as received_at from halves where segment_source = 'web' group by 1, 2")(lambda s, d: tb.union_calls(_HALVES(s, d), {"web": ["pages"], "rest": ["tracks"]}, "pages").select("id", "segment_source", "received_at"))
+q("web_tracks", "select id, max(received_at) as received_at from halves group by 1")(lambda s, d: tb.union_tracks(_HALVES(s, d)).select("id", "received_at"))
+q("web_calls_none", "select * from (select cast(null as varchar) as id, cast(null as timestamp) as received_at) where false")(lambda s, d: tb.union_calls(_HALVES(s, d), {}, "pages", schema="id string, received_at timestamp_ntz", spark=s))
+q("unpivot_limited", "select 2000::bigint as n")(lambda s, d: rl.unpivot_identifiers(fx.read(s, d, "orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("event_id"), F.lit("e").alias("edge_id"), F.lit("o").alias("source"), F.col("o_orderdate").alias("occurred_at"), F.col("o_orderdate").alias("_ingested_at")), ["o_custkey"], limit=2000, target="dev").agg(F.count("*").alias("n")))
+
 # Mail
 _H = lambda n: f"list_filter(hs, lambda h: lower(json_extract_string(h, '$.name')) = '{n}')[1]"
 _HV = lambda n: f"json_extract_string({_H(n)}, '$.value')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from idloom.operators.relational import latest, union_aligned
+from idloom.operators.relational import empty, latest, union_aligned
 
 
 def source(spark: SparkSession, config: dict, name: str, table: str | None = None) -> DataFrame:
@@ -31,16 +31,23 @@ def base_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def union_calls(parts: dict[str, DataFrame], allowed: dict[str, list[str]] | None, table: str, keys: tuple[str, ...] = ("id", "segment_source")) -> DataFrame:
+def union_calls(parts: dict[str, DataFrame], allowed: dict[str, list[str]] | None, table: str, keys: tuple[str, ...] = ("id", "segment_source"), schema: str | None = None, spark: SparkSession | None = None) -> DataFrame:
     """One call table of several web sources: allow-listed ones, aligned by name, with the source each row comes from,
-    the latest ``received_at`` of each id."""
+    the latest ``received_at`` of each id. Without a source, a typed empty table of ``schema``."""
     use = {n: d for n, d in parts.items() if allowed is None or table in allowed.get(n, [])}
     if not use:
-        raise ValueError(f"no source has the table {table}")
+        if schema is None or spark is None:
+            raise ValueError(f"no source has the table {table}, and no schema is given for an empty one")
+        return empty(spark, schema)
     u = union_aligned(use, "segment_source")
     return latest(u, list(keys), ["received_at"])
 
 
+def union_tracks(parts: dict[str, DataFrame]) -> DataFrame:
+    """The configured track tables as one, the latest ``received_at`` of each id whatever its source."""
+    return union_calls(parts, None, "tracks", ("id",))
+
+
 def write_partitioned(df: DataFrame, path: str, time: str = "occurred_at", cluster: tuple[str, ...] = ()) -> None:
     """Write by month of a time column, each partition sorted by the cluster keys."""
     from pyspark.sql import functions as F

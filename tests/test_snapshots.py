@@ -75,3 +75,13 @@ def test_any_depth_has_one_spelling():
     deep = parse_object('{"a":' + "[" * 50_000 + "1.0" + "]" * 50_000 + "}")
     assert canonical(deep) == '{"a":' + "[" * 50_000 + "n1" + "]" * 50_000 + "}"
     assert canonical(parse_object(json.dumps({"b": 1, "a": 2}))) == canonical(parse_object('{"a":2.0,"b":1e0}'))
+
+
+def test_ordinals_persist_over_deliveries(spark):
+    from idloom.operators.snapshots import delivered_ordinals
+
+    rows = spark.createDataFrame([("g", f"k{i}", f"2023-01-{1 + i // 10:02}") for i in range(60)], "_g string, _k string, t string").selectExpr("_g", "_k", "cast(t as timestamp_ntz) as _t")
+    early = {r._k: r.ordinal for r in delivered_ordinals(rows.where("_t < '2023-01-04'"), ["_g", "_k"], None, 1).collect()}
+    for parts in (1, 2, 4):
+        got = {r._k: r.ordinal for r in delivered_ordinals(rows, ["_g", "_k"], delivered_ordinals(rows.where("_t < '2023-01-04'"), ["_g", "_k"], None, 1), parts).collect()}
+        assert len(set(got.values())) == 60 and all(got[k] == o for k, o in early.items())
