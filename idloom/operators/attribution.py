@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
 from idloom.operators.relational import empty
+from idloom.operators.timeline import carry_last
 
 WINDOW_DAYS = 90
 
@@ -20,15 +21,14 @@ def touchpoint_paths(touchpoints: DataFrame, participants: DataFrame, window_day
     entity type and entity. The as-of step carries the last touch time forward on one line per entity.
     """
     t = touchpoints.select("touchpoint_id", "touchpoint_event_id", "attribution_deduplication_key", F.col("occurred_at").alias("_t")).join(participants.select(F.col("event_id").alias("touchpoint_event_id"), "entity_id", "entity_type").distinct(), "touchpoint_event_id")
-    w = Window.partitionBy("entity_id", "entity_type").orderBy("_t", "touchpoint_id")
-    key = F.col("attribution_deduplication_key")
-    prev = F.lag(key).over(w)
-    t = t.withColumn("_same", prev == key).where("_same is null or not _same").drop("_same")
+    key = "attribution_deduplication_key"
+    t = carry_last(t.where("_t is not null"), ["entity_id", "entity_type"], "_t", ["touchpoint_id"], [key], inclusive=False)
+    t = t.where(F.col("_last_" + key).isNull() | (F.col("_last_" + key) != F.col(key))).drop("_last_" + key)
     ev = participants.select("event_id", "entity_id", "entity_type", "occurred_at").where("occurred_at is not null").distinct()
     a = ev.select("entity_id", "entity_type", F.col("occurred_at").alias("_t"), F.lit(1).alias("_k"), "event_id", F.lit(None).cast("timestamp_ntz").alias("_touch"))
     b = t.select("entity_id", "entity_type", "_t", F.lit(0).alias("_k"), F.lit(None).cast("string").alias("event_id"), F.col("_t").alias("_touch")).distinct()
-    line = Window.partitionBy("entity_id", "entity_type").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    hit = a.unionByName(b).withColumn("_last", F.last("_touch", ignorenulls=True).over(line)).where("_k = 1 and _last is not null").where(F.datediff("_t", "_last") <= window_days)
+    line = carry_last(a.unionByName(b), ["entity_id", "entity_type"], "_t", ["_k"], ["_touch"]).withColumnRenamed("_last__touch", "_last")
+    hit = line.where("_k = 1 and _last is not null").where(F.datediff("_t", "_last") <= window_days)
     hit = hit.select("entity_id", "entity_type", "event_id", F.col("_t").alias("event_occurred_at"), F.col("_last").alias("_t"))
     j = hit.join(t, ["entity_id", "entity_type", "_t"])
     rest = ["touchpoint_event_id", "attribution_deduplication_key", F.col("_t").alias("touchpoint_occurred_at"), "event_occurred_at"]
@@ -72,8 +72,7 @@ def last_touch(batches: DataFrame, participants: DataFrame) -> DataFrame:
     ev = participants.where(F.col("entity_type") == "person").select("entity_id", F.col("event_id").alias("attributed_event_id"), F.col("occurred_at").alias("_t")).where("_t is not null").distinct()
     line = b.groupBy("entity_id", "_t").agg(F.max("_b").alias("_b")).withColumn("_k", F.lit(0)).withColumn("attributed_event_id", F.lit(None).cast("string"))
     line = line.unionByName(ev.withColumn("_k", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("entity_id").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    hit = line.withColumn("_m", F.last("_b", ignorenulls=True).over(w)).where("_k = 1 and _m is not null")
+    hit = carry_last(line.where("_t is not null"), ["entity_id"], "_t", ["_k"], ["_b"]).withColumnRenamed("_last__b", "_m").where("_k = 1 and _m is not null")
     one = hit.groupBy("attributed_event_id").agg(F.max(F.struct("_m", "entity_id", "_t")).alias("x"))
     out = one.select(F.col("x.entity_id").alias("entity_id"), F.col("x._m.t").alias("touchpoint_occurred_at"), F.col("x._m.b").alias("touchpoint_batch_id"), *[F.col(f"x._m.{c}").alias(c) for c in ("source", "medium", "campaign", "channel")], "attributed_event_id", F.col("x._t").alias("attributed_event_occurred_at"))
     return _result(out, "last_marketing_touch")
@@ -82,8 +81,7 @@ def last_touch(batches: DataFrame, participants: DataFrame) -> DataFrame:
 def last_click_id(batches: DataFrame, paths: DataFrame, column: str, value: Column | None = None) -> DataFrame:
     """The last known click id of an entity at each of its batches, given to the batches' events."""
     b = batches.withColumn("_click", value if value is not None else F.nullif(F.col(column), F.lit("")))
-    w = Window.partitionBy("entity_id", "entity_type").orderBy("occurred_at", "touchpoint_id").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_last", F.last("_click", ignorenulls=True).over(w)).select("touchpoint_batch_id", "entity_id", "entity_type", "_last")
+    b = carry_last(b, ["entity_id", "entity_type"], "occurred_at", ["touchpoint_id"], ["_click"]).withColumnRenamed("_last__click", "_last").select("touchpoint_batch_id", "entity_id", "entity_type", "_last")
     p = paths.join(b, ["touchpoint_batch_id", "entity_id", "entity_type"]).where("_last is not null")
     p = p.select("touchpoint_batch_id", "entity_id", "entity_type", "touchpoint_occurred_at", F.col("event_id").alias("attributed_event_id"), F.col("event_occurred_at").alias("attributed_event_occurred_at"), F.col("_last").alias(column))
     return _result(p, f"last_{column}")

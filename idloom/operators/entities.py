@@ -68,12 +68,15 @@ def entities(identifiers: DataFrame, mappings: dict[str, DataFrame], latest_trai
     base += [r.select("entity_id", "entity_type").distinct() for r in registered.values()]
     e = union_aligned(base)
     seen = identifiers.join(lookup, ["entity_type", *PAIR])
-    created = seen.groupBy("entity_id").agg(F.min("occurred_at").alias("_created_at"))
-    merged = seen.where("edge_id is not null").join(events.select("event_id", F.col("occurred_at").alias("_at")), "event_id").groupBy("entity_id").agg(F.max("_at").alias("_last_merged_at"))
-    touched = latest_traits.groupBy("entity_id").agg(F.max("occurred_at").alias("_trait_at"))
-    met = parts.select("entity_id", "event_id").distinct().join(events.select("event_id", F.col("occurred_at").alias("_at")), "event_id").groupBy("entity_id").agg(F.max("_at").alias("last_interaction_at"), F.min("_at").alias("first_interaction_at"))
+    # All times of an entity come from one aggregate: events are joined once, for identifier rows and participants alike.
+    kinds = lambda df, kind: df.select("entity_id", "event_id", F.lit(kind).alias("_kind"))
+    linked = kinds(seen.where("edge_id is not null"), "merged").unionByName(kinds(parts, "met")).distinct()
+    met = linked.join(events.select("event_id", F.col("occurred_at").alias("_at")), "event_id").select("entity_id", "_kind", "_at")
+    times = met.unionByName(seen.select("entity_id", F.lit("created").alias("_kind"), F.col("occurred_at").alias("_at"))).unionByName(latest_traits.select("entity_id", F.lit("trait").alias("_kind"), F.col("occurred_at").alias("_at")))
+    when = lambda kind: F.when(F.col("_kind") == kind, F.col("_at"))
+    times = times.groupBy("entity_id").agg(F.min(when("created")).alias("_created_at"), F.max(when("merged")).alias("_last_merged_at"), F.max(when("trait")).alias("_trait_at"), F.max(when("met")).alias("last_interaction_at"), F.min(when("met")).alias("first_interaction_at"))
     wide = pivot_eav(latest_traits, ["entity_id"], "trait_name", "trait_value", trait_names)
-    out = reduce(lambda a, b: a.join(b, "entity_id", "left"), [wide, created, merged, touched, met], e)
+    out = reduce(lambda a, b: a.join(b, "entity_id", "left"), [wide, times], e)
     if registered:
         own = union_aligned([r.drop("entity_type", "created_at", "updated_at") for r in registered.values()])
         own = own.select("entity_id", *[F.col(c).alias("_own_" + c) for c in own.columns if c != "entity_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id, surrogate_key
-from idloom.operators.skew import join_even
+from idloom.operators.skew import join_even, join_label
 from idloom.storage import cut
 
 _ENDS = ["entity_type_a", "identifier_type_a", "identifier_value_a", "entity_type_b", "identifier_type_b", "identifier_value_b"]
@@ -29,6 +29,16 @@ def identifier_edges(identifiers: DataFrame) -> DataFrame:
     return one.select(F.col("m.edge_id").alias("edge_id"), *_ENDS, F.col("m.source").alias("source"), F.col("m._ingested_at").alias("_ingested_at"), surrogate_key(*_ENDS).alias("edge_uniqueness_hash"))
 
 
+def edge_members(identifiers: DataFrame) -> DataFrame:
+    """(edge_id, entity_type, identifier_type, identifier_value, links): the members of each edge and with how many others it
+    links them. The linear form of ``identifier_edges``: one row a member instead of all pairs."""
+    keys = ["edge_id", "entity_type", "identifier_type", "identifier_value"]
+    i = identifiers.where("edge_id is not null and identifier_value is not null").select(*keys).distinct()
+    # Sizes are counted map-side and joined back in parts, so an edge with a third of all rows is not gathered.
+    sizes = i.groupBy("edge_id").agg(F.count("*").alias("_n"))
+    return join_label(i, sizes.withColumn("links", F.col("_n") - 1), "edge_id", "_n", "identifier_value")
+
+
 def connection_counts(edges: DataFrame) -> DataFrame:
     """(entity_type, identifier_type, identifier_value, connections): distinct neighbour values of each identifier."""
     return edges.groupBy(F.col("entity_type_a").alias("entity_type"), F.col("identifier_type_a").alias("identifier_type"), F.col("identifier_value_a").alias("identifier_value")).agg(F.count_distinct("identifier_value_b").alias("connections"))

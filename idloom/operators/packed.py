@@ -12,7 +12,16 @@ OPEN, CLOSE = "\x01", "\x02"
 #: Spans within which delimiters don't separate. Possessive, so that an unclosed quote costs no backtracking.
 DOUBLED = r'"[^"]*+(?:""[^"]*+)*+"'
 ESCAPED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-COMMENT = r"\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.)*+\))*+\)"
+#: Levels of comments within comments that are masked as one; deeper ones are masked level by level from the inside only.
+COMMENT_DEPTH = 8
+
+
+def _comment(depth: int) -> str:
+    inner = f"|{_comment(depth - 1)}" if depth > 1 else ""
+    return rf"\((?:[^()\\]++|\\.{inner})*+\)"
+
+
+COMMENT = _comment(COMMENT_DEPTH)
 ANGLE = r"<[^<>]*+>"
 ADDRESS = r"[^\s<>()\[\],;:@\"]+@[^\s<>()\[\],;:@\"]+"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from idloom.functions.ids import make_id
 from idloom.operators.relational import column_name
+from idloom.operators.timeline import carry_last
 
 
 def entity_states(states: DataFrame, dimension_names: list[str], measure_names: list[str]) -> DataFrame:
@@ -14,12 +15,34 @@ def entity_states(states: DataFrame, dimension_names: list[str], measure_names:
 
     A change point is a time a state is entered or left. A state holds at t if entered <= t and not left by t; of several
     of one name the latest entered (then the greatest state_id) counts. Points without any active state give no row.
+
+    States of one name rarely overlap: then entering and leaving are put on one line per entity and carried forward, so
+    the work is linear. Where they do, the points of that entity are compared with the overlapping states of that name.
     """
     s = states.where(F.col("state_value").isNotNull() | F.col("state_numeric_value").isNotNull())
     points = states.select("entity_id", "entity_type", F.explode(F.array("state_entered_at", "state_exited_at")).alias("valid_from")).where("valid_from is not null").distinct()
-    held = points.join(s, ["entity_id", "entity_type"]).where("state_entered_at <= valid_from and (state_exited_at is null or state_exited_at > valid_from)")
     keys = ["entity_id", "entity_type", "valid_from"]
+    own = ["entity_id", "entity_type", "state_name"]
+    s = s.where("state_entered_at is not null and (state_exited_at is null or state_exited_at > state_entered_at)")
+    reach = F.max(F.coalesce("state_exited_at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))).over(Window.partitionBy(*own).orderBy("state_entered_at", "state_id").rowsBetween(Window.unboundedPreceding, -1))
+    mixed = s.withColumn("_reach", reach).where("_reach > state_entered_at").select(*own).distinct().withColumn("_mixed", F.lit(True))
+    names = sorted({*dimension_names, *measure_names})
+    # States of names without a column still make a point count; they take the general way.
+    s = s.join(mixed, own, "left").withColumn("_mixed", F.col("_mixed").isNotNull() | ~F.coalesce(F.col("state_name").isin(*names), F.lit(False)))
+    held = points.join(s.where("_mixed"), ["entity_id", "entity_type"]).where("state_entered_at <= valid_from and (state_exited_at is null or state_exited_at > valid_from)")
     top = held.groupBy(*keys, "state_name").agg(F.max(F.struct("state_entered_at", "state_id", "state_value", "state_numeric_value")).alias("m"))
+    # Without overlaps at most one state of a name holds; it begins at its entry and ends with an empty cell.
+    plain = s.where("not _mixed")
+    cell = F.struct("state_name", "state_value", "state_numeric_value", F.lit(True).alias("on"))
+    enter = plain.select("entity_id", "entity_type", F.col("state_entered_at").alias("valid_from"), F.lit(2).alias("_k"), cell.alias("c"))
+    leave = plain.where("state_exited_at is not null").select("entity_id", "entity_type", F.col("state_exited_at").alias("valid_from"), F.lit(1).alias("_k"), F.struct("state_name", F.lit(None).cast("string").alias("state_value"), F.lit(None).cast("double").alias("state_numeric_value"), F.lit(False).alias("on")).alias("c"))
+    changes = enter.unionByName(leave).groupBy(*keys).agg(*[F.max(F.when(F.col("c.state_name") == n, F.struct("_k", "c"))).alias(f"_c{i}") for i, n in enumerate(names)])
+    slots = [f"_c{i}" for i in range(len(names))]
+    line = carry_last(points.join(changes, keys, "left"), ["entity_id", "entity_type"], "valid_from", [], slots)
+    cells = [F.when(F.col(f"_last__c{i}.c.on"), F.struct(F.lit(None).cast("timestamp_ntz").alias("state_entered_at"), F.lit(None).cast("string").alias("state_id"), F.col(f"_last__c{i}.c.state_value").alias("state_value"), F.col(f"_last__c{i}.c.state_numeric_value").alias("state_numeric_value"))) for i in range(len(names))]
+    flat = line.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("state_name"), x.alias("m")) for n, x in zip(names, cells, strict=True)])).alias("x")) if names else line.select(*keys, F.lit(None).alias("x")).limit(0)
+    if names:
+        top = top.unionByName(flat.select(*keys, "x.state_name", "x.m").where("m is not null"))
     cells = [F.max(F.when(F.col("state_name") == n, F.col("m.state_value"))).alias(column_name(n)) for n in dimension_names]
     cells += [F.max(F.when(F.col("state_name") == n, F.col("m.state_numeric_value"))).alias(column_name(n)) for n in measure_names]
     wide = top.groupBy(*keys).agg(*cells)
@@ -44,8 +67,7 @@ def event_states(participants: DataFrame, timeline: DataFrame, start=None, end=N
     a = p.select("entity_id", "entity_type", F.col("occurred_at").alias("_t"), F.lit(0).alias("_k"), "event_id", F.lit(None).cast("string").alias("_s"))
     b = timeline.select("entity_id", "entity_type", F.col("valid_from").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("string").alias("event_id"), F.col("entity_state_id").alias("_s"))
     # At equal times events (0) come before states (1): the previous state wins.
-    w = Window.partitionBy("entity_id", "entity_type").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("entity_state_id", F.last("_s", ignorenulls=True).over(w)).where("_k = 0 and entity_state_id is not null")
+    out = carry_last(a.unionByName(b), ["entity_id", "entity_type"], "_t", ["_k"], ["_s"]).withColumnRenamed("_last__s", "entity_state_id").where("_k = 0 and entity_state_id is not null")
     return out.select("event_id", "entity_id", "entity_type", F.col("_t").alias("occurred_at"), "entity_state_id")
 
 

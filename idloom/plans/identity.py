@@ -76,6 +76,7 @@ q("edges_autofiltered", _KEPT)(lambda s, d: gr.autofilter(gr.identifier_edges(fx
 q("filtered_orphans", f"with_kept as ({_KEPT})" and f"select distinct entity_type, identifier_type, identifier_value from noisy_ids i where not exists (select 1 from ({_KEPT}) k where k.entity_type_a = i.entity_type and k.identifier_type_a = i.identifier_type and k.identifier_value_a = i.identifier_value) and edge_id in (select j.edge_id from noisy_ids j join ({_KEPT}) k on k.entity_type_a = j.entity_type and k.identifier_type_a = j.identifier_type and k.identifier_value_a = j.identifier_value)")(
     lambda s, d: gr.filtered_orphans(fx.noisy_identifiers(s, d), gr.autofilter(gr.identifier_edges(fx.noisy_identifiers(s, d)), 50, 20))
 )
+q("identifier_edge_members", "select edge_id, entity_type, identifier_type, identifier_value, count(*) over (partition by edge_id) - 1 as links from (select distinct edge_id, entity_type, identifier_type, identifier_value from web_ids where edge_id is not null and identifier_value is not null)")(lambda s, d: gr.edge_members(fx.web_identifiers(s, d)))
 _ENDS = lambda s: f"entity_type_{s}, identifier_type_{s}, identifier_value_{s}"
 q("edges_with_counts", "select *, " + ", ".join(f"(select count(distinct identifier_value_{o}) from noisy_edges x where x.entity_type_{s} = e.entity_type_{s} and x.identifier_type_{s} = e.identifier_type_{s} and x.identifier_value_{s} = e.identifier_value_{s}{extra}) as connections_{s}_{n}" for s, o in (("a", "b"), ("b", "a")) for extra, n in (("", "total"), (" and x.source = e.source", "per_source"))) + " from noisy_edges e")(lambda s, d: gr.edges_with_counts(gr.identifier_edges(fx.noisy_identifiers(s, d))))
 q("edges_new", "select * from web_edges where edge_uniqueness_hash not in (select edge_uniqueness_hash from web_edges where identifier_type_a = 'email' or identifier_type_b = 'email')")(lambda s, d: gr.new_edges(e := gr.identifier_edges(fx.web_identifiers(s, d)), e.where("identifier_type_a = 'email' or identifier_type_b = 'email'")))

@@ -33,3 +33,9 @@ def test_addresses(spark):
 def test_round_trip(spark, lists):
     texts = [",".join('"' + v.replace('"', '""') + '"' for v in values) for values in lists]
     assert run(spark, texts, split_values) == [[v for v in values if v] for values in lists]
+
+
+def test_comments_of_several_levels_hold_no_address(spark):
+    deep = "(a (b (c x@y.test (d (e z@y.test) f@y.test)) w@y.test))"
+    df = spark.createDataFrame([(f"Ann {deep} <ann@x.test>, bob@x.test {deep}, (only a@b.test)",)], "t string")
+    assert df.select(split_addresses(df.t).alias("a")).first().a == ["ann@x.test", "bob@x.test"]
