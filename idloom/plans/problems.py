@@ -144,6 +144,28 @@ g as (select *, sum(opens) over (partition by device order by us rows unbounded
 """
 
 
+#: A layer's canonical form by SQL: its leaves by path, entries of metrics and dimensions as sorted texts of theirs.
+_LAYERS = r"""
+with raw0 as (select *, case when json_valid(_raw_record) then case when json_type(_raw_record) = 'VARCHAR' then json_extract_string(_raw_record, '$') else _raw_record end end as j0 from semantic_layers),
+raw as (select *, case when json_valid(j0) then j0 end as j from raw0),
+keyed as (select _row_id, _queued_at, _ingested_at as ts, json_extract_string(j, '$.organization_id') as org, json_extract_string(j, '$.layer_slug') as slug, json_extract(j, '$.layer') as layer from raw where j is not null),
+leaf0 as (select _row_id, fullkey as k, type as t, atom as a from keyed, json_tree(layer)),
+leaf as (select *, regexp_extract(k, '^\$\.(metrics|dimensions)\[\d+\]', 1) as l, regexp_extract(k, '^\$\.(?:metrics|dimensions)\[(\d+)\]', 1) as i, regexp_replace(k, '^\$\.(?:metrics|dimensions)\[\d+\]', '') as rel,
+  case when t = 'VARCHAR' then 's' || json_extract_string(a, '$') when a is not null and t not in ('BOOLEAN', 'NULL') then 'n' || cast(cast(cast(a as varchar) as double) as varchar) when t = 'BOOLEAN' then cast(a as varchar) else t end as v
+  from leaf0 where not (k = '$' and t = 'NULL')),
+entry as (select _row_id, l, i, string_agg(rel || '=' || v, chr(2) order by rel, v) as e from leaf where l <> '' group by 1, 2, 3),
+packed as (select _row_id, l, string_agg(e, chr(3) order by e) as e from entry group by 1, 2),
+parts as (select _row_id, string_agg(e, chr(4) order by l) as p from (select _row_id, l || ':' || e as e, l from packed union all select _row_id, string_agg(k || '=' || v, chr(2) order by k, v), '' from leaf where l = '' group by 1) x group by 1),
+versions as (select org, slug, ts, coalesce(p, '') as c from (select k.*, p.p, row_number() over (partition by org, slug, ts order by _queued_at desc nulls last, k._row_id desc) as n from keyed k left join parts p on p._row_id = k._row_id where org is not null and slug is not null and ts is not null) where n = 1),
+line as (select org, ts, lag(ts) over (partition by org order by ts) as before from (select distinct org, ts from versions)),
+now as (select v.*, l.before from versions v join line l on l.org = v.org and l.ts = v.ts where l.before is not null),
+old as (select v.org, v.slug, v.c, l.ts as later from versions v join line l on l.org = v.org and l.before = v.ts)
+select coalesce(n.org, o.org) as organization_id, coalesce(n.slug, o.slug) as layer_slug, epoch_us(coalesce(n.ts, o.later)) as snapshot_us,
+  case when o.org is null then 'added' when n.org is null then 'removed' else 'changed' end as change
+from now n full join old o on n.org = o.org and n.slug = o.slug and n.ts = o.later where o.org is null or n.org is null or n.c <> o.c
+"""
+
+
 def _tree(tables: tuple[tuple[str, str], ...]) -> str:
     """The element objects of the payloads by SQL: (source_table, _row_id, node_path, parent_path, entity, value)."""
     docs = " union all ".join(f"select '{t}' as t, _row_id, case when json_type({c}) = 'VARCHAR' then json_extract_string({c}, '$') else {c} end as j from {t} where json_valid({c})" for t, c in tables)
@@ -167,6 +189,7 @@ def _flat_sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {n: _flat_sql(n) for n in FLAT} | {
+        "p6_found": _LAYERS,
         "p7_found": _tree(PAYLOADS) + "select source_table, _row_id, node_path, parent_path from nodes",
         "p3_found": _KEYED + """select _row_id from (
   select _row_id, row_number() over (partition by k order by _ingested_at desc nulls last, _row_id desc) as n
