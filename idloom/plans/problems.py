@@ -166,6 +166,25 @@ from now n full join old o on n.org = o.org and n.slug = o.slug and n.ts = o.lat
 """
 
 
+#: Address lists and tags by SQL: quoted spans and comments are removed instead of masked.
+_PACKED = r"""
+with raw0 as (select _row_id, case when json_valid(_raw_record) then case when json_type(_raw_record) = 'VARCHAR' then json_extract_string(_raw_record, '$') else _raw_record end end as r from gmail_messages),
+lists as (select _row_id, from_json(json_extract(r, '$.headers'), '["JSON"]') as hs from raw0 where json_valid(r)),
+heads as (select _row_id, unnest(range(len(hs))) as header_index, unnest(hs) as h from lists),
+texts as (select _row_id, header_index, lower(json_extract_string(h, '$.name')) as name, json_extract_string(h, '$.value') as t from heads where json_type(h, '$.value') = 'VARCHAR'),
+tags as (select _row_id, header_index, list_transform(regexp_extract_all(t, '(?:"[^"]*"|[^,;|\t\r\n"]|")+'), lambda x: trim(x, E' \t\n\r')) as vs from texts where name = 'keywords'),
+plain0 as (select _row_id, header_index, regexp_replace(t, '"[^"\\]*(?:\\.[^"\\]*)*"', chr(1), 'g') as t from texts where name in ('to', 'cc', 'bcc')),
+plain1 as (select _row_id, header_index, """ + "regexp_replace(" * 5 + "t" + r""", '\((?:[^()\\]|\\.)*\)', '', 'g')""" * 5 + r""" as t from plain0),
+pieces as (select _row_id, header_index, regexp_extract_all(regexp_replace(t, '[\r\n]+[ \t]+', ' ', 'g'), '(?:<[^<>]*>|[^,;|\r\n])+') as ps from plain1),
+entries as (select _row_id, header_index, list_transform(ps, lambda p: case when len(list_filter(regexp_extract_all(p, '<([^<>]*)>', 1), lambda x: contains(x, '@'))) > 0
+  then list_transform(list_filter(regexp_extract_all(p, '<([^<>]*)>', 1), lambda x: contains(x, '@')), lambda x: trim(x, E' \t\n\r'))
+  else list_filter(regexp_extract_all(regexp_replace(p, '^[^:@]*:', ''), '[^\s<>()\[\],;:@"]*@[^\s<>()\[\],;:@"]+'), lambda x: not starts_with(x, '@')) end) as es from pieces),
+found as (select _row_id, header_index, list_transform(list_filter(vs, lambda v: v <> '' and v <> '""'), lambda v: case when len(v) >= 2 and starts_with(v, '"') and ends_with(v, '"') then replace(v[2:-2], '""', '"') else v end) as vs from tags
+  union all select _row_id, header_index, list_transform(flatten(es), lambda x: lower(x)) from entries)
+select _row_id, header_index, unnest(range(1, len(vs) + 1)) as pos, unnest(vs) as value from found where len(vs) > 0
+"""
+
+
 def _tree(tables: tuple[tuple[str, str], ...]) -> str:
     """The element objects of the payloads by SQL: (source_table, _row_id, node_path, parent_path, entity, value)."""
     docs = " union all ".join(f"select '{t}' as t, _row_id, case when json_type({c}) = 'VARCHAR' then json_extract_string({c}, '$') else {c} end as j from {t} where json_valid({c})" for t, c in tables)
@@ -189,6 +208,7 @@ def _flat_sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {n: _flat_sql(n) for n in FLAT} | {
+        "p5_found": _PACKED,
         "p6_found": _LAYERS,
         "p7_found": _tree(PAYLOADS) + "select source_table, _row_id, node_path, parent_path from nodes",
         "p3_found": _KEYED + """select _row_id from (
