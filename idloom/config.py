@@ -55,5 +55,15 @@ class Config:
     def registered_types(self) -> list[str]:
         return [t.name for t in self.entity_types if not t.entity_resolution]
 
+    def enabled(self, parts: dict, layer: str) -> list:
+        """Of ``parts`` (source name -> relation) those of sources that are on and feed the layer (events, entities,
+        relationships, dimensions, measurements or attribution)."""
+        on = {s.name for s in self.sources if s.enabled and getattr(s, layer)}
+        return [p for n, p in parts.items() if n in on]
+
+    def thresholds(self) -> dict[str, int | None]:
+        """The edge filters that are on."""
+        return {"critical": self.critical_connections if self.filter_critical else None, "error": self.error_connections if self.filter_error else None}
+
     def is_resolved(self, name: str) -> bool:
         return name in self.resolved_types()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idloom.config import Config
 from idloom.functions.ids import make_id, surrogate_key
 from idloom.operators.skew import join_even, join_label
 from idloom.storage import cut
@@ -100,7 +101,8 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFra
     written tables and end early when no label changes, which can't change the result. Every node of ``links`` must be
     one of ``nodes``."""
     table = cut(nodes.select("node", F.col("node").alias("label")))
-    l = cut(links).df
+    written = cut(links)
+    l = written.df
     most = l.count()
     done = 0
     while rounds is None or done < rounds:
@@ -115,6 +117,7 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None) -> DataFra
         table.df = nxt.df.select("node", "label")
         if not moved:
             break
+    written.drop()
     return table.df
 
 
@@ -148,3 +151,10 @@ def resolve(identifiers: DataFrame, entity_type: str, max_recursion: int = 5, ed
         make_id(f"{entity_type}_identifier", make_id(entity_type, t, v), "identifier_type", "identifier_value").alias("identifier_id"), make_id(entity_type, t, v).alias("entity_id"), "event_id", "identifier_type", "identifier_value",
         F.lit(False).alias("realtime_processed"), F.lit(True).alias("existing"), F.lit("full_resolution").alias("resolution_reason"), F.lit(None).cast("string").alias("previous_entity_id"), mark,
     )
+
+
+def resolve_types(identifiers: DataFrame, config: Config) -> dict[str, DataFrame]:
+    """The mapping of every resolved entity type, with the configured depth and edge filters."""
+    on = config.thresholds()
+    edges = autofilter(identifier_edges(identifiers), **on, incremental=config.incremental) if any(v is not None for v in on.values()) else None
+    return {t: resolve(identifiers, t, config.max_recursion, edges) for t in config.resolved_types()}

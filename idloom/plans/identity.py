@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from idloom.config import Config, SourceSpec
 from idloom.operators import attribution as at
 from idloom.operators import entities as en
 from idloom.operators import eventlog as ev
@@ -19,6 +20,7 @@ from idloom.plans.sql import C, click_sql, full, sid
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+CONFIG = Config.of(["person", "group"], sources=(SourceSpec("web"), SourceSpec("orders"), SourceSpec("old", enabled=False)))
 INTERNAL = ("user1@shop.test", "user2@shop.test")
 STATUS = "case when current_active_status and not coalesce(current_buying_status, false) then 'browsing' when current_buying_status then 'buying' else 'idle' end"
 
@@ -34,8 +36,7 @@ def q(name: str, sql: str | None = None):
 
 
 def _maps(s, d) -> dict[str, DataFrame]:
-    i = fx.customer_identifiers(s, d)
-    return {"person": gr.resolve(i, "person"), "group": gr.resolve(i, "group")}
+    return gr.resolve_types(fx.customer_identifiers(s, d), CONFIG)
 
 
 def _lookup(s, d) -> DataFrame:
@@ -53,7 +54,7 @@ def _entities(s, d) -> DataFrame:
 
 
 # Event log
-q("event_log", "select * from web_ev union all select * from order_ev")(lambda s, d: ev.events([fx.web_events(s, d), fx.order_events(s, d)]))
+q("event_log", "select * from web_ev union all select * from order_ev")(lambda s, d: ev.events(CONFIG.enabled({"web": fx.web_events(s, d), "orders": fx.order_events(s, d), "old": fx.web_events(s, d)}, "events")))
 q("event_log_incremental", "select * from web_ev where _ingested_at > (select min(_ingested_at) from web_ev)")(lambda s, d: ev.events([fx.web_events(s, d)], since=fx.web_events(s, d).agg(F.min("_ingested_at")).first()[0]))
 q("identifiers_normalized", "select *, case when identifier_type in ('email', 'domain') then lower(identifier_value) when identifier_type = 'phone' then regexp_replace(identifier_value, '[^0-9]', '', 'g') else identifier_value end as normalized_value from (select * from web_ids union all select * from cust_ids)")(lambda s, d: ev.identifiers([fx.web_identifiers(s, d), fx.customer_identifiers(s, d)]))
 q("segment_identifiers_normalized", "select entity_identifier_id, event_id, edge_id, entity_type, identifier_type, identifier_value, role, source, occurred_at, coalesce(_ingested_at, occurred_at) as _ingested_at, case when identifier_type in ('email', 'domain') then lower(identifier_value) when identifier_type = 'phone' then regexp_replace(identifier_value, '[^0-9]', '', 'g') else identifier_value end as normalized_value from segment_entity_identifiers")(lambda s, d: ev.identifiers([fx.read(s, d, "segment_entity_identifiers")]))

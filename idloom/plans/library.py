@@ -63,7 +63,9 @@ _case("try_dates", lambda c: tm.try_date(c), "try_cast(t as date)")
 _case("interval_seconds", tm.interval_seconds, "case when regexp_full_match(trim(t), '[-+]?\\d+:\\d+:\\d+') then cast(split_part(t, ':', 1) as bigint) * 3600 + cast(split_part(t, ':', 2) as bigint) * 60 + cast(split_part(t, ':', 3) as bigint) end")
 _case("case_map", lambda c: nz.case_map(c, {"x": "'ex'", "@": "'at'"}, "'other'"), "case t when 'x' then 'ex' when '@' then 'at' else 'other' end")
 q("domain_filter", f"select t from {_CASES} where t is not null and t <> '' and t not in ('x', '@')")(lambda s, d: _cases(s).where(nz.domain_filter(F.col("t"), exclude=["x", "@"])))
-q("format_fbc", "select event_id, 'fb.1.' || (epoch_us(occurred_at) // 1000) || '.' || id as fbc from segment_events where occurred_at > timestamp '1970-01-02'")(lambda s, d: fx.read(s, d, "segment_events").where("occurred_at > timestamp_ntz'1970-01-02 00:00:00'").select("event_id", nz.format_fbc(F.col("id"), F.col("occurred_at")).alias("fbc")))
+q("format_fbc", "select event_id, 'fb.1.' || cast(floor(epoch_us(occurred_at) / 1000.0) as bigint) || '.' || id as fbc from segment_events")(lambda s, d: fx.read(s, d, "segment_events").select("event_id", nz.format_fbc(F.col("id"), F.col("occurred_at")).alias("fbc")))
+q("norm_email_values", f"select distinct identifier_value as t, {_EMAIL_SQL.replace('trim(t)', 'trim(identifier_value)')} as r from segment_entity_identifiers")(lambda s, d: fx.read(s, d, "segment_entity_identifiers").select(F.col("identifier_value").alias("t"), nz.norm_email(F.col("identifier_value")).alias("r")).distinct())
+q("norm_phone_values", f"select distinct t, case when trim(t) <> '' and not contains(trim(t), '@') and trim(t) not in ({_FAKE}) then trim(t) end as r from (select identifier_value as t from segment_entity_identifiers)")(lambda s, d: fx.read(s, d, "segment_entity_identifiers").select(F.col("identifier_value").alias("t"), nz.norm_phone(F.col("identifier_value")).alias("r")).distinct())
 q("click_ids", "select touchpoint_id, nullif(regexp_extract(landing_url, '[?&]rdt_cid=([^&#]+)', 1), '') as rdt_cid from touch")(lambda s, d: fx.touchpoints(s, d).select("touchpoint_id", nz.click_id(F.col("landing_url"), "rdt_cid").alias("rdt_cid")))
 q("channel_of", "select event_id, received_at, case when context_campaign_source is not null then 'paid' when page_referrer like '%facebook%' or page_url like '%fbclid%' then 'social' when page_referrer like '%google%' then 'organic' when page_referrer is not null then 'referral' else 'direct' end as channel from segment_events")(lambda s, d: fx.read(s, d, "segment_events").select("event_id", "received_at", nz.channel(F.col("context_campaign_source"), F.col("page_referrer"), F.col("page_url")).alias("channel")))
 q("tz_convert", "select event_id, (ts at time zone 'UTC') at time zone 'America/New_York' as local_ts from events")(lambda s, d: fx.read(s, d, "events").select("event_id", tm.convert_timezone(F.col("ts"), "America/New_York").alias("local_ts")))
