@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,33 +21,36 @@ def entity_states(states: DataFrame, dimension_names: list[str], measure_names:
     States of one name rarely overlap: then entering and leaving are put on one line per entity and carried forward, so
     the work is linear. Where they do, the points of that entity are compared with the overlapping states of that name.
     """
-    s = states.where(F.col("state_value").isNotNull() | F.col("state_numeric_value").isNotNull())
-    points = states.select("entity_id", "entity_type", F.explode(F.array("state_entered_at", "state_exited_at")).alias("valid_from")).where("valid_from is not null").distinct()
     keys = ["entity_id", "entity_type", "valid_from"]
     own = ["entity_id", "entity_type", "state_name"]
-    s = s.where("state_entered_at is not null and (state_exited_at is null or state_exited_at > state_entered_at)")
-    reach = F.max(F.coalesce("state_exited_at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))).over(Window.partitionBy(*own).orderBy("state_entered_at", "state_id").rowsBetween(Window.unboundedPreceding, -1))
-    mixed = s.withColumn("_reach", reach).where("_reach > state_entered_at").select(*own).distinct().withColumn("_mixed", F.lit(True))
     names = sorted({*dimension_names, *measure_names})
+    valued = (F.col("state_value").isNotNull() | F.col("state_numeric_value").isNotNull()) & F.col("state_entered_at").isNotNull() & (F.col("state_exited_at").isNull() | (F.col("state_exited_at") > F.col("state_entered_at")))
+    s = states.withColumn("_held", F.coalesce(valued, F.lit(False)))
+    reach = F.max(F.when(F.col("_held"), F.coalesce("state_exited_at", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")))).over(Window.partitionBy(*own).orderBy("state_entered_at", "state_id").rowsBetween(Window.unboundedPreceding, -1))
+    meets = s.withColumn("_reach", reach).where("_held and _reach > state_entered_at").select(*own).distinct().withColumn("_meets", F.lit(True))
     # States of names without a column still make a point count; they take the general way.
-    s = s.join(mixed, own, "left").withColumn("_mixed", F.col("_mixed").isNotNull() | ~F.coalesce(F.col("state_name").isin(*names), F.lit(False)))
-    held = points.join(s.where("_mixed"), ["entity_id", "entity_type"]).where("state_entered_at <= valid_from and (state_exited_at is null or state_exited_at > valid_from)")
+    s = s.join(meets, own, "left").withColumn("_mixed", F.col("_meets").isNotNull() | ~F.coalesce(F.col("state_name").isin(*names), F.lit(False)))
+    # Without overlaps at most one state of a name holds; it begins at its entry and ends with an empty cell. One pass gives
+    # all points, with the cells that change there.
+    plain = F.col("_held") & ~F.col("_mixed")
+    cell = lambda on: F.when(plain, F.struct("state_name", F.when(F.lit(on), F.col("state_value")).alias("state_value"), F.when(F.lit(on), F.col("state_numeric_value")).alias("state_numeric_value"), F.lit(on).alias("on")))
+    ends = F.explode(F.array(F.struct(F.col("state_entered_at").alias("t"), F.lit(2).alias("_k"), cell(True).alias("c")), F.struct(F.col("state_exited_at").alias("t"), F.lit(1).alias("_k"), cell(False).alias("c"))))
+    steps = s.select("entity_id", "entity_type", ends.alias("e")).select("entity_id", "entity_type", F.col("e.t").alias("valid_from"), F.col("e._k").alias("_k"), F.col("e.c").alias("c")).where("valid_from is not null")
+    changes = steps.groupBy(*keys).agg(F.lit(1).alias("_one"), *[F.max(F.when(F.col("c.state_name") == n, F.struct("_k", "c"))).alias(f"_c{i}") for i, n in enumerate(names)]).drop("_one")
+    rest = s.where("_held and _mixed")
+    near = rest.select("entity_id", "entity_type").distinct()
+    points = states.join(near, ["entity_id", "entity_type"], "left_semi").select("entity_id", "entity_type", F.explode(F.array("state_entered_at", "state_exited_at")).alias("valid_from")).where("valid_from is not null").distinct()
+    held = points.join(rest, ["entity_id", "entity_type"]).where("state_entered_at <= valid_from and (state_exited_at is null or state_exited_at > valid_from)")
     top = held.groupBy(*keys, "state_name").agg(F.max(F.struct("state_entered_at", "state_id", "state_value", "state_numeric_value")).alias("m"))
-    # Without overlaps at most one state of a name holds; it begins at its entry and ends with an empty cell.
-    plain = s.where("not _mixed")
-    cell = F.struct("state_name", "state_value", "state_numeric_value", F.lit(True).alias("on"))
-    enter = plain.select("entity_id", "entity_type", F.col("state_entered_at").alias("valid_from"), F.lit(2).alias("_k"), cell.alias("c"))
-    leave = plain.where("state_exited_at is not null").select("entity_id", "entity_type", F.col("state_exited_at").alias("valid_from"), F.lit(1).alias("_k"), F.struct("state_name", F.lit(None).cast("string").alias("state_value"), F.lit(None).cast("double").alias("state_numeric_value"), F.lit(False).alias("on")).alias("c"))
-    changes = enter.unionByName(leave).groupBy(*keys).agg(*[F.max(F.when(F.col("c.state_name") == n, F.struct("_k", "c"))).alias(f"_c{i}") for i, n in enumerate(names)])
     slots = [f"_c{i}" for i in range(len(names))]
-    line = carry_last(points.join(changes, keys, "left"), ["entity_id", "entity_type"], "valid_from", [], slots)
-    cells = [F.when(F.col(f"_last__c{i}.c.on"), F.struct(F.lit(None).cast("timestamp_ntz").alias("state_entered_at"), F.lit(None).cast("string").alias("state_id"), F.col(f"_last__c{i}.c.state_value").alias("state_value"), F.col(f"_last__c{i}.c.state_numeric_value").alias("state_numeric_value"))) for i in range(len(names))]
-    flat = line.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("state_name"), x.alias("m")) for n, x in zip(names, cells, strict=True)])).alias("x")) if names else line.select(*keys, F.lit(None).alias("x")).limit(0)
-    if names:
-        top = top.unionByName(flat.select(*keys, "x.state_name", "x.m").where("m is not null"))
-    cells = [F.max(F.when(F.col("state_name") == n, F.col("m.state_value"))).alias(column_name(n)) for n in dimension_names]
-    cells += [F.max(F.when(F.col("state_name") == n, F.col("m.state_numeric_value"))).alias(column_name(n)) for n in measure_names]
-    wide = top.groupBy(*keys).agg(*cells)
+    line = carry_last(changes, ["entity_id", "entity_type"], "valid_from", [], slots)
+    general = top.groupBy(*keys).agg(F.lit(True).alias("_any"), *[F.max(F.when(F.col("state_name") == n, F.struct("m.state_value", "m.state_numeric_value"))).alias(f"_m{i}") for i, n in enumerate(names)])
+    both = line.join(general, keys, "left")
+    on = [F.coalesce(F.col(f"_last__c{i}.c.on"), F.lit(False)) for i in range(len(names))]
+    both = both.where(reduce(lambda x, y: x | y, on, F.col("_any").isNotNull()))
+    # A name of an entity goes one way or the other, never both.
+    value = lambda n, field: F.coalesce(F.when(on[names.index(n)], F.col(f"_last__c{names.index(n)}.c.{field}")), F.col(f"_m{names.index(n)}.{field}"))
+    wide = both.select(*keys, *[value(n, "state_value").alias(column_name(n)) for n in dimension_names], *[value(n, "state_numeric_value").alias(column_name(n)) for n in measure_names])
     w = Window.partitionBy("entity_id").orderBy("valid_from", "entity_type")
     deltas = [(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0.0))).alias(c + "_delta") for c in map(column_name, measure_names)]
     sid = make_id("entity_state", "entity_id", "valid_from")
