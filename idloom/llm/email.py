@@ -223,9 +223,12 @@ def _kinds(lines: list[Line]) -> None:
                 for y in full[i : i + k + 1]:
                     y.kind = "attribution"
                 break
-    # What is said again and again below closings is a footer where it stands below one.
+
+
+def _footers(lines: list[Line]) -> None:
+    """What is said again and again below closings is a footer where it stands below one."""
     below = False
-    for x in full:
+    for x in lines:
         below = below or x.kind in ("closing", "rule")
         if below and x.kind == "text" and x.footer() and not _PS.match(x.text):
             x.kind = "notice"
@@ -323,25 +326,105 @@ def _grams(seq: list[str]) -> Iterator[tuple]:
     return zip(*(seq[i:] for i in range(SHINGLE)), strict=False)
 
 
+def _lines(body: str) -> list[Line]:
+    lines = [Line(i + 1, x.rstrip("\r")) for i, x in enumerate(body.split("\n"))]
+    _remnants(lines)
+    return lines
+
+
+#: The kinds of lines, by the numbers under which a reading keeps them.
+KINDS = ("text", "elided", "rule", "original", "closing", "contact", "device", "notice", "label", "attribution")
+_KIND_NO = {k: i for i, k in enumerate(KINDS)}
+
+
+class Reading:
+    """The kind of each line of a body by its form and its overlap with earlier mails: all that is told without the
+    lines' frequency, so that it is worked out once, before the lines are counted."""
+
+    __slots__ = ("kinds", "covers", "known", "compared")
+
+    def __init__(self, kinds: bytes, covers: bytes, known: bool, compared: bool):
+        self.kinds, self.covers, self.known, self.compared = kinds, covers, known, compared
+
+    @classmethod
+    def of(cls, lines: list[Line], ancestor: str | None, others: list[str]) -> Reading:
+        """Also sets the lines' kinds and overlap."""
+        _kinds(lines)
+        compared = _overlap(lines, ancestor, others)
+        covers = np.array([x.cover for x in lines]).tobytes() if any(x.cover for x in lines) else b""
+        return cls(bytes(_KIND_NO[x.kind] for x in lines), covers, bool(ancestor), compared)
+
+    def put(self, lines: list[Line]) -> None:
+        for x, k in zip(lines, self.kinds, strict=True):
+            x.kind = KINDS[k]
+        if self.covers:
+            for x, c in zip(lines, np.frombuffer(self.covers).tolist(), strict=True):
+                x.cover = c
+
+
+def said_lines(lines: list[Line], compared: bool) -> dict[int, int]:
+    """Hash of each line of the whole body that its sender says -> 1 if it only stands below a closing phrase or a rule of
+    theirs, else 0.
+
+    Answers, signatures and footers between and below quotes count like those above. Quotes by marks or
+    indent, lines that broke off one, their introducing lines and all below a forward's marker or header block are other
+    mails' text: it counts there. Below an attribution without marks a line that lies in a mail referred to isn't the sender's.
+    """
+    out: dict[int, int] = {}
+    bare = below = copied = quoted = False
+    # Whether the next line of a shingle's length is new: asked only beside other mails.
+    fresh, new = [False] * len(lines), False
+    for x in reversed(lines) if compared else ():
+        fresh[x.no - 1] = new
+        if not x.depth and len(x.text) > SHINGLE and len(words(x.text)) >= SHINGLE:
+            new = x.cover < 0.5
+    for i, x in enumerate(lines):
+        if x.depth:
+            quoted = quoted or any(y.depth for y in (*lines[max(i - 1, 0) : i], *lines[i + 1 : i + 2]))
+            continue
+        if not x.text or x.indent and quoted:
+            continue
+        if not x.indent and x.kind in ("original", "label"):
+            break
+        if x.kind == "attribution":
+            quoted = True
+            after = next((lines[k] for k in range(x.no, len(lines)) if lines[k].text and (lines[k].depth or lines[k].kind != "attribution")), None)
+            if not x.indent and after is not None and not after.depth and not after.indent and after.kind not in ("original", "label"):
+                bare = copied = compared
+            continue
+        if bare:
+            # Short lines are alike in all mails: they go with the longer line above, a greeting with the one below.
+            if len(words(x.text)) >= SHINGLE:
+                copied = x.cover >= 0.5
+            if copied and x.cover >= 0.5 and not (_GREET.match(x.text) and fresh[i]):
+                continue
+        key = line_key(x.raw)
+        out[key] = min(int(below), out.get(key, 1))
+        below = below or x.kind in ("closing", "rule")
+    return out
+
+
 class Mail:
     """A body's lines, blocks and their features.
 
     ``ancestor`` is the body of the mail answered, ``others`` are those of further mails referred to. Overlap counts with
-    all of them; that a text is in none of them tells something only where the mail answered is known.
+    all of them; that a text is in none of them tells something only where the mail answered is known. ``reading``: what
+    an earlier reading of the same body and mails found.
     """
 
-    def __init__(self, body: str, ancestor: str | None = None, sender: str | None = None, frequency: dict[int, tuple[float, float, float]] | None = None, others: list[str] | None = None):
-        raw = body.split("\n")
-        self.lines = [Line(i + 1, x.rstrip("\r")) for i, x in enumerate(raw)]
-        _remnants(self.lines)
+    def __init__(self, body: str, ancestor: str | None = None, sender: str | None = None, frequency: dict[int, tuple[float, float, float]] | None = None, others: list[str] | None = None, reading: Reading | None = None):
+        self.lines = _lines(body)
+        if reading is None:
+            reading = Reading.of(self.lines, ancestor, others or [])
+        else:
+            reading.put(self.lines)
         if frequency:
             for x in self.lines:
                 if x.text and not x.depth:
                     x.freq = frequency.get(line_key(x.raw), x.freq)
-        _kinds(self.lines)
+            _footers(self.lines)
         _notices(self.lines)
-        self.known = bool(ancestor)
-        self.compared = _overlap(self.lines, ancestor, others or [])
+        self.known, self.compared = reading.known, reading.compared
         self.sender = {w for w in words(sender or "") if len(w) > 1}
         self.blocks: list[list[Line]] = []
         self._segment()
@@ -506,29 +589,43 @@ def message_links(messages: DataFrame) -> DataFrame:
     return own.select("message_id", "m.sender", "m.parent_id", "ancestor_ids")
 
 
-def line_cells(mails: DataFrame) -> DataFrame:
-    """(_mid, _s, _l, _t): each mail's lines above its first quote as hashes, with the sender's; _t is 1 for a line that only
-    stands below a closing phrase or a rule."""
-    trimmed = F.transform(F.split("body", "\n"), lambda x: F.lower(F.regexp_replace(x, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")))
-    # Only what lies above the first quote or forward: the same lines of earlier mails must not count again.
-    forward, head, wrote = (rf"(?u){x}" for x in (r"^-{2,} ?.*(?:original|forwarded|weitergeleitet|ursprüngliche|reenviado|transféré|message|nachricht|mensaje).*-{2,}$", rf"^\*?{FROM}\s?:\*?\s", rf"{WROTE}.{{0,60}}:$"))
-    stop = F.array_position(F.transform("_all", lambda x: x.startswith(">") | (x.startswith("--") & x.rlike(forward)) | x.rlike(head) | (x.endswith(":") & x.rlike(wrote))), F.lit(True)).cast("int")
-    said = F.filter(F.when(stop > 0, F.slice("_all", F.lit(1), stop - 1)).otherwise(F.col("_all")), lambda x: x != "")
-    end = F.array_position(F.transform("_said", lambda x: (F.length(x) < 48) & x.rlike(rf"(?u)^{CLOSINGS}\s*[,.!]?$|^(?:[-_*=~#+.–—] ?){{2,}}$")), F.lit(True))
-    one = mails.select("_mid", F.xxhash64(F.coalesce("sender", F.lit(""))).alias("_s"), trimmed.alias("_all")).select("_mid", "_s", said.alias("_said")).withColumn("_end", end)
-    above = F.array_distinct(F.when(F.col("_end") > 0, F.slice("_said", F.lit(1), F.col("_end").cast("int"))).otherwise(F.col("_said")))
-    below = F.array_except("_said", above)
-    cell = F.explode(F.concat(F.transform(above, lambda x: F.struct(F.xxhash64(x).alias("l"), F.lit(0).alias("t"))), F.transform(below, lambda x: F.struct(F.xxhash64(x).alias("l"), F.lit(1).alias("t")))))
-    return one.select("_mid", "_s", cell.alias("_c")).select("_mid", "_s", F.col("_c.l").alias("_l"), F.col("_c.t").alias("_t"))
+def readings(mails: DataFrame) -> DataFrame:
+    """(_mid, _s, kinds, covers, known, compared, said, low): the ``Reading`` of each mail beside the mails it answers and
+    refers to, its sender's hash, and ``said_lines`` as arrays of hashes and flags. ``mails``: with ``ancestor`` and ``others``, if known."""
+    given = [F.col(c) if c in mails.columns else F.lit(None).cast(t).alias(c) for c, t in (("ancestor", "string"), ("others", "array<string>"))]
+    names = ["_mid", "_s", "kinds", "covers", "known", "compared", "said", "low"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int8())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_MAILS):
+                mid, s, *texts = (c.to_pylist() for c in whole.slice(start, SLICE_MAILS).columns)
+                out = []
+                for body, ancestor, others in zip(*texts, strict=True):
+                    lines = _lines(body)
+                    r = Reading.of(lines, ancestor, others or [])
+                    cells = said_lines(lines, r.compared)
+                    out.append((r.kinds, r.covers, r.known, r.compared, list(cells), list(cells.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((mid, s, *zip(*out, strict=True)), types, strict=True)], names)
+
+    rows = mails.select("_mid", F.xxhash64(F.coalesce("sender", F.lit(""))).alias("_s"), "body", *given)
+    return rows.mapInArrow(run, "_mid bigint, _s bigint, kinds binary, covers binary, known boolean, compared boolean, said array<bigint>, low array<tinyint>")
+
+
+def line_cells(mails: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """(_mid, _s, _l, _t): the lines that each mail's sender says anywhere in it as hashes, with the sender's; _t is 1 for a line
+    that only stands below a closing phrase or a rule. ``read``: the mails' ``readings``, best written, as the cells are read twice."""
+    read = readings(mails) if read is None else read
+    return read.select("_mid", "_s", F.explode(F.arrays_zip("said", "low")).alias("_c")).select("_mid", "_s", F.col("_c.said").alias("_l"), F.col("_c.low").cast("int").alias("_t"))
 
 
 def frequencies(mails: DataFrame, at: DataFrame | None = None) -> DataFrame:
-    """(_mid, lines map<line hash, struct<own share, corpus count, footer share>>): of each mail's lines above its first
-    quote, those in more than two mails, with the share of the sender's mails that hold them, the logarithm of the mails that do, and the
+    """(_mid, lines map<line hash, struct<own share, corpus count, footer share>>): of the lines that each mail's sender
+    says, those in more than two mails, with the share of the sender's mails that hold them, the logarithm of the mails that do, and the
     share of these in which they only stand below a closing phrase or a rule.
 
     Counted over all mails and lines of any length, as hashes; copies within a mail count once; counts are combined
-    map-side before they are shuffled, and lines or senders with many rows are joined in parts. ``at``: the mails' ``line_cells``, best written, as they are read twice.
+    map-side before they are shuffled, and lines or senders with many rows are joined in parts. ``at``: the mails' ``line_cells``, of written readings at best, as they are read twice.
     """
     at = line_cells(mails) if at is None else at
     count = at.groupBy("_s", "_l").agg(F.count("*").alias("_n"), F.sum("_t").alias("_low"))
@@ -556,28 +653,32 @@ def ancestors(mails: DataFrame) -> DataFrame:
 
 
 def prepared(body_table: DataFrame, messages: DataFrame) -> Table:
-    """(_row_id, body, sender, ancestor, others, keys, f, c, t): each mail with the bodies of the mails it answers and refers to
-    and its lines' frequency."""
+    """(_row_id, body, sender, kinds, covers, known, compared, keys, f, c, t): each mail with its reading beside the mails it
+    answers and refers to and its lines' frequency."""
     # Row ids may repeat; the written number tells the rows apart.
     numbered = bodies(body_table).withColumn("_mid", F.monotonically_increasing_id())
     first = cut(numbered.join(message_links(messages), "message_id", "left"))
     mails = first.df
-    at = cut(line_cells(mails))
-    full = mails.join(ancestors(mails), "_mid", "left").join(frequencies(mails, at.df), "_mid", "left")
+    read = cut(readings(mails.join(ancestors(mails), "_mid", "left")))
+    kept = read.df.drop("_s", "said", "low")
+    full = mails.join(kept, "_mid").join(frequencies(mails, line_cells(mails, read.df)), "_mid", "left")
     # Plain arrays are cheaper to hand to Python than a map of structs.
     said = [F.map_keys("lines").alias("keys"), *[F.map_values("lines")[n].alias(n) for n in ("f", "c", "t")]]
-    out = cut(full.select("_row_id", "body", "sender", "ancestor", "others", *said))
+    out = cut(full.select("_row_id", "body", "sender", "kinds", "covers", "known", "compared", *said))
     first.drop()
-    at.drop()
+    read.drop()
     return out
 
 
-_COLUMNS = ("_row_id", "body", "sender", "ancestor", "others", "keys", "f", "c", "t")
+_COLUMNS = ("_row_id", "body", "sender", "kinds", "covers", "known", "compared", "keys", "f", "c", "t")
 
 
 def _mails(batch: pa.RecordBatch | pa.Table) -> list[Mail]:
     columns = [batch.column(c).to_pylist() for c in _COLUMNS[1:]]
-    return [Mail(body, ancestor, sender.split("<")[0] if sender else None, dict(zip(keys, zip(f, c, t, strict=True), strict=True)) if keys else None, others) for body, sender, ancestor, others, keys, f, c, t in zip(*columns, strict=True)]
+    return [
+        Mail(body, None, sender.split("<")[0] if sender else None, dict(zip(keys, zip(f, c, t, strict=True), strict=True)) if keys else None, reading=Reading(*reading))
+        for body, sender, *reading, keys, f, c, t in zip(*columns, strict=True)
+    ]
 
 
 def train(mails: DataFrame, bound: int = TRAIN_MAILS) -> Trees:

@@ -169,3 +169,43 @@ def test_held_out_blocks_agree_with_the_rules():
     rest = mails[300:]
     x, y = np.concatenate([m.features() for m in rest]), np.concatenate([m.label() for m in rest])
     assert x.shape[1] == len(FEATURES) and ((model.score(x) > 0) == (y > 0)).mean() > 0.99 and 0.2 < y.mean() < 0.8
+
+
+def test_lines_below_quotes_count(spark):
+    from idloom.llm.email import _mails, frequencies, line_key, prepared
+
+    foot = "Our pigeons carry mail on working days only."
+    asked = "> Hello Ann,\n> is number {0} right?\n"
+    below = "On 2023-01-02 10:00, Bob wrote:\n" + asked + "\nYes, number {0} is right for us.\n\nBest,\nAnn\n\n" + foot
+    between = asked + "\nThat one is done.\n\n> and {0}?\n> soon?\n\nNot before May {0}.\n\nBest,\nAnn\n\n" + foot
+    texts = [t.format(i) for i in range(2) for t in (below, between)]
+    f = {r._mid: r.lines for r in frequencies(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "_mid bigint, sender string, body string")).collect()}
+    assert all(f[i][line_key(foot)].asDict() == {"f": 1.0, "c": np.log1p(4), "t": 1.0} and f[i][line_key("Best,")].t == 0.0 for i in range(4))
+    assert all(line_key(x) not in f[i] for x in ("> Hello Ann,", "On 2023-01-02 10:00, Bob wrote:") for i in range(4))
+    rows = [(i, json.dumps({"message_id_header": f"<{i}@x>", "body_plain": t})) for i, t in enumerate(texts)]
+    b, m = spark.createDataFrame(rows, "_row_id bigint, _raw_record string"), spark.createDataFrame([], "_row_id bigint, _raw_record string")
+    t = prepared(b, m).df.orderBy("_row_id").toArrow()
+    assert [own_lines(x, x.label()) for x in _mails(t)] == [[5], [4, 9]] * 2
+
+
+def test_unmarked_history_does_not_count_again():
+    from idloom.llm.email import line_key, said_lines
+
+    def said(body, ancestor=None, others=()):
+        m = Mail(body, ancestor, None, None, list(others))
+        return {x.no: t for x in m.lines if x.text and not x.depth and (t := said_lines(m.lines, m.compared).get(line_key(x.raw))) is not None}
+
+    foot = "Our pigeons carry mail on working days only."
+    answer = f"Hello Ann,\n\nthat was my mistake, the sheet had an old rate in it.\n\nBest,\nAnn\n\n{foot}"
+    parent = PARENT + "\n\nOne more thing: the old sheet is in the archive now."
+    # Of the lines below an attribution without marks those of the mail answered are left out; closings go with the text above.
+    n = len(parent.split("\n")) + 3
+    got = said(f"Bob writes:\n{parent}\n\n{answer}", parent)
+    assert min(got.values()) == 0 and got[n + 2] == got[n + 4] == 0 and got[n + 7] == 1
+    assert not {line_key(x) for x in parent.split("\n") if len(x.split()) >= 5} & set(said_lines((m := Mail(f"Bob writes:\n{parent}\n\n{answer}", parent)).lines, m.compared))
+    # Where no earlier mail is known every line counts.
+    assert len(said(f"Bob writes:\n{parent}\n\n{answer}")) > len(got)
+    # Below a forward's header block and within an indented quote it is another mail's text; a line like a header is none.
+    assert list(said("From: the staging set, to: the live set.\n\nDone.\n\n----- Original message -----\nFrom: Bob <bob@x.test>\nSent: 2023-01-02\n\nHello")) == [1, 3]
+    assert list(said("Yes.\n\nBob writes:\n\n    One more thing: it is done.\n    Best,\n\nRight.")) == [1, 8]
+    assert said("Best,\nAnn\n\nBest,\n> x\n> y\n\nAnn") == {1: 0, 2: 1, 4: 0, 8: 1}
